@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op2_packing
+from .sharding import op1_kd_sharding
 from .token_records import op9_token_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kd_sharding": op1_kd_sharding,
         "op2_packing": op2_packing,
         "op9_token_records": op9_token_records,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}
