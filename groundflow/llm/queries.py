@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op3_language_id
+from .license_scan import op4_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .multiset_hash import op5_multiset_hash
 from .packing import op2_packing
 from .sharding import op1_kd_sharding
 from .token_records import op9_token_records
+from .warc import op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": op1_kd_sharding,
         "op2_packing": op2_packing,
+        "op3_language_id": op3_language_id,
+        "op4_license_scan": op4_license_scan,
+        "op5_multiset_hash": op5_multiset_hash,
+        "op8_warc": op8_warc,
         "op9_token_records": op9_token_records,
         "op10_line_dedup": op10_line_dedup,
     }
