@@ -11,6 +11,7 @@ from .license_scan import op4_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .multiset_hash import op5_multiset_hash
 from .packing import op2_packing
+from .positional_index import op6_decontamination
 from .sharding import op1_kd_sharding
 from .token_records import op9_token_records
 from .warc import op8_warc
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_license_scan": op4_license_scan,
         "op5_multiset_hash": op5_multiset_hash,
+        "op6_decontamination": op6_decontamination,
         "op8_warc": op8_warc,
         "op9_token_records": op9_token_records,
         "op10_line_dedup": op10_line_dedup,
