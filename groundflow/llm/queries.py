@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op7_jaccard_join
 from .language_id import op3_language_id
 from .license_scan import op4_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": op4_license_scan,
         "op5_multiset_hash": op5_multiset_hash,
         "op6_decontamination": op6_decontamination,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_warc": op8_warc,
         "op9_token_records": op9_token_records,
         "op10_line_dedup": op10_line_dedup,
