@@ -219,8 +219,9 @@ def read_archives(directory: DataFrame, path: str) -> DataFrame:
             if rows:
                 yield record_batch(rows, _RECORD)
 
-    blocks = directory.repartition("file", "offset").mapInArrow(places, ENTRY)
-    return blocks.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    blocks = directory.repartition(max(1, min(directory.count(), 10_000)), "file", "offset").mapInArrow(places, ENTRY).select("file", "offset", "length")
+    n_files = blocks.agg(F.count_distinct("file")).first()[0]  # small rows that stand for large reads: a task a file
+    return blocks.repartition(max(1, n_files), "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
