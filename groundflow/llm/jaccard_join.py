@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,8 +181,8 @@ def signatures(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(found), np.concatenate(of).astype(np.int32)
 
 
-SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bucket int, prints binary, sets binary, counts binary"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("prints", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
+SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, cells binary, bucket int, prints binary, sets binary, counts binary"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("cells", pa.binary()), ("bucket", pa.int32()), ("prints", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
 
 
 def _packed(prints: np.ndarray, of: np.ndarray, keys: np.ndarray, n_buckets: int) -> pa.RecordBatch:
@@ -201,7 +202,7 @@ def _packed(prints: np.ndarray, of: np.ndarray, keys: np.ndarray, n_buckets: int
 
 
 def sign(docs: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """Two kinds of rows: a document with its set's size and key, and packed signatures (bucket not null)."""
+    """Two kinds of rows: a document with its set's size, key and counts of hashed n-grams; and packed signatures (bucket not null)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(num, den), set()
@@ -223,7 +224,7 @@ def sign(docs: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFra
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = ngram_set(text, n)
                 k1, k2 = key_of(own)
-                rows.append((doc_id, len(own), k1, k2))
+                rows.append((doc_id, len(own), k1, k2, cells_of(own).tobytes()))
                 if len(own) and doc_id is not None and (k1, k2) not in seen:
                     seen.add((k1, k2))
                     held.append(own)
@@ -234,8 +235,7 @@ def sign(docs: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFra
                 if ready > FLUSH:
                     yield _packed(np.concatenate(prints), np.concatenate(of), np.array(keys), n_buckets)
                     prints, of, keys, ready = [], [], keys[len(keys) - len(held) :], 0
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays(columns + [pa.array([None] * len(rows), f.type) for f in list(_SIGNED)[4:]], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows] if k < 5 else [None] * len(rows), f.type) for k, f in enumerate(_SIGNED)], schema=_SIGNED)
         turn()
         if ready:
             yield _packed(np.concatenate(prints), np.concatenate(of), np.array(keys), n_buckets)
@@ -243,58 +243,65 @@ def sign(docs: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-MET = "a long, b long, group long"
-_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64())])
+MET = "doc_id long, n_shingles long, k1 long, k2 long, cells binary, a long, b long, group long"
+_MET = pa.schema([*list(_SIGNED)[:5], ("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64())])
+
+
+def _met(a: np.ndarray, b: np.ndarray | None, group: np.ndarray | None) -> pa.RecordBatch:
+    own = {"a": a, "b": b, "group": group}
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), f.type) if own.get(f.name) is None else pa.array(own[f.name], f.type) for f in _MET], schema=_MET)
+
+
+def _of_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """What one bucket's signatures say: (prints, sets, counts) of each task."""
+    prints = np.concatenate([np.frombuffer(p, "<u4") for p, _, _ in parts])
+    node = np.concatenate([np.repeat(np.frombuffer(s, "<i8"), np.frombuffer(c, "<u4")) for _, s, c in parts])
+    order = np.argsort(prints, kind="stable")
+    prints = prints[order]
+    run = np.cumsum(np.concatenate(([True], prints[1:] != prints[:-1]))) - 1
+    shared = np.flatnonzero(np.bincount(run)[run] > 1)
+    if not len(shared):
+        return
+    names, node = np.unique(node[order[shared]], return_inverse=True)
+    both = np.unique(run[shared].astype(np.int64) * len(names) + node)
+    run, node = both // len(names), both % len(names)
+    first = np.concatenate(([True], run[1:] != run[:-1]))
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(run)))
+    least = np.repeat(node[starts], sizes)
+    pairs = np.unique(least[~first] * len(names) + node[~first])
+    yield _met(names[pairs // len(names)], names[pairs % len(names)], None)
+    same = np.add.reduceat(mix(names[node].astype(np.uint64)), starts)  # groups of the same members are one
+    chosen = np.zeros(len(starts), bool)
+    chosen[np.unique(same, return_index=True)[1]] = True
+    rows = np.flatnonzero(np.repeat(chosen & (sizes > 2), sizes))
+    yield _met(names[node[rows]], None, np.repeat(same, sizes)[rows].view(np.int64))
 
 
 def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
-    """Sets that share a signature: (smallest set, other) without group; and (set, null, group) for groups of three and more."""
-
-    def of_bucket(bucket: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        prints = np.concatenate([np.frombuffer(p, "<u4") for p, _, _ in parts])
-        node = np.concatenate([np.repeat(np.frombuffer(s, "<i8"), np.frombuffer(c, "<u4")) for _, s, c in parts])
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        new = np.concatenate(([True], prints[1:] != prints[:-1]))
-        run = np.cumsum(new) - 1
-        shared = np.flatnonzero(np.bincount(run)[run] > 1)
-        if not len(shared):
-            return
-        run, (names, node) = run[shared], np.unique(node[order[shared]], return_inverse=True)
-        both = np.unique(run.astype(np.int64) * len(names) + node)
-        run, node = both // len(names), both % len(names)
-        size = np.bincount(run)
-        first = np.concatenate(([True], run[1:] != run[:-1]))
-        least = np.zeros(len(size), np.int64)
-        least[run[first]] = node[first]
-        star = np.flatnonzero(~first)
-        pairs = np.unique(least[run[star]] * len(names) + node[star])
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)]), none], schema=_MET)
-        large = np.flatnonzero(size[run] > 2)
-        if len(large):
-            run, node = run[large], node[large]
-            starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-            same = np.add.reduceat(mix(names[node].astype(np.uint64)), starts)  # groups of the same members are one
-            _, one = np.unique(same, return_index=True)
-            chosen = np.flatnonzero(np.isin(np.cumsum(np.isin(np.arange(len(run)), starts)) - 1, one))
-            group = np.repeat(same, np.diff(np.append(starts, len(run))))[chosen].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names[node[chosen]]), pa.nulls(len(chosen), pa.int64()), pa.array(group)], schema=_MET)
+    """The documents as they are; for sets that share a signature (smallest set, other) without group, and
+    (set, null, group) for groups of three and more. Signatures are shuffled once and not stored."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts = None, []
         for batch in found:
+            docs = batch.filter(pa.compute.is_null(batch.column("bucket")))
+            if docs.num_rows:
+                none = pa.nulls(docs.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(docs.column(f.name) for f in list(_MET)[:5]), none, none, none], schema=_MET)
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "prints", "sets", "counts")), strict=True):
+                if row[0] is None:
+                    continue
                 if row[0] != number and parts:
-                    yield from of_bucket(number, parts)
+                    yield from _of_bucket(parts)
                     parts = []
                 number = row[0]
                 parts.append(row[1:])
         if parts:
-            yield from of_bucket(number, parts)
+            yield from _of_bucket(parts)
 
-    packed = signed.where("bucket is not null").select("bucket", "prints", "sets", "counts")
-    return packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
+    to = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int"))
+    return signed.withColumn("to", to).repartition(n_buckets, "to").sortWithinPartitions("bucket").mapInArrow(run, MET)
 
 
 def cells_of(found: np.ndarray) -> np.ndarray:
@@ -307,8 +314,8 @@ def folded(cells: np.ndarray, n: int) -> np.ndarray:
     return cells.reshape(n, -1).sum(axis=1, dtype=np.int32) if len(cells) > n else cells.astype(np.int32)
 
 
-SET = "doc long, size long, cells binary, members binary"
-_SET = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("cells", pa.binary()), ("members", pa.binary())])
+SET = "doc long, members binary"
+_SET = pa.schema([("doc", pa.int64()), ("members", pa.binary())])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -322,7 +329,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 for doc, text, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "k1", "k2")), strict=True):
                     own = ngram_set(text, n)
                     if key_of(own) == (k1, k2):
-                        yield doc, len(own), cells_of(own).tobytes(), own.tobytes()
+                        yield doc, own.tobytes()
 
         yield from batches(rows(), _SET, 2_000)
 
@@ -357,8 +364,10 @@ def not_refuted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return close.select("a", "b", "size_a", "size_b", "cells_a", "cells_b").mapInArrow(run, PAIR)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are similar, compared whole."""
+def verified(pairs: DataFrame, docs: DataFrame, equal: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are similar, compared whole. equal: doc, k1, k2."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = sets_of(docs, keep(equal.join(ends, "doc", "left_semi").select("doc", "k1", "k2"), "wanted"), n)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -419,35 +428,35 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     n_buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = keep(sign(docs, n, num, den, n_buckets), "signatures")
-    every = signed.where("bucket is null").select("doc_id", "n_shingles", "k1", "k2")
-    equal = every.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"))
-    equal = keep(equal, "equal-sets")
-    met = keep(meet(signed, n_buckets), "met")
+    met = keep(meet(sign(docs, n, num, den, n_buckets), n_buckets), "met")
+    every = met.where("a is null").select("doc_id", "n_shingles", "k1", "k2", "cells")
+    joined = every.where("doc_id is not null and n_shingles > 0")
+    equal = keep(joined.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")), "equal-sets")
+    firsts = joined.join(equal.withColumnRenamed("doc", "doc_id"), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "cells")
+    firsts = keep(firsts, "set-cells")
     name = equal.select("k1", "doc")
     pairs = met.where("b is not null").select("a", "b").distinct()
     pairs = pairs.join(name.withColumnRenamed("k1", "a").withColumnRenamed("doc", "doc_a"), "a").join(name.withColumnRenamed("k1", "b").withColumnRenamed("doc", "doc_b"), "b")
     pairs = pairs.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
-    pairs = keep(pairs, "star-pairs")
-    members = met.where("b is null").select(F.col("a").alias("k1"), "group").distinct().join(name, "k1").select("group", "doc")
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct().join(equal.select("doc", "k1", "k2"), "doc")
-    sets = sets_of(docs, wanted, n)
-    same_id = every.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select(F.col("doc_id").alias("node"))
-    links = keep(verified(not_refuted(pairs, sets, num, den), sets, num, den), "links")
-    repeated = every.join(same_id, every["doc_id"] == same_id["node"], "left_semi").join(equal, ["k1", "k2"]).select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+    pairs = keep(not_refuted(pairs, firsts, num, den), "star-pairs")
+    links = keep(verified(pairs, docs, equal, n, num, den), "links")
+    twice = joined.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("doc_id")
+    repeated = joined.select("doc_id", "k1", "k2").join(twice, "doc_id", "left_semi").join(equal, ["k1", "k2"]).select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.unionByName(repeated.where("a <> b")))
+    members = met.where("group is not null").select(F.col("a").alias("k1"), "group").distinct().join(name, "k1").select("group", "doc")
     found = keep(_labelled(members, labels, "doc", "component"), "members")
     open_ = found.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("group", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     spread = found.join(open_, "group").withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("doc"), blocks)).otherwise(0).cast("int"))
-    spread = spread.join(sets.select("doc", "size", "cells"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.join(firsts, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    more = keep(verified(keep(across(spread.select("group", "x", "y", "doc", "component", "size", "cells", "block"), num, den), "pairs"), sets, num, den), "links")
+    across_pairs = keep(across(spread.select("group", "x", "y", "doc", "component", "size", "cells", "block"), num, den), "pairs")
+    more = keep(verified(across_pairs, docs, equal, n, num, den), "links")
     if not more.isEmpty():
         tops = components(_labelled(_labelled(more, labels, "a", "top_a"), labels, "b", "top_b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
         old = labels.select("node", F.col("component").alias("middle")).unionByName(tops.select("node", F.col("node").alias("middle"))).dropDuplicates(["node"])
         labels = keep(_labelled(old, tops, "middle", "component").select("node", "component"), "labels")
-    placed = every.join(equal.select("k1", "k2", "doc"), ["k1", "k2"], "left").withColumn("doc", F.when(F.col("n_shingles") > 0, F.coalesce("doc", "doc_id")).otherwise(F.col("doc_id")))
+    placed = every.drop("cells").join(equal, ["k1", "k2"], "left").withColumn("doc", F.when(F.col("n_shingles") > 0, F.coalesce("doc", "doc_id")).otherwise(F.col("doc_id")))
     return _labelled(placed, labels, "doc", "component_id").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
