@@ -305,13 +305,15 @@ def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def cells_of(found: np.ndarray) -> np.ndarray:
-    """Counts of a set's n-grams by hash, in about a quarter as many cells (a power of two)."""
-    bits = min(16, max(3, round(math.log2(len(found) / 4 + 1))))
-    return np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
+    """Counts (up to 255) of a set's n-grams by hash, in about as many cells (a power of two). However they are cut off
+    or added up, the counts of two sets differ by no more than the sets do."""
+    bits = min(13, max(3, round(math.log2(len(found) + 1))))
+    return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
 def folded(cells: np.ndarray, n: int) -> np.ndarray:
-    return cells.reshape(n, -1).sum(axis=1, dtype=np.int32) if len(cells) > n else cells.astype(np.int32)
+    """Rows of cells added up to n cells each."""
+    return cells.reshape(*cells.shape[:-1], n, -1).sum(axis=-1, dtype=np.int16 if n >= 64 else np.int32)
 
 
 SET = "doc long, members binary"
@@ -355,7 +357,7 @@ def not_refuted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
             size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
             stay = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 n = min(len(x), len(y))
                 stay[k] = np.abs(folded(x, n) - folded(y, n)).sum() * (den + num) <= (den - num) * size[k]
             yield batch.select(["a", "b"]).filter(pa.array(stay))
@@ -389,18 +391,20 @@ def across(groups: DataFrame, num: int, den: int) -> DataFrame:
     def of_group(x: int, y: int, rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[2])
         size, doc, part, block = (np.array([r[k] for r in rows]) for k in (2, 0, 1, 4))
-        n = min(len(r[3]) for r in rows) // 2
-        cells = np.stack([folded(np.frombuffer(r[3], "<u2"), n) for r in rows])
+        n = min(len(r[3]) for r in rows)
+        fine = np.stack([folded(np.frombuffer(r[3], np.uint8), n) for r in rows])
+        coarse = folded(fine, max(8, n // 4))
         last = np.searchsorted(size, size * den // num, side="right")
         left, right = [], []
         for k in range(len(rows)):
             other = np.arange(k + 1, last[k])
             other = other[(part[other] != part[k]) & ((x == y) | (block[other] != block[k]))]
-            if len(other):
-                apart = np.abs(cells[other] - cells[k]).sum(axis=1)
-                other = other[apart * (den + num) <= (den - num) * (size[other] + size[k])]
-                left.append(np.full(len(other), doc[k]))
-                right.append(doc[other])
+            for cells in (coarse, fine):
+                if len(other):
+                    apart = np.abs(cells[other] - cells[k]).sum(axis=1, dtype=np.int64)
+                    other = other[apart * (den + num) <= (den - num) * (size[other] + size[k])]
+            left.append(np.full(len(other), doc[k]))
+            right.append(doc[other])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
