@@ -14,9 +14,10 @@ one of the two sets has more telling segments than H (H/2) can spoil. A set that
 signatures; if both have not, these meet. So no pair is lost.
 
 Signatures travel in packed arrays, one row for each task and bucket. Where a signature is shared, its smallest
-set is compared with the others (a star, never all pairs) and verified pairs are contracted to components. Only
-groups that still span several components are compared further, in blocks: counts of hashed n-grams give a lower
-bound of the difference that refutes most pairs, the rest is verified on the whole sets. Every pair that
+set, the centre, is compared with the others (a star, never all pairs) and verified pairs are contracted to
+components. Only where the sets around a centre still span several components are they compared with each other,
+in blocks: counts of hashed n-grams give a lower bound of the difference that refutes most pairs, the rest is verified
+on the whole sets, once a pair. Every pair that
 shares a signature is thus linked, in one component already, or refuted.
 
 Words are the maximal runs of [^\\x20\\x09-\\x0D] with A-Z in lower case; fewer words than `n` form one n-gram; null,
@@ -42,7 +43,7 @@ from .components import components
 
 #: Signatures held by a task before they are handed over.
 FLUSH = 3_000_000
-#: Members of a group that are compared with each other in one task; larger groups are cut into blocks.
+#: Sets around a centre that are compared with each other at once; more are cut into blocks.
 BLOCK = 1024
 #: Documents that take part in a pair are looked up by broadcast up to this number, by a shuffle beyond.
 BROADCAST_DOCS = 1_000_000
@@ -243,17 +244,12 @@ def sign(docs: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-MET = "doc_id long, n_shingles long, k1 long, k2 long, cells binary, a long, b long, group long"
-_MET = pa.schema([*list(_SIGNED)[:5], ("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64())])
-
-
-def _met(a: np.ndarray, b: np.ndarray | None, group: np.ndarray | None) -> pa.RecordBatch:
-    own = {"a": a, "b": b, "group": group}
-    return pa.RecordBatch.from_arrays([pa.nulls(len(a), f.type) if own.get(f.name) is None else pa.array(own[f.name], f.type) for f in _MET], schema=_MET)
+MET = "doc_id long, n_shingles long, k1 long, k2 long, cells binary, a long, b long"
+_MET = pa.schema([*list(_SIGNED)[:5], ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _of_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """What one bucket's signatures say: (prints, sets, counts) of each task."""
+    """The stars of one bucket's signatures: (smallest set, other). parts: (prints, sets, counts) of each task."""
     prints = np.concatenate([np.frombuffer(p, "<u4") for p, _, _ in parts])
     node = np.concatenate([np.repeat(np.frombuffer(s, "<i8"), np.frombuffer(c, "<u4")) for _, s, c in parts])
     order = np.argsort(prints, kind="stable")
@@ -270,17 +266,13 @@ def _of_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(starts, len(run)))
     least = np.repeat(node[starts], sizes)
     pairs = np.unique(least[~first] * len(names) + node[~first])
-    yield _met(names[pairs // len(names)], names[pairs % len(names)], None)
-    same = np.add.reduceat(mix(names[node].astype(np.uint64)), starts)  # groups of the same members are one
-    chosen = np.zeros(len(starts), bool)
-    chosen[np.unique(same, return_index=True)[1]] = True
-    rows = np.flatnonzero(np.repeat(chosen & (sizes > 2), sizes))
-    yield _met(names[node[rows]], None, np.repeat(same, sizes)[rows].view(np.int64))
+    nothing = [pa.nulls(len(pairs), f.type) for f in list(_MET)[:5]]
+    yield pa.RecordBatch.from_arrays([*nothing, pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)])], schema=_MET)
 
 
 def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
-    """The documents as they are; for sets that share a signature (smallest set, other) without group, and
-    (set, null, group) for groups of three and more. Signatures are shuffled once and not stored."""
+    """The documents as they are; and for sets that share a signature the smallest one (a) with each other (b).
+    Signatures are shuffled once and not stored."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts = None, []
@@ -288,7 +280,7 @@ def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
             docs = batch.filter(pa.compute.is_null(batch.column("bucket")))
             if docs.num_rows:
                 none = pa.nulls(docs.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(docs.column(f.name) for f in list(_MET)[:5]), none, none, none], schema=_MET)
+                yield pa.RecordBatch.from_arrays([*(docs.column(f.name) for f in list(_MET)[:5]), none, none], schema=_MET)
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "prints", "sets", "counts")), strict=True):
                 if row[0] is None:
                     continue
@@ -384,17 +376,18 @@ def verified(pairs: DataFrame, docs: DataFrame, equal: DataFrame, n: int, num: i
     return _both(pairs, sets, "members").select("a", "b", "members_a", "members_b").mapInArrow(run, PAIR)
 
 
-def across(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components within a group that cell counts don't refute. groups: group, x, y (blocks),
-    doc, component, size, cells."""
+def across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components around one centre that cell counts don't refute; each pair comes from the
+    smallest centre that both have. members: centre, x, y (blocks), doc, component, size, cells, block, centres."""
 
-    def of_group(x: int, y: int, rows: list[tuple]) -> pa.RecordBatch:
+    def of_group(centre: int, x: int, y: int, rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[2])
         size, doc, part, block = (np.array([r[k] for r in rows]) for k in (2, 0, 1, 4))
         n = min(len(r[3]) for r in rows)
         fine = np.stack([folded(np.frombuffer(r[3], np.uint8), n) for r in rows])
         coarse = folded(fine, max(8, n // 4))
         last = np.searchsorted(size, size * den // num, side="right")
+        before = [frozenset(c for c in r[5] if c < centre) for r in rows]
         left, right = [], []
         for k in range(len(rows)):
             other = np.arange(k + 1, last[k])
@@ -403,24 +396,26 @@ def across(groups: DataFrame, num: int, den: int) -> DataFrame:
                 if len(other):
                     apart = np.abs(cells[other] - cells[k]).sum(axis=1, dtype=np.int64)
                     other = other[apart * (den + num) <= (den - num) * (size[other] + size[k])]
-            left.append(np.full(len(other), doc[k]))
-            right.append(doc[other])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+            for o in other.tolist():
+                if before[k].isdisjoint(before[o]):
+                    left.append(doc[k])
+                    right.append(doc[o])
+        a, b = np.array(left, np.int64), np.array(right, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in found:
-            for group, x, y, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "x", "y", "doc", "component", "size", "cells", "block")), strict=True):
-                if (group, x, y) != at and rows:
-                    yield of_group(*at[1:], rows)
+            for centre, x, y, *row in zip(*(batch.column(c).to_pylist() for c in ("centre", "x", "y", "doc", "component", "size", "cells", "block", "centres")), strict=True):
+                if (centre, x, y) != at and rows:
+                    yield of_group(*at, rows)
                     rows = []
-                at = group, x, y
+                at = centre, x, y
                 rows.append(row)
         if rows:
-            yield of_group(*at[1:], rows)
+            yield of_group(*at, rows)
 
-    return groups.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, PAIR).distinct()
+    return members.repartition("centre", "x", "y").sortWithinPartitions("centre", "x", "y").mapInArrow(run, PAIR).distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -439,22 +434,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
     firsts = joined.join(equal.withColumnRenamed("doc", "doc_id"), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "cells")
     firsts = keep(firsts, "set-cells")
     name = equal.select("k1", "doc")
-    pairs = met.where("b is not null").select("a", "b").distinct()
-    pairs = pairs.join(name.withColumnRenamed("k1", "a").withColumnRenamed("doc", "doc_a"), "a").join(name.withColumnRenamed("k1", "b").withColumnRenamed("doc", "doc_b"), "b")
-    pairs = pairs.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+    stars = met.where("b is not null").select("a", "b").distinct()
+    stars = stars.join(name.withColumnRenamed("k1", "a").withColumnRenamed("doc", "centre"), "a").join(name.withColumnRenamed("k1", "b"), "b")
+    stars = keep(stars.where("centre <> doc").select("centre", "doc").distinct(), "stars")
+    pairs = stars.select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
     pairs = keep(not_refuted(pairs, firsts, num, den), "star-pairs")
     links = keep(verified(pairs, docs, equal, n, num, den), "links")
     twice = joined.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("doc_id")
     repeated = joined.select("doc_id", "k1", "k2").join(twice, "doc_id", "left_semi").join(equal, ["k1", "k2"]).select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.unionByName(repeated.where("a <> b")))
-    members = met.where("group is not null").select(F.col("a").alias("k1"), "group").distinct().join(name, "k1").select("group", "doc")
-    found = keep(_labelled(members, labels, "doc", "component"), "members")
-    open_ = found.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("group", "members")
+    found = keep(_labelled(stars, labels, "doc", "component"), "members")
+    open_ = found.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("centre", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    spread = found.join(open_, "group").withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("doc"), blocks)).otherwise(0).cast("int"))
-    spread = spread.join(firsts, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    centres = stars.join(open_, "centre", "left_semi").groupBy("doc").agg(F.collect_set("centre").alias("centres"))  # no more than a document's signatures
+    spread = found.join(open_, "centre").withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("doc"), blocks)).otherwise(0).cast("int"))
+    spread = spread.join(firsts.join(centres, "doc"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    across_pairs = keep(across(spread.select("group", "x", "y", "doc", "component", "size", "cells", "block"), num, den), "pairs")
+    across_pairs = keep(across(spread.select("centre", "x", "y", "doc", "component", "size", "cells", "block", "centres"), num, den), "pairs")
     more = keep(verified(across_pairs, docs, equal, n, num, den), "links")
     if not more.isEmpty():
         tops = components(_labelled(_labelled(more, labels, "a", "top_a"), labels, "b", "top_b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
