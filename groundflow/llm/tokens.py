@@ -5,6 +5,10 @@ line break stands between two other characters there is always such a border, so
 with plain string operations, each distinct chunk is encoded once per worker by the tokenizers library,
 and the ids of a text are the joined ids of its chunks. Texts have few distinct chunks against their
 length; the whole is several times as fast as encoding every text and gives the same ids.
+
+New chunks are reduced once more: a stop or comma behind a letter is a piece of its own, and where the tokenizer
+ignores case, A-Z are put in lower case. What are then words of letters alone are encoded many at a time and
+told apart by the tokens that mark a word's start or end.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ import re
 
 import numpy as np
 
+from .common import LOWER_BYTES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks remembered by a worker; beyond it the memory is emptied and filled anew.
-CACHE_ENTRIES = 400_000
+#: Chunks remembered by a worker: two generations of this many; a full one replaces the older one.
+CACHE_ENTRIES = 350_000
 
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _held: dict[tuple[str, bool], Encoder] = {}
 
@@ -35,26 +40,68 @@ class Encoder:
         self.keeps_space = keeps_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.bases: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.border = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start (end) a word
+        for token, k in vocabulary.items():
+            self.border[k] = token.startswith("\u0120") if keeps_space else token.endswith("</w>")
+        self.ignores_case = self.tokenizer.encode("A b", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids
 
     def chunks(self, text: str) -> list[str]:
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
-        if not _IRREGULAR.search(text):
+        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line breaks only
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return [text] if "\0" in text else _CUT.sub("\0", text).split("\0")
 
+    def plain(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids, by the library."""
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters (each with its leading space if that counts), encoded together."""
+        found: list[bytes] = []
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([("" if self.keeps_space else " ").join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            marks = np.flatnonzero(self.border[ids])
+            cuts = np.append(marks, len(ids)) if self.keeps_space else np.append(0, marks + 1)
+            if len(cuts) == len(part) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
+                data, at = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+                found += [data[x:y] for x, y in zip(at, at[1:], strict=False)]
+            else:
+                found += self.plain(part)
+        return found
+
+    def learn(self, new: list[str]) -> None:
+        """Put new chunks into the cache."""
+        joined = "\0".join(new)
+        if self.ignores_case:
+            joined = joined.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).decode("utf-8", "surrogatepass")
+        split = [(c[:-1], c[-1]) if c[-1:] in (".", ",", ":", ";") and c[-2:-1].isalpha() else (c, "") for c in joined.split("\0")] if new else []
+        if len(split) != len(new):  # a chunk that holds the separator
+            split = [(c, "") for c in new]
+        wanted = {x for pair in split for x in pair}.difference(self.bases)
+        words = [w for w in wanted if (w[1:].isalpha() and w[0] == " " if self.keeps_space else w.isalpha())]
+        others = list(wanted.difference(words))
+        self.bases.update(zip(words, self.words(words), strict=True))
+        self.bases.update(zip(others, self.plain(others), strict=True))
+        look = self.bases.__getitem__
+        self.cache.update((c, look(base) + look(tail) if tail else look(base)) for c, (base, tail) in zip(new, split, strict=True))
+        if len(self.bases) > CACHE_ENTRIES:
+            self.bases = {"": b""}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids for each text."""
         cut = [self.chunks(x) for x in texts]
-        new = set().union(*cut).difference(self.cache)
-        if len(new) + len(self.cache) > CACHE_ENTRIES:
-            self.cache = {"": b""}
-            new = set().union(*cut).difference(self.cache)
-        todo = list(new)
-        for k in range(0, len(todo), 10_000):
-            part = todo[k : k + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(part, found, strict=True))
+        if len(self.cache) > CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {"": b""}
+        missing = set().union(*cut).difference(self.cache)
+        again = missing.intersection(self.older)
+        self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self.learn(list(missing - again))
         look = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(look, c)), self.dtype) for c in cut]
 
@@ -66,7 +113,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return _held[path, keeps_space]
 
 
-def slices(texts: list[str], most_chars: int = 4_000_000):
+def slices(texts: list[str], most_chars: int = 3_000_000):
     """Runs of texts of bounded total length, so that one batch's chunks stay in memory."""
     held, size = [], 0
     for text in texts:
