@@ -6,9 +6,9 @@ with plain string operations, each distinct chunk is encoded once per worker by
 and the ids of a text are the joined ids of its chunks. Texts have few distinct chunks against their
 length; the whole is several times as fast as encoding every text and gives the same ids.
 
-New chunks are reduced once more: a stop or comma behind a letter is a piece of its own, and where the tokenizer
-ignores case, A-Z are put in lower case. What are then words of letters alone are encoded many at a time and
-told apart by the tokens that mark a word's start or end.
+A sign behind a letter starts a piece too (an apostrophe may not), so texts are cut there as well, and where the
+tokenizer ignores case, A-Z are put in lower case first. New chunks of letters alone are encoded many at a time
+and told apart by the tokens that mark a word's start or end.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_ENTRIES = 350_000
 
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: ASCII signs that start a piece behind a letter (all but the apostrophe), and ASCII letters, as tables over bytes.
+_SIGN, _LETTER = (np.array([b in range(33, 127) and not chr(b).isalnum() and b != 39 for b in range(256)]), np.array([b < 128 and chr(b).isalpha() for b in range(256)]))
 _held: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -41,19 +43,31 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start (end) a word
         for token, k in vocabulary.items():
             self.border[k] = token.startswith("\u0120") if keeps_space else token.endswith("</w>")
         self.ignores_case = self.tokenizer.encode("A b", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids
 
-    def chunks(self, text: str) -> list[str]:
-        if not self.keeps_space:
-            return text.replace("\n", " ").split(" ")
-        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line breaks only
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return [text] if "\0" in text else _CUT.sub("\0", text).split("\0")
+    def chunks(self, texts: list[str]) -> list[list[str]]:
+        """Each text's chunks."""
+        odd = [k for k, x in enumerate(texts) if "\0" in x or "\x01" in x or self.keeps_space and " ".join(x.split()) != x.replace("\n", " ")]
+        blank = list(texts)
+        for k in odd:
+            blank[k] = ""
+        data = "\x01".join(blank).encode("utf-8", "surrogatepass")
+        a = np.frombuffer(data.translate(LOWER_BYTES) if self.ignores_case else data, np.uint8)
+        if len(a) > 2:
+            letter = _LETTER[a]
+            letter[1:] |= (a[:-1] == 0xC3) & (a[1:] != 0x97) & (a[1:] != 0xB7)  # U+00C0 to U+00FF in UTF-8, but for two signs
+            a = np.insert(a, np.flatnonzero(_SIGN[a[1:]] & letter[:-1]) + 1, 0)
+        joined = a.tobytes().decode("utf-8", "surrogatepass")
+        joined = joined.replace(" ", "\0 ").replace("\n", "\0\n\0") if self.keeps_space else joined.replace("\n", "\0").replace(" ", "\0")
+        found = [x.split("\0") for x in joined.split("\x01")]
+        for k in odd:  # other white space than single spaces and line breaks, or a separator in the text
+            x = texts[k]
+            found[k] = [x] if "\0" in x or not self.keeps_space else _CUT.sub("\0", x).split("\0")
+        return found
 
     def plain(self, chunks: list[str]) -> list[bytes]:
         """Each chunk's ids, by the library."""
@@ -63,8 +77,8 @@ class Encoder:
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters (each with its leading space if that counts), encoded together."""
         found: list[bytes] = []
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
+        for k in range(0, len(words), 100):
+            part = words[k : k + 100]
             ids = np.array(self.tokenizer.encode_batch_fast([("" if self.keeps_space else " ").join(part)], add_special_tokens=False)[0].ids, self.dtype)
             marks = np.flatnonzero(self.border[ids])
             cuts = np.append(marks, len(ids)) if self.keeps_space else np.append(0, marks + 1)
@@ -77,25 +91,14 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         """Put new chunks into the cache."""
-        joined = "\0".join(new)
-        if self.ignores_case:
-            joined = joined.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).decode("utf-8", "surrogatepass")
-        split = [(c[:-1], c[-1]) if c[-1:] in (".", ",", ":", ";") and c[-2:-1].isalpha() else (c, "") for c in joined.split("\0")] if new else []
-        if len(split) != len(new):  # a chunk that holds the separator
-            split = [(c, "") for c in new]
-        wanted = {x for pair in split for x in pair}.difference(self.bases)
-        words = [w for w in wanted if (w[1:].isalpha() and w[0] == " " if self.keeps_space else w.isalpha())]
-        others = list(wanted.difference(words))
-        self.bases.update(zip(words, self.words(words), strict=True))
-        self.bases.update(zip(others, self.plain(others), strict=True))
-        look = self.bases.__getitem__
-        self.cache.update((c, look(base) + look(tail) if tail else look(base)) for c, (base, tail) in zip(new, split, strict=True))
-        if len(self.bases) > CACHE_ENTRIES:
-            self.bases = {"": b""}
+        words = [w for w in new if (w[1:].isalpha() and w[0] == " " if self.keeps_space else w.isalpha())]
+        others = list(set(new).difference(words))
+        self.cache.update(zip(words, self.words(words), strict=True))
+        self.cache.update(zip(others, self.plain(others), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids for each text."""
-        cut = [self.chunks(x) for x in texts]
+        cut = self.chunks(texts)
         if len(self.cache) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {"": b""}
         missing = set().union(*cut).difference(self.cache)
