@@ -44,7 +44,7 @@ from .components import components
 #: Signatures held by a task before they are handed over.
 FLUSH = 3_000_000
 #: Sets around a centre that are compared with each other at once; more are cut into blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Documents that take part in a pair are looked up by broadcast up to this number, by a shuffle beyond.
 BROADCAST_DOCS = 1_000_000
 #: Weight of signatures that hold one n-gram only.
@@ -297,9 +297,9 @@ def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def cells_of(found: np.ndarray) -> np.ndarray:
-    """Counts (up to 255) of a set's n-grams by hash, in about as many cells (a power of two). However they are cut off
+    """Counts (up to 255) of a set's n-grams by hash, in about as many cells (a power of two; twice as many for large sets). However they are cut off
     or added up, the counts of two sets differ by no more than the sets do."""
-    bits = min(13, max(3, round(math.log2(len(found) + 1))))
+    bits = min(16, max(3, round(math.log2(len(found) + 1)) + (len(found) > 2000)))
     return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
@@ -358,6 +358,13 @@ def not_refuted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return close.select("a", "b", "size_a", "size_b", "cells_a", "cells_b").mapInArrow(run, PAIR)
 
 
+def similar(x: bytes, y: bytes, num: int, den: int) -> bool:
+    """Whether two whole sets have at least the similarity num/den."""
+    both = np.sort(np.concatenate((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return den * shared >= num * (len(both) - shared)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, equal: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets are similar, compared whole. equal: doc, k1, k2."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
@@ -367,10 +374,7 @@ def verified(pairs: DataFrame, docs: DataFrame, equal: DataFrame, n: int, num: i
         for batch in found:
             stay = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column("members_a"), batch.column("members_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                stay[k] = den * shared >= num * (len(both) - shared)
+                stay[k] = similar(x.as_buffer(), y.as_buffer(), num, den)
             yield batch.select(["a", "b"]).filter(pa.array(stay))
 
     return _both(pairs, sets, "members").select("a", "b", "members_a", "members_b").mapInArrow(run, PAIR)
@@ -401,7 +405,8 @@ def across(members: DataFrame, num: int, den: int) -> DataFrame:
                     left.append(doc[k])
                     right.append(doc[o])
         a, b = np.array(left, np.int64), np.array(right, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+        place = [pa.array(np.full(len(a), v), t) for v, t in ((centre, pa.int64()), (x, pa.int32()), (y, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*place, pa.array(a), pa.array(b)], names=["centre", "x", "y", "a", "b"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -415,7 +420,32 @@ def across(members: DataFrame, num: int, den: int) -> DataFrame:
         if rows:
             yield of_group(*at, rows)
 
-    return members.repartition("centre", "x", "y").sortWithinPartitions("centre", "x", "y").mapInArrow(run, PAIR).distinct()
+    return members.repartition("centre", "x", "y").sortWithinPartitions("centre", "x", "y").mapInArrow(run, f"centre long, x int, y int, {PAIR}")
+
+
+def verified_around(pairs: DataFrame, docs: DataFrame, equal: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """As `verified`, for the pairs of `across`: a set travels once for each block of a centre, not for each pair."""
+    place = ["centre", "x", "y"]
+    ends = pairs.select(*place, F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = sets_of(docs, keep(equal.join(ends.select("doc").distinct(), "doc", "left_semi").select("doc", "k1", "k2"), "wanted"), n)
+    rows = ends.join(sets, "doc").select(*place, F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "members")
+    rows = rows.unionByName(pairs.withColumn("members", F.lit(None).cast("binary")))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in found:
+            left, right = [], []
+            for *group, a, b, members in zip(*(batch.column(c).to_pylist() for c in (*place, "a", "b", "members")), strict=True):
+                if group != at:
+                    at, held = group, {}
+                if b is None:
+                    held[a] = members
+                elif a in held and b in held and similar(held[a], held[b], num, den):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(*place).sortWithinPartitions(*place, F.col("b").asc_nulls_first()).mapInArrow(run, PAIR)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -451,7 +481,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
     spread = spread.join(firsts.join(centres, "doc"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     across_pairs = keep(across(spread.select("centre", "x", "y", "doc", "component", "size", "cells", "block", "centres"), num, den), "pairs")
-    more = keep(verified(across_pairs, docs, equal, n, num, den), "links")
+    more = keep(verified_around(across_pairs, docs, equal, n, num, den), "links")
     if not more.isEmpty():
         tops = components(_labelled(_labelled(more, labels, "a", "top_a"), labels, "b", "top_b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
         old = labels.select("node", F.col("component").alias("middle")).unionByName(tops.select("node", F.col("node").alias("middle"))).dropDuplicates(["node"])
