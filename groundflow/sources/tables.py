@@ -32,11 +32,11 @@ def trajectory(detections: DataFrame) -> DataFrame:
 
 
 def write_trajectory_csv(rows: DataFrame, path: str) -> None:
-    rows.select(schema.TRAJECTORY.names).write.option("header", True).option("nanValue", "nan").csv(path)
+    rows.select(schema.names(schema.TRAJECTORY)).write.option("header", True).option("nanValue", "nan").csv(path)
 
 
 def write_trajectory_parquet(rows: DataFrame, path: str) -> None:
-    rows.select(schema.TRAJECTORY.names).write.parquet(path)
+    rows.select(schema.names(schema.TRAJECTORY)).write.parquet(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
