@@ -51,11 +51,11 @@ def frame_density(points: DataFrame, frames: DataFrame, area_m2: float, cell: fl
     return spine.select("frame_idx", "t_sec", n.alias("in_quad"), (n / F.lit(area_m2)).alias("density"), (F.col("top") / F.lit(cell * cell)).alias("peak_cell_density"))
 
 
-def density_summary(series: DataFrame) -> DataFrame:
+def density_summary(series: DataFrame, area_m2: float) -> DataFrame:
     """Mean, peak and the first frame that has it."""
     best = F.max_by(F.struct("frame_idx", "t_sec"), F.struct("density", -F.col("frame_idx")))
-    found = series.agg(F.count("*").alias("n_frames"), F.sum("in_quad").alias("persons"), F.max("density").alias("max_density"), best.alias("at"), F.max(F.coalesce("peak_cell_density", F.lit(0.0))).alias("max_cell_density"))
-    return found.select("n_frames", "persons", "max_density", F.col("at.frame_idx").alias("max_frame"), F.col("at.t_sec").alias("max_t"), "max_cell_density")
+    found = series.agg(F.count("*").alias("n_frames"), F.sum("in_quad").alias("persons"), (F.avg("in_quad") / F.lit(area_m2)).alias("mean_density"), F.max("density").alias("max_density"), best.alias("at"), F.max(F.coalesce("peak_cell_density", F.lit(0.0))).alias("max_cell_density"))
+    return found.select("n_frames", "persons", "mean_density", "max_density", F.col("at.frame_idx").alias("max_frame"), F.col("at.t_sec").alias("max_t"), "max_cell_density")
 
 
 def busiest_cell(points: DataFrame, cell: float) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,21 +14,26 @@ def speed_gate(observations: DataFrame, max_speed: float) -> DataFrame:
     """observations (track_id, t_sec, x, y, ...) with `accepted`, in each track's order of time.
 
     An observation is rejected if it is faster than the limit from the last ACCEPTED one; the first is accepted, and
-    so is one that does not lie later. A fold over the track's sorted observations; no Python."""
+    so is one that does not lie later. Sorted tracks pass by and only the last accepted row is held, so that a
+    track of any length fits."""
     rest = [c for c in observations.columns if c not in ("track_id", "t_sec", "x", "y", "accepted")]
-    row = F.struct("t_sec", "x", "y", *rest)
-    tracks = observations.groupBy("track_id").agg(F.array_sort(F.collect_list(row)).alias("seen"))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast("array<boolean>").alias("flags"))
+    rows = observations.select("track_id", "t_sec", "x", "y", *rest)
 
-    def step(state: Column, o: Column) -> Column:
-        dx, dy, dt = o["x"] - state["x"], o["y"] - state["y"], o["t_sec"] - state["t"]
-        bad = F.coalesce((dt > 0) & (F.try_divide(F.sqrt(dx * dx + dy * dy), dt) > max_speed), F.lit(False))
-        pick = lambda new, old: F.when(bad, old).otherwise(new)
-        return F.struct(pick(o["t_sec"], state["t"]).alias("t"), pick(o["x"], state["x"]).alias("x"), pick(o["y"], state["y"]).alias("y"), F.concat(state["flags"], F.array(~bad)).alias("flags"))
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, t0, x0, y0, first = None, None, None, None, True
+        for batch in found:
+            flags = []
+            for k, t, x, y in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                bad = False
+                if not first and k == track and None not in (t, x, y, t0, x0, y0) and t > t0:
+                    bad = math.sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) / (t - t0) > max_speed
+                if not bad:
+                    track, t0, x0, y0, first = k, t, x, y, False
+                flags.append(not bad)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "accepted"])
 
-    flags = F.aggregate("seen", start, step, lambda s: s["flags"])
-    both = tracks.select("track_id", F.explode(F.arrays_zip("seen", flags.alias("flags"))).alias("z"))
-    return both.select("track_id", "z.seen.*", F.col("z.flags").alias("accepted"))
+    sorted_ = rows.repartition("track_id").sortWithinPartitions("track_id", "t_sec", "x", "y", *rest)
+    return sorted_.mapInArrow(run, rows.schema.add("accepted", "boolean"))
 
 
 def velocity(accepted: DataFrame, window_frames: int) -> DataFrame:
@@ -53,8 +62,13 @@ def churn(observations: DataFrame, n_frames: Column | int) -> DataFrame:
     )
 
 
-def ids_so_far(observations: DataFrame, frames: DataFrame) -> DataFrame:
-    """For each frame the number of distinct tracks up to it: first appearances, summed up."""
+def ids_so_far(observations: DataFrame, frames: DataFrame, block: int = 100_000) -> DataFrame:
+    """For each frame the number of distinct tracks up to it: first appearances, summed up.
+
+    Sums run within blocks of frames, and over the blocks' totals, so that no task holds all frames."""
     firsts = observations.groupBy("track_id").agg(F.min("frame_idx").alias("frame_idx")).groupBy("frame_idx").agg(F.count("*").alias("new_ids"))
-    spine = frames.join(firsts, "frame_idx", "left").withColumn("new_ids", F.coalesce("new_ids", F.lit(0)))
-    return spine.select("frame_idx", "new_ids", F.sum("new_ids").over(Window.orderBy("frame_idx")).alias("ids_so_far"))
+    spine = frames.join(firsts, "frame_idx", "left").select("frame_idx", F.coalesce("new_ids", F.lit(0)).alias("new_ids"), F.floor(F.col("frame_idx") / block).alias("block"))
+    totals = spine.groupBy("block").agg(F.sum("new_ids").alias("n"))
+    before = totals.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    within = F.sum("new_ids").over(Window.partitionBy("block").orderBy("frame_idx"))
+    return spine.join(before, "block").select("frame_idx", "new_ids", (within + F.col("before")).alias("ids_so_far"))

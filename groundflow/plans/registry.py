@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundflow.functions import geometry as G
 from groundflow.operators import density as D
 from groundflow.operators import detections as E
+from groundflow.operators import detector as P
+from groundflow.operators import synthetic as Y
+from groundflow.operators import tracking as K
 from groundflow.operators import tracks as T
 
 #: A camera's quad in pixels and on the ground in metres.
 QUAD = [(781.0, 2143.0), (2640.0, 2142.0), (3052.0, 906.0), (2707.0, 853.0)]
 WORLD = [(-3.0, 0.0), (3.0, 0.0), (3.0, 15.0), (-3.0, 15.0)]
 H = G.fit_homography(QUAD, WORLD)
+H_INV = np.linalg.inv(np.array(H)).tolist()
 AREA = G.area(WORLD)
 GRID = D.Grid(0.0, 0.0, 10.0, 10, 10)
 SPEED, WINDOW_S, SAMPLES, SIGMA = 0.02, 7200.0, 5, 1.0
@@ -233,9 +238,9 @@ def busiest_cell(spark, d):
     return D.busiest_cell(points, 1.0)
 
 
-@query("dens", sql="SELECT count(*) AS n_frames, sum(in_quad)::BIGINT AS persons, max(density) AS max_density, arg_max(frame_idx, (density, -frame_idx)) AS max_frame, arg_max(t_sec, (density, -frame_idx)) AS max_t, max(coalesce(peak_cell_density, 0)) AS max_cell_density FROM dens")
+@query("dens", sql=f"SELECT count(*) AS n_frames, sum(in_quad)::BIGINT AS persons, avg(in_quad) / {AREA}::DOUBLE AS mean_density, max(density) AS max_density, arg_max(frame_idx, (density, -frame_idx)) AS max_frame, arg_max(t_sec, (density, -frame_idx)) AS max_t, max(coalesce(peak_cell_density, 0)) AS max_cell_density FROM dens")
 def density_summary(spark, d):
-    return D.density_summary(frame_density(spark, d))
+    return D.density_summary(frame_density(spark, d), AREA)
 
 
 @query("trk", sql="SELECT track_id, max(t_sec) - min(t_sec) AS lifetime_s, count(*) AS n_observations FROM trk GROUP BY 1")
@@ -396,3 +401,91 @@ def embedded_points(spark, d):
     found = spark.read.parquet(f"{d}/embeddings.parquet")
     x, y = (F.lit(o) + F.lit(s) * F.col("embedding")[k].cast("double") for k, (o, s) in enumerate(((1920, 3840), (1080, 2160))))
     return found.agg(F.count("*").alias("n"), F.count_if(G.in_polygon(QUAD, x, y)).alias("inside"))
+
+
+@query("det", sql="")
+def tile_counters(spark, d):
+    return P.tile_counters(detections(spark, d), 0.3).withColumn("n_suppressed", F.col("n_before") - F.col("n_after"))
+
+
+_SQL["tile_counters"] = (
+    _SQL["cross_tile_nms"].replace("SELECT r.frame_idx, r.class_id, u.b.conf", ", after AS (SELECT r.frame_idx, r.class_id, u.b.conf", 1).rstrip()
+    + ") SELECT frame_idx, n_before, n_after, n_before - n_after AS n_suppressed FROM (SELECT frame_idx, count(*) AS n_before FROM det GROUP BY 1) b JOIN (SELECT frame_idx, count(*) AS n_after FROM after GROUP BY 1) a USING (frame_idx)"
+)
+
+
+@query("proj", sql="SELECT frame_idx, CAST(floor(world_x) AS BIGINT) AS ci, CAST(floor(world_y) AS BIGINT) AS cj, count(*) AS n FROM proj WHERE in_quad GROUP BY 1, 2, 3")
+def frame_cell_counts(spark, d):
+    cell = lambda c: F.floor(F.col(f"world_{c}"))
+    return projected(spark, d).where("in_quad").groupBy("frame_idx", cell("x").alias("ci"), cell("y").alias("cj")).agg(F.count("*").alias("n"))
+
+
+@query("roll", sql='SELECT frame_idx, col, "row", round(pow(least(greatest(value, 0), 3::DOUBLE) / 3::DOUBLE, 0.5::DOUBLE) * 0.7::DOUBLE, 9) AS alpha FROM roll')
+def density_overlay_alpha(spark, d):
+    return _rolling(spark, d).select("frame_idx", "col", "row", F.round(D.overlay_alpha(F.col("value"), 3.0), 9).alias("alpha"))
+
+
+@query("det", sql="""SELECT frame_idx, x1, y1, least(greatest(x2, x1 + 1), 3840) AS x2, least(greatest(y2, y1 + 1), 2160) AS y2
+  FROM (SELECT frame_idx, least(greatest(x1, 0), 3839)::DOUBLE AS x1, least(greatest(y1, 0), 2159)::DOUBLE AS y1, x2, y2 FROM det) c""")
+def clamped_boxes(spark, d):
+    return detections(spark, d).withColumns(G.clamp_box(3840.0, 2160.0)).select("frame_idx", *E.BOX)
+
+
+@query("det", sql="SELECT frame_idx, x1 / f AS x1, y1 / f AS y1, x2 / f AS x2, y2 / f AS y2 FROM (SELECT *, 1280::DOUBLE / 3840 AS f FROM det) s")
+def rescaled_boxes(spark, d):
+    factor = G.shrink_factor(F.lit(3840), F.lit(2160), 1280)
+    return detections(spark, d).select("frame_idx", *[(F.col(c) / factor).alias(c) for c in E.BOX])
+
+
+#: Walkers: every customer crosses the ground of a camera (its nation) for 40 frames.
+WALKERS = """SELECT c_nationkey AS stream_id, c_custkey AS agent_id, c_custkey % 300 + k AS frame_idx,
+  ((c_custkey * 37) % 600) / CAST(100 AS DOUBLE) - 3 AS x_world, ((c_custkey * 53) % 1000) / CAST(100 AS DOUBLE) + k * CAST(0.05 AS DOUBLE) AS y_world"""
+NOISE = Y.Noise(seed=7)
+
+
+def synthetic(spark: SparkSession, d: str) -> DataFrame:
+    steps = spark.read.parquet(f"{d}/customer.parquet").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    walkers = spark.sql(WALKERS + " FROM {steps}", steps=steps)
+    spine = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("stream_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(339).cast("long"))).alias("frame_idx"))
+    return Y.detect(walkers, spine, H_INV, 3840, 2160, NOISE)
+
+
+def _chance(salt: str, keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{NOISE.seed}:{salt}', {keys})), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+def _normal(salt: str) -> str:
+    keys = "stream_id, frame_idx, truth_agent_id, det_id"
+    return f"(sqrt(-2 * ln(1 - {_chance(salt + '.r', keys)})) * cos(2 * pi() * {_chance(salt + '.a', keys)}))"
+
+
+def _point(r: list[float], x: str) -> str:
+    return f"({r[0]!r}::DOUBLE * ({x}) + {r[1]!r}::DOUBLE * y_world + {r[2]!r}::DOUBLE)"
+
+
+def _at(k: int, x: str) -> str:
+    return f"({_point(H_INV[k], x)} / {_point(H_INV[2], x)})"
+
+
+_FALSE = "(" + " + ".join(f"({_chance('false', 'stream_id, frame_idx')} >= {v!r}::DOUBLE)::INT" for v in Y.poisson_steps(NOISE.false_per_frame)) + ")"
+_SYNTHETIC = f"""WITH walk AS (SELECT *, abs({_at(0, 'x_world + 0.25::DOUBLE')} - {_at(0, 'x_world - 0.25::DOUBLE')}) AS w FROM ({WALKERS} FROM customer, (SELECT range AS k FROM range(40)) s) q),
+box AS (SELECT stream_id, frame_idx, agent_id AS truth_agent_id, 0 AS det_id, {_at(0, 'x_world')} AS cx, {_at(1, 'x_world')} AS y2, w, w * 3.4::DOUBLE AS h FROM walk WHERE {_chance('drop', 'stream_id, frame_idx, agent_id')} >= 0.05::DOUBLE
+  UNION ALL SELECT stream_id, frame_idx, -1, det_id, {_chance('false.x', 'stream_id, frame_idx, det_id')} * 3840, {_chance('false.y', 'stream_id, frame_idx, det_id')} * 2160 + 162, 324::DOUBLE / 3.4::DOUBLE, 324
+  FROM (SELECT stream_id, frame_idx, unnest(range(1, {_FALSE} + 1)) AS det_id FROM (SELECT n_nationkey AS stream_id, range AS frame_idx FROM nation, range(340)) f) g),
+moved AS (SELECT *, cx - w / 2 + 2 * {_normal('x1')} AS a1, y2 - h + 2 * {_normal('y1')} AS b1, cx + w / 2 + 2 * {_normal('x2')} AS a2, y2 + 2 * {_normal('y2')} AS b2, 0.75::DOUBLE + 0.1::DOUBLE * {_normal('conf')} AS c FROM box),
+held AS (SELECT *, least(greatest(a1, 0), 3839) AS x1, least(greatest(b1, 0), 2159) AS y1 FROM moved)
+SELECT stream_id, frame_idx, truth_agent_id::BIGINT AS truth_agent_id, det_id::INT AS det_id, round(x1, 5) AS x1, round(y1, 5) AS y1, round(least(greatest(a2, x1 + 1), 3840), 5) AS x2, round(least(greatest(b2, y1 + 1), 2160), 5) AS y2, round(least(greatest(c, 0.01::DOUBLE), 1), 5) AS conf FROM held"""
+
+
+@query(sql=_SYNTHETIC)
+def synthetic_detections(spark, d):
+    numbers = [F.round(c, 5).alias(c) for c in (*E.BOX, "conf")]
+    return synthetic(spark, d).select("stream_id", "frame_idx", F.col("truth_agent_id").cast("long"), "det_id", *numbers)
+
+
+def tracked_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic detections with track ids. SQL cannot express it; tests follow known walkers."""
+    return K.track(synthetic(spark, d)).select("stream_id", "frame_idx", "truth_agent_id", "det_id", "track_id")
+
+
+_QUERIES["tracked_detections"] = tracked_detections

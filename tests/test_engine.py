@@ -17,10 +17,10 @@ from groundflow.sources import tables as S
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "embeddings"):
+    for t in ("lineitem", "orders", "events", "embeddings", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, SF).toPandas()
