@@ -1,7 +1,8 @@
 """Streams of frames, one row a frame: rolling density, tracking, and the trajectory sink.
 
 A frame comes whole, empty or not, so nothing has to be waited for. Frames of one micro-batch are put in order of time; a
-frame that is not later than those before it in its stream is passed over.
+frame that is not later than those before it in its stream is passed over. State goes after `idle` of processing time; with
+None it stays, and a query that is to end by itself (trigger availableNow) needs that.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
 
-def _keyed(frames: DataFrame, out: str, state: str, step: Callable, idle: str) -> DataFrame:
+def _keyed(frames: DataFrame, out: str, state: str, step: Callable, idle: str | None) -> DataFrame:
     """step(key, ordered frames, state or None) -> (rows, new state); a stream's state goes when it is idle."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -38,13 +39,14 @@ def _keyed(frames: DataFrame, out: str, state: str, step: Callable, idle: str) -
             return
         rows, new = step(key[0], pd.concat(list(batches)).sort_values("frame_idx"), held.get if held.exists else None)
         held.update(new)
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=_names(out))
 
-    return frames.groupBy("stream_id").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("stream_id").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
-def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str = "10 minutes") -> DataFrame:
+def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str | None = "10 minutes") -> DataFrame:
     """Mean persons a cell over the last seconds, for every frame and every cell that is not empty.
 
     frames: stream_id, frame_idx, t_sec, points (x, y). State is the counts of the frames in the window."""
@@ -77,7 +79,7 @@ def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str = "
     return _keyed(frames.select("stream_id", "frame_idx", "t_sec", "points"), GRID_OUT, "times array<double>, sizes array<int>, places array<int>, last long", step, idle)
 
 
-def track(frames: DataFrame, params: Params = Params(), idle: str = "10 minutes") -> DataFrame:
+def track(frames: DataFrame, params: Params = Params(), idle: str | None = "10 minutes") -> DataFrame:
     """Boxes with track_id, as the batch form gives them up to the ids' numbers.
 
     frames: stream_id, frame_idx, boxes (x1, y1, x2, y2, conf). State is the stream's live tracks."""

@@ -19,10 +19,10 @@ def _slope(t: list[float], v: list[float]) -> float:
     return float((t0 * np.array(v)).sum() / size) if size else 0.0
 
 
-def gated_velocity(observations: DataFrame, max_speed: float, window_frames: int, idle: str = "10 minutes") -> DataFrame:
+def gated_velocity(observations: DataFrame, max_speed: float, window_frames: int, idle: str | None = "10 minutes") -> DataFrame:
     """Accepted observations with their velocity. Rows of a batch are put in order of time; state is the last
-    window_frames accepted samples a track and goes after `idle` of processing time without rows."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    window_frames accepted samples a track and goes after `idle` of processing time without rows; None keeps it, which a query that is to end by itself needs."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,7 +40,8 @@ def gated_velocity(observations: DataFrame, max_speed: float, window_frames: int
             one = len(t) < 2
             out.append((key[0], row.t_sec, row.x, row.y, 0.0 if one else _slope(t, x), 0.0 if one else _slope(t, y), len(t) == window_frames))
         state.update((t, x, y))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return observations.select("track_id", "t_sec", "x", "y").groupBy("track_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return observations.select("track_id", "t_sec", "x", "y").groupBy("track_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

@@ -115,9 +115,9 @@ def test_stream_equals_batch(spark, tmp_path):
 
     obs = registry.tracks(spark, SF).select("track_id", "t_sec", "x", "y")
     obs.write.parquet(str(tmp_path / "in"))
-    stream = gated_velocity(spark.readStream.schema(obs.schema).parquet(str(tmp_path / "in")), registry.SPEED, 5)
+    stream = gated_velocity(spark.readStream.schema(obs.schema).parquet(str(tmp_path / "in")), registry.SPEED, 5, idle=None)
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {(r.track_id, r.t_sec): r.v_x for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.track_id, r.t_sec): r.v_x for r in T.velocity(T.speed_gate(obs, registry.SPEED).where("accepted"), 5).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)

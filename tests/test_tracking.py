@@ -129,7 +129,7 @@ def _through(spark, tmp_path, packed, make):
     packed.write.parquet(str(tmp_path / "in"))
     stream = make(spark.readStream.schema(packed.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
 
 
@@ -138,7 +138,7 @@ def test_streamed_density_equals_batch(spark, tmp_path):
     points = registry.tracks(spark, SF).select(F.lit("a").alias("stream_id"), "frame_idx", "x", "y")
     spine = registry.track_frames(spark, SF).withColumn("stream_id", F.lit("a"))
     packed = spine.join(points.groupBy("stream_id", "frame_idx").agg(F.collect_list(F.struct("x", "y")).alias("points")), ["stream_id", "frame_idx"], "left")
-    got = _through(spark, tmp_path, packed.coalesce(1), lambda s: Z.rolling_density(s, grid, 7200.0)).collect()
+    got = _through(spark, tmp_path, packed.coalesce(1), lambda s: Z.rolling_density(s, grid, 7200.0, idle=None)).collect()
     want = D.rolling(points, spine, grid, 7200.0, ["stream_id"]).where("value > 0").collect()
     assert {(r.frame_idx, r.col, r.row): r.value for r in got} == pytest.approx({(r.frame_idx, r.col, r.row): r.value for r in want})
 
@@ -146,7 +146,7 @@ def test_streamed_density_equals_batch(spark, tmp_path):
 def test_streamed_tracks_equal_batch(spark, tmp_path):
     rows = spark.createDataFrame(scene(), BOXES)
     packed = rows.groupBy("stream_id", "frame_idx").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "conf")).alias("boxes"))
-    got = _through(spark, tmp_path, packed, Z.track).collect()
+    got = _through(spark, tmp_path, packed, lambda s: Z.track(s, idle=None)).collect()
     want = K.track(rows).collect()
     key = lambda r: (r.stream_id, r.frame_idx, r.x1, r.y1)
     groups = lambda d: sorted(sorted(key(r) for r in d if (r.stream_id, r.track_id) == i) for i in {(r.stream_id, r.track_id) for r in d if r.track_id >= 0})
