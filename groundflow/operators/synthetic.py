@@ -29,16 +29,16 @@ class Noise:
     class_id: int = 0
 
 
-def uniform(seed: int, salt: str, *keys: str) -> Column:
-    """A number in [0, 1) from 52 bits of a hash of the keys."""
+def uniform(seed: int, salt: str, *keys: str, part: int = 0) -> Column:
+    """A number in [0, 1) from 52 bits of a hash of the keys; a hash has two such parts."""
     digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), *[F.col(k).cast("string") for k in keys]))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return F.conv(F.substring(digest, 1 + 13 * part, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def normal(seed: int, salt: str, *keys: str) -> Column:
-    """A standard normal number (Box and Muller)."""
-    far = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - uniform(seed, salt + ".r", *keys)))
-    return far * F.cos(F.lit(2 * math.pi) * uniform(seed, salt + ".a", *keys))
+    """A standard normal number (Box and Muller) from one hash."""
+    far = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - uniform(seed, salt, *keys)))
+    return far * F.cos(F.lit(2 * math.pi) * uniform(seed, salt, *keys, part=1))
 
 
 def poisson_steps(mean: float) -> list[float]:

@@ -450,13 +450,13 @@ def synthetic(spark: SparkSession, d: str) -> DataFrame:
     return Y.detect(walkers, spine, H_INV, 3840, 2160, NOISE)
 
 
-def _chance(salt: str, keys: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws(':', '{NOISE.seed}:{salt}', {keys})), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+def _chance(salt: str, keys: str, part: int = 0) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{NOISE.seed}:{salt}', {keys})), {1 + 13 * part}, 13))::BIGINT / 4503599627370496::DOUBLE)"
 
 
 def _normal(salt: str) -> str:
     keys = "stream_id, frame_idx, truth_agent_id, det_id"
-    return f"(sqrt(-2 * ln(1 - {_chance(salt + '.r', keys)})) * cos(2 * pi() * {_chance(salt + '.a', keys)}))"
+    return f"(sqrt(-2 * ln(1 - {_chance(salt, keys)})) * cos(2 * pi() * {_chance(salt, keys, 1)}))"
 
 
 def _point(r: list[float], x: str) -> str:
