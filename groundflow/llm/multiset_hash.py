@@ -5,7 +5,8 @@ vectors, lane by lane modulo 2^32. So the order of paragraphs does not matter, a
 paragraph adds or subtracts its vector (`combine`) without reading the rest. A paragraph's vector has two parts:
 
 * 32 identity lanes, the paragraph's SHAKE-128 hash; equal sums mean equal multisets of paragraphs;
-* 96 likeness lanes, signed counts (+1 or -1, by hash) of the paragraph's 12-byte windows. As they are
+* 96 likeness lanes, signed counts (+1 or -1, by hash) of the paragraph's 12-byte windows; a shorter paragraph is
+  one window of its own, and only an empty one, which has no bytes to share, adds nothing. As they are
   sums too, the cosine of two documents' likeness lanes estimates how many windows they share.
 
 The fingerprint is the vector's 512 bytes in base64. Null and empty text is one empty paragraph. Texts are
@@ -43,17 +44,20 @@ def _power(n: int) -> np.uint64:
 
 def _likeness(data: bytes, lengths: np.ndarray) -> np.ndarray:
     """Signed window counts of texts that are joined by line breaks."""
-    n, out = len(data) - WINDOW + 1, np.zeros((len(lengths), LIKENESS_LANES), np.int64)
-    if n <= 0:
-        return out
+    out = np.zeros((len(lengths), LIKENESS_LANES), np.int64)
     a = np.frombuffer(data, np.uint8)
-    broken = np.concatenate(([0], np.cumsum(a == 10, dtype=np.int32)))
-    at = np.flatnonzero(broken[WINDOW:] == broken[:n])  # no line break inside
-    h = a.astype(np.uint64) + np.uint64(1)
-    h2 = h[:-1] * _power(1) + h[1:]
-    h4 = h2[:-2] * _power(2) + h2[2:]
-    h8 = h4[:-4] * _power(4) + h4[4:]
-    w = (h8[:n] * _power(4) + h4[8 : 8 + n])[at]
+    breaks = np.flatnonzero(a == 10)
+    at, w = _short_lines(a, breaks)
+    n = len(a) - WINDOW + 1
+    if n > 0:
+        broken = np.concatenate(([0], np.cumsum(a == 10, dtype=np.int32)))
+        inside = np.flatnonzero(broken[WINDOW:] == broken[:n])  # no line break inside
+        h = a.astype(np.uint64) + np.uint64(1)
+        h2 = h[:-1] * _power(1) + h[1:]
+        h4 = h2[:-2] * _power(2) + h2[2:]
+        h8 = h4[:-4] * _power(4) + h4[4:]
+        w = np.concatenate((w, (h8[:n] * _power(4) + h4[8 : 8 + n])[inside]))
+        at = np.concatenate((at, inside))
     w ^= w >> np.uint64(29)
     w *= _MIX
     w ^= w >> np.uint64(32)
@@ -64,6 +68,19 @@ def _likeness(data: bytes, lengths: np.ndarray) -> np.ndarray:
     return np.bincount(lane, weights=sign, minlength=out.size).astype(np.int64).reshape(out.shape)
 
 
+def _short_lines(a: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each line that has bytes but fewer than a window."""
+    starts = np.concatenate(([0], breaks + 1))
+    size = np.append(breaks, len(a)) - starts
+    short = (size > 0) & (size < WINDOW)
+    starts, size = starts[short], size[short]
+    w = np.zeros(len(starts), np.uint64)
+    for k in range(WINDOW - 1):
+        on = np.flatnonzero(size > k)
+        w[on] = w[on] * _BASE + a[starts[on] + k] + np.uint64(1)
+    return starts, w
+
+
 def _identity(texts: list[bytes]) -> np.ndarray:
     parts = [t.split(b"\n") for t in texts]
     size = 4 * IDENTITY_LANES

@@ -182,6 +182,24 @@ def test_multiset_hash(spark, docs, rows, empty):
     assert multiset_hash.edit_likeness(empty).count() == 0
 
 
+def test_multiset_hash_of_short_lines(spark):
+    draw = random.Random(9)
+    lines = lambda: ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 11))) for _ in range(400)]
+    one, other = lines(), lines()
+    near = one[:20] + other[:20] + one[40:]
+    texts = {4: "\n".join(near), 3: "\n".join(one), 2: "\n".join(other), 1: "short"}
+    got = {r.doc_id: r for r in multiset_hash.edit_likeness(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[4].near_next > 0.75 and got[3].near_next < 0.4
+    assert 0.3 < got[3].near_edited < 0.8 and got[4].near_edited > 0.3
+    # by the sum, line by line
+    long = "a line that is longer than a window"
+    whole, parts = multiset_hash.vectors(["\n".join([*one, long, "", *other]).encode(), b"", b"abc"]), multiset_hash.vectors([x.encode() for x in [*one, long, "", *other]])
+    assert (whole[0] == parts.sum(axis=0, dtype=np.uint32)).all()
+    lanes = slice(multiset_hash.IDENTITY_LANES, None)
+    assert not whole[1, lanes].any() and np.abs(whole[2, lanes].view(np.int32)).sum() == 1
+    assert len(multiset_hash.vectors([b"abc"])) == 1 and (multiset_hash.vectors([b"abc"])[0] == whole[2]).all()
+
+
 def test_decontamination(spark, docs, rows, empty):
     items = [("a", BASE), ("b", "one two"), ("c", None), ("d", " ".join(rows[20][1].split()[2:14])), ("e", "absent words here")]
     bench = spark.createDataFrame(items, "item_id string, text string")
