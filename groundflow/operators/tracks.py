@@ -46,6 +46,15 @@ def velocity(accepted: DataFrame, window_frames: int) -> DataFrame:
     return accepted.withColumns({"v_x": slope("x"), "v_y": slope("y"), "window_full": n == window_frames})
 
 
+def step_rate(observations: DataFrame, steps: int = 30) -> DataFrame:
+    """Observations a second over a track's last up to `steps` time steps; null where there is no step or all are 0.
+
+    Adds the column `rate`; a track's first row has none, its second one has the rate of one step."""
+    order = Window.partitionBy("track_id").orderBy("t_sec", "x", "y")
+    stepped = observations.withColumn("dt", F.col("t_sec") - F.lag("t_sec").over(order))
+    return stepped.withColumn("rate", F.try_divide(F.lit(1.0), F.avg("dt").over(order.rowsBetween(-(steps - 1), 0)))).drop("dt")
+
+
 def lifetimes(observations: DataFrame) -> DataFrame:
     return observations.groupBy("track_id").agg((F.max("t_sec") - F.min("t_sec")).alias("lifetime_s"), F.count("*").alias("n_observations"))
 

@@ -296,6 +296,12 @@ def moving_average(spark, d):
     return tracks(spark, d).select("track_id", "t_sec", F.round(F.try_divide(F.lit(30.0), F.col("t_sec") - F.lag("t_sec", 30).over(w)), 12).alias("rate"))
 
 
+@query("trk", sql="""SELECT track_id, t_sec, round(1 / nullif(avg(dt) OVER (PARTITION BY track_id ORDER BY t_sec, x, y ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0), 12) AS rate
+  FROM (SELECT *, t_sec - lag(t_sec) OVER (PARTITION BY track_id ORDER BY t_sec, x, y) AS dt FROM trk) s""")
+def moving_average_up_to_30(spark, d):
+    return T.step_rate(tracks(spark, d)).select("track_id", "t_sec", F.round("rate", 12).alias("rate"))
+
+
 def _rolling(spark, d):
     return D.rolling(tracks(spark, d).drop("t_sec"), track_frames(spark, d), GRID, WINDOW_S)
 

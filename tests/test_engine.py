@@ -1,5 +1,7 @@
+import itertools
 import math
 import os
+from collections import deque
 
 import duckdb
 import pytest
@@ -77,6 +79,21 @@ def test_gate_and_velocity(spark):
     assert [r.v_x for r in last] == pytest.approx([0, 1, 1]) and [r.window_full for r in last] == [False, False, True]
 
 
+def test_moving_average_starts_with_the_second_row(spark):
+    got = {}
+    for r in registry.queries()["moving_average_up_to_30"](spark, SF).orderBy("track_id", "t_sec").collect():
+        got.setdefault(r.track_id, []).append(r)
+    for rows in got.values():
+        steps = deque(maxlen=30)
+        assert rows[0].rate is None
+        for before, r in itertools.pairwise(rows):
+            steps.append(r.t_sec - before.t_sec)
+            assert r.rate == pytest.approx(len(steps) / sum(steps), abs=1e-11)
+    rows = [(1, float(t), 0.0, 0.0) for t in (0, 1, 3)] + [(2, 5.0, 0.0, 0.0), (2, 5.0, 1.0, 0.0)]
+    rates = [r.rate for r in T.step_rate(spark.createDataFrame(rows, "track_id long, t_sec double, x double, y double"), 2).orderBy("track_id", "t_sec", "x").collect()]
+    assert rates == [None, 1.0, pytest.approx(2 / 3), None, None]
+
+
 def test_churn_of_known_tracks(spark):
     rows = [(1, k / 30) for k in range(30)] + [(2, k / 30) for k in range(90)] + [(3, 5 / 30)]
     got = T.churn(spark.createDataFrame(rows, "track_id long, t_sec double"), 90).first()
