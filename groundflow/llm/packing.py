@@ -7,8 +7,8 @@ largest product is cut to fill the rest, and its remainder returns to the pool.
 behind the first `prompt_tokens` of a document (none by default: all tokens bear loss).
 
 Every input partition packs its own documents, so nothing is shuffled and a lost task is simply repeated with
-the same result. What is left at the end of a partition is cut into sequences whose lengths are powers of two,
-which need no padding. Null or empty text is a document of the end id alone; repeated rows are packed as
+the same result. A sequence that closes short, at the end of a partition or because its segments or loss-bearing
+tokens are used up, is cut into sequences whose lengths are powers of two, which need no padding. Null or empty text is a document of the end id alone; repeated rows are packed as
 often as they occur; an empty table gives no row.
 """
 
@@ -99,7 +99,7 @@ class Packer:
         self.next_id += 1
 
     def emit_tail(self, pieces: list[tuple]) -> None:
-        """Cut a last, partly filled sequence into ones whose lengths are powers of two."""
+        """Cut a partly filled sequence into ones whose lengths are powers of two."""
         total = sum(p[2] for p in pieces)
         room, current = 1 << (total.bit_length() - 1), []
         for doc_id, start, n, _, whole, loss, ids in pieces:
@@ -115,7 +115,7 @@ class Packer:
     def drain(self, down_to: int) -> None:
         while len(self.docs) and self.held() > down_to:
             pieces = self.fill()
-            if down_to == 0 and not len(self.docs) and sum(p[2] for p in pieces) < self.limits[0]:
+            if sum(p[2] for p in pieces) < self.limits[0]:
                 self.emit_tail(pieces)
             else:
                 self.emit(pieces)

@@ -117,6 +117,18 @@ def test_packing_limits(docs):
     assert most[0] <= 256 and most[1] <= 3 and most[2] <= 100
 
 
+def test_packing_of_short_texts_pads_nothing(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    short = [(k, " ".join(WORDS[(k * 7 + j) % len(WORDS)] for j in range(2 + k % 4))) for k in range(500)]
+    ids = ids_of("word_bpe_49k.json", short, 2)
+    got = packing.pack(spark.createDataFrame(short, "doc_id long, text string").coalesce(1), path, 2)
+    for r in got.collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    sizes = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
+    assert sum(r.n for r in sizes) == sum(map(len, ids.values())) and max(r.k for r in sizes) <= 64
+    assert all(r.n & (r.n - 1) == 0 for r in sizes)
+
+
 def test_token_records(spark, docs, rows, empty):
     ids, path = ids_of("byte_bpe_50k.json", rows, 0), shared_dir(spark, "records")
     manifest = token_records.write_token_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 0)
