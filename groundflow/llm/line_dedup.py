@@ -202,7 +202,9 @@ def dropped_keys(log: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, log: DataFrame | None = None, deletions: bool = False) -> DataFrame:
-    """docs with their kept text, n_lines (before) and n_dropped. log: the exact table if it is there already."""
+    """docs with their kept text, n_lines (before) and n_dropped. log: the exact table if it is there already; it may
+    hold deletions, so it is summed by document first, whatever `deletions` says."""
+    deletions = deletions or log is not None
     log = keep(postings(docs, 1, min_chars), "line-postings") if log is None else log
     counts = keep(reference_counts(log, min_docs, deletions), "line-counts")
     lost = dropped_keys(log, counts)

@@ -316,6 +316,16 @@ def test_line_dedup(spark, docs, rows, empty):
     assert sorted(left.collect()) == sorted(want.collect())
 
 
+def test_line_dedup_after_deletions(docs):
+    rows_of = lambda d: sorted((r.doc_id, r.text or "", r.n_lines, r.n_dropped) for r in d.collect())
+    left = docs.where("doc_id <= 100")
+    log = line_dedup.postings(docs).unionByName(line_dedup.postings(docs.where("doc_id > 100"), -1))
+    got = rows_of(line_dedup.dedup_lines(left, log=log))
+    assert got == rows_of(line_dedup.dedup_lines(left)) and sum(r[3] for r in got) > 0
+    again = log.unionByName(line_dedup.postings(docs.where("doc_id > 100")))
+    assert rows_of(line_dedup.dedup_lines(docs, log=again)) == rows_of(line_dedup.dedup_lines(docs))
+
+
 def test_cuckoo_filter():
     gen = np.random.default_rng(1)
     k1, k2 = (gen.integers(-(1 << 62), 1 << 62, 3000) for _ in range(2))
