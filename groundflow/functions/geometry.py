@@ -76,8 +76,26 @@ def check_quad(points: Points) -> None:
         raise QuadError("the quad is not convex")
 
 
+#: The size in metres that an unmeasured quad is taken to have, and how sizes are named by their origin.
+DEFAULT_WIDTH_M, DEFAULT_HEIGHT_M = 7.0, 5.25
+ESTIMATED, MEASURED = "ESTIMATED", "USER_MEASURED"
+
+
+def ground_size(width_m: float | None = None, height_m: float | None = None) -> tuple[float, float, str]:
+    """Width, height and origin of a quad's size: an estimate if neither is given; if one is, the other takes its default."""
+    source = ESTIMATED if width_m is None and height_m is None else MEASURED
+    return (DEFAULT_WIDTH_M if width_m is None else float(width_m), DEFAULT_HEIGHT_M if height_m is None else float(height_m), source)
+
+
+def rounded_quad(points: Points) -> list[tuple[float, float]]:
+    """Corners at whole pixels (halves to the even one): the zone that detections are split by before tracking."""
+    return [(float(x), float(y)) for x, y in np.round(four_points(points)).tolist()]
+
+
 def calibration_record(video: str, frame_index: int, resolution: Sequence[int], image_points: Points, width_m: float, height_m: float, source: str, note: str, timestamp: str) -> dict:
     """A calibration for a ground rectangle of the given size; see schema.CALIBRATION."""
+    if not (width_m > 0 and height_m > 0):
+        raise ValueError(f"a ground rectangle has a positive width and height, got {width_m} x {height_m}")
     check_quad(image_points)
     world = [[-width_m / 2, 0.0], [width_m / 2, 0.0], [width_m / 2, height_m], [-width_m / 2, height_m]]
     h = np.array(fit_homography(image_points, world))
@@ -130,6 +148,25 @@ def in_polygon(points: Points, x: Column, y: Column) -> Column:
     return in_bounds(points, x, y) & reduce(lambda a, b: a != b, edges)
 
 
+def in_polygon_of(points: Column, x: Column, y: Column) -> Column:
+    """As in_polygon, for corners in a column (array of [x, y]), so that every row may have its own polygon."""
+    n = F.size(points)
+
+    def crosses(k: Column) -> Column:
+        (ax, ay), (bx, by) = ((p[0], p[1]) for p in (points[k], points[(k + 1) % n]))
+        at = F.when(ax == bx, ax).otherwise(F.try_divide((y - ay) * (bx - ax), by - ay) + ax)
+        spans = (y > F.least(ay, by)) & (y <= F.greatest(ay, by)) & (x <= F.greatest(ax, bx))
+        return F.when(spans, x <= at).otherwise(False)  # a level edge spans nothing
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), lambda odd, k: odd != crosses(k))
+
+
+def to_ground_of(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """As to_ground, for a matrix in a column (array of rows)."""
+    line = lambda r: h[r][0] * x + h[r][1] * y + h[r][2]
+    return F.try_divide(line(0), line(2)), F.try_divide(line(1), line(2))
+
+
 def tile_overlap(size: Column, ratio: float) -> Column:
     """Overlap in pixels, halves to the even number."""
     return F.bround(size * F.lit(ratio), 0).cast("int")
@@ -140,6 +177,16 @@ def shrink_factor(width: Column, height: Column, long_edge: int) -> Column:
     return F.when((F.lit(long_edge) <= 0) | (longest <= long_edge), 1.0).otherwise(F.lit(float(long_edge)) / longest)
 
 
+def display_factor(height: Column, most: int = 900) -> Column:
+    """The factor that shows a frame no higher than `most` pixels; frames are never enlarged."""
+    return F.least(F.lit(1.0), F.lit(float(most)) / height)
+
+
+def scaled(columns: Sequence[str], factor: Column) -> dict[str, Column]:
+    """Boxes' or points' coordinates times a factor, to be given to withColumns."""
+    return {c: F.col(c) * factor for c in columns}
+
+
 def window_length(fps: Column, seconds: float) -> Column:
     return F.greatest(F.lit(2), F.bround(fps * F.lit(seconds), 0).cast("int"))
 

@@ -1,11 +1,14 @@
-"""Spatial density on a ground grid: per frame, rolling over time, smoothed, coloured."""
+"""Spatial density on a ground grid: per frame, rolling over time, smoothed, coloured.
+
+`streams` names the columns that tell cameras apart; without it a table is one camera's.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundflow.functions.geometry import Points, four_points
@@ -42,38 +45,119 @@ class Grid:
         return frames.withColumn("k", cells).withColumns({"col": (F.col("k") % self.n_cols).cast("int"), "row": F.floor(F.col("k") / self.n_cols).cast("int")}).drop("k")
 
 
-def frame_density(points: DataFrame, frames: DataFrame, area_m2: float, cell: float) -> DataFrame:
+def frame_density(points: DataFrame, frames: DataFrame, area_m2: float, cell: float, streams: list[str] | None = None) -> DataFrame:
     """For every frame, empty ones too: persons, density, and the fullest cell's density (null when empty)."""
-    cells = points.groupBy("frame_idx", F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj")).agg(F.count("*").alias("n"))
-    per = cells.groupBy("frame_idx").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    spine = frames.join(per, "frame_idx", "left")
+    keys = [*(streams or []), "frame_idx"]
+    cells = points.groupBy(*keys, F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj")).agg(F.count("*").alias("n"))
+    per = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    spine = frames.join(per, keys, "left")
     n = F.coalesce("n", F.lit(0))
-    return spine.select("frame_idx", "t_sec", n.alias("in_quad"), (n / F.lit(area_m2)).alias("density"), (F.col("top") / F.lit(cell * cell)).alias("peak_cell_density"))
+    return spine.select(*keys, "t_sec", n.alias("in_quad"), (n / F.lit(area_m2)).alias("density"), (F.col("top") / F.lit(cell * cell)).alias("peak_cell_density"))
 
 
-def density_summary(series: DataFrame, area_m2: float) -> DataFrame:
-    """Mean, peak and the first frame that has it."""
+def density_summary(series: DataFrame, area_m2: float, streams: list[str] | None = None) -> DataFrame:
+    """Mean, peak and the first frame that has it, of all rows or of each stream."""
     best = F.max_by(F.struct("frame_idx", "t_sec"), F.struct("density", -F.col("frame_idx")))
-    found = series.agg(F.count("*").alias("n_frames"), F.sum("in_quad").alias("persons"), (F.avg("in_quad") / F.lit(area_m2)).alias("mean_density"), F.max("density").alias("max_density"), best.alias("at"), F.max(F.coalesce("peak_cell_density", F.lit(0.0))).alias("max_cell_density"))
-    return found.select("n_frames", "persons", "mean_density", "max_density", F.col("at.frame_idx").alias("max_frame"), F.col("at.t_sec").alias("max_t"), "max_cell_density")
+    found = series.groupBy(*(streams or [])).agg(F.count("*").alias("n_frames"), F.sum("in_quad").alias("persons"), (F.avg("in_quad") / F.lit(area_m2)).alias("mean_density"), F.max("density").alias("max_density"), best.alias("at"), F.max(F.coalesce("peak_cell_density", F.lit(0.0))).alias("max_cell_density"))
+    return found.select(*(streams or []), "n_frames", "persons", "mean_density", "max_density", F.col("at.frame_idx").alias("max_frame"), F.col("at.t_sec").alias("max_t"), "max_cell_density")
+
+
+def density_report(series: DataFrame, records: DataFrame, area_m2: float, cell: float, streams: list[str] | None = None) -> DataFrame:
+    """The whole summary of a density run: density_summary, with the number of records (in the quad or not), the first frame
+    with the fullest cell, and the busiest cell of all time with its count. records: frame_idx, x, y, in_quad."""
+    by = [*(streams or [])] or ["whole"]
+    series, records = (df if streams else df.withColumn("whole", F.lit(0)) for df in (series, records))
+    fullest = F.coalesce("peak_cell_density", F.lit(0.0))
+    cell_at = series.groupBy(*by).agg(F.max_by("frame_idx", F.struct(fullest, -F.col("frame_idx"))).alias("max_cell_frame"))
+    counts = records.groupBy(*by).agg(F.count("*").alias("n_records"))
+    busiest = busiest_cell(records.where("in_quad"), cell, by).select(*by, F.array("ci", "cj", "n").alias("busiest"))
+    found = density_summary(series, area_m2, by).join(cell_at, by).join(counts, by, "left").join(busiest, by, "left")
+    found = found.withColumn("n_records", F.coalesce("n_records", F.lit(0)))
+    return found if streams else found.drop("whole")
+
+
+def busiest_cell(points: DataFrame, cell: float, streams: list[str] | None = None) -> DataFrame:
+    """The cell with most person-frames, of all rows or of each stream; of equal ones the one that was filled first."""
+    by = streams or []
+    cells = points.groupBy(*by, F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj")).agg(F.count("*").alias("n"), F.min("frame_idx").alias("first"))
+    best = F.max_by(F.struct("ci", "cj", "n"), F.struct("n", -F.col("first"), -F.col("ci"), -F.col("cj")))
+    return cells.groupBy(*by).agg(best.alias("b")).where("b is not null").select(*by, "b.ci", "b.cj", "b.n")
+
+
+def _blocks(frames: DataFrame, seconds: float, block_seconds: float | None) -> DataFrame:
+    """frames with `block`, a stretch of time, and `halo`: a frame is also in the later blocks whose windows reach back to it.
+
+    So every window lies within one block, and a long recording is many of them."""
+    length = F.lit(float(block_seconds or max(8 * seconds, 60.0)))
+    own = F.floor(F.col("t_sec") / length)
+    last = F.floor((F.col("t_sec") + F.lit(seconds + 0.001)) / length)  # a little more for rounding; the window's bounds decide
+    placed = frames.withColumn("block", F.explode(F.sequence(own, last)))
+    return placed.withColumn("halo", F.col("block") > own)
+
+
+def _in_window(value: str, seconds: float, by: list[str]) -> Column:
+    """Sum of a whole-number column over the rows of the last seconds, both ends included.
+
+    As the rows up to now plus the rows from the window's start on, minus all: sums that only ever grow along an order,
+    so that a row costs the same however long the window is. Its bounds are in SQL, where they may be a fraction."""
+    part = f"PARTITION BY {', '.join(by)}"
+    upto = f"sum({value}) OVER ({part} ORDER BY t_sec RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    since = f"sum({value}) OVER ({part} ORDER BY t_sec DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {float(seconds)!r}D FOLLOWING)"
+    return F.expr(f"{upto} + {since} - sum({value}) OVER ({part})")
+
+
+def _counted(frames: DataFrame, seconds: float, by: list[str], block_seconds: float | None) -> DataFrame:
+    """frames with their block and n_frames."""
+    placed = _blocks(frames, seconds, block_seconds).withColumn("one", F.lit(1).cast("long"))
+    return placed.withColumn("n_frames", _in_window("one", seconds, [*by, "block"])).where(~F.col("halo")).drop("halo", "one")
 
 
-def busiest_cell(points: DataFrame, cell: float) -> DataFrame:
-    """The cell with most person-frames; of equal ones the one that was filled first."""
-    cells = points.groupBy(F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj")).agg(F.count("*").alias("n"), F.min("frame_idx").alias("first"))
-    return cells.orderBy(F.desc("n"), "first", "ci", "cj").limit(1).select("ci", "cj", "n")
+def frames_in_window(frames: DataFrame, seconds: float, streams: list[str] | None = None, block_seconds: float | None = None) -> DataFrame:
+    """frames with n_frames: how many frames of their stream lie in the last seconds, both ends included."""
+    return _counted(frames, seconds, streams or [], block_seconds).drop("block")
 
 
-def rolling(points: DataFrame, frames: DataFrame, grid: Grid, seconds: float, streams: list[str] | None = None) -> DataFrame:
-    """Mean persons a cell over the frames of the last seconds (both ends included, empty frames counted).
+def rolling(points: DataFrame, frames: DataFrame, grid: Grid, seconds: float, streams: list[str] | None = None, block_seconds: float | None = None) -> DataFrame:
+    """Mean persons a cell over the frames of the last seconds (both ends included, empty frames counted), for every frame
+    and cell. points: streams, frame_idx, x, y; frames: streams, frame_idx, t_sec.
 
-    Windows run within (stream, cell), so that no window holds all rows."""
+    Counts and the frames' cells meet in one shuffle by stream, block of time and cell."""
     by = streams or []
+    frames = frames.select(*by, "frame_idx", "t_sec")
     counts = grid.place(points, "x", "y").groupBy(*by, "frame_idx", "col", "row").agg(F.count("*").alias("n"))
-    dense = grid.cells(frames).join(counts, [*by, "frame_idx", "col", "row"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # in SQL, because a range of seconds may be a fraction there
-    last = f"(PARTITION BY {', '.join([*by, 'col', 'row'])} ORDER BY t_sec RANGE BETWEEN {float(seconds)!r}D PRECEDING AND CURRENT ROW)"
-    return dense.withColumn("value", F.expr(f"sum(n) OVER {last} / count(*) OVER {last}")).drop("n")
+    filled = counts.join(_blocks(frames, seconds, block_seconds), [*by, "frame_idx"]).withColumn("n_frames", F.lit(None).cast("long"))
+    asked = grid.cells(_counted(frames, seconds, by, block_seconds)).withColumn("n", F.lit(0).cast("long"))
+    columns = [*by, "block", "col", "row", "frame_idx", "t_sec", "n", "n_frames"]
+    sums = filled.select(columns).unionByName(asked.select(columns)).withColumn("persons", _in_window("n", seconds, [*by, "block", "col", "row"]))
+    return sums.where("n_frames is not null").select(*by, "frame_idx", "t_sec", "col", "row", (F.col("persons") / F.col("n_frames")).alias("value"))
+
+
+def grid_peak(grid_values: DataFrame, streams: list[str] | None = None) -> DataFrame:
+    """The highest cell value of every frame."""
+    return grid_values.groupBy(*(streams or []), "frame_idx").agg(F.max("value").alias("peak"))
+
+
+#: What a heat map's colours are scaled to, in persons a cell and persons a square metre.
+SCALES = {"count": 3.0, "density": 4.0}
+
+
+def scale(mode: str, **scales: float) -> float:
+    """The top of a heat map's scale; unknown modes are refused."""
+    if mode not in SCALES:
+        raise ValueError(f"a heat map shows 'count' or 'density', not {mode!r}")
+    return scales.get(mode, SCALES[mode])
+
+
+def in_mode(grid_values: DataFrame, grid: Grid, mode: str) -> DataFrame:
+    """Grid values as they are (`count`) or by area (`density`)."""
+    scale(mode)
+    return grid_values if mode == "count" else grid_values.withColumn("value", F.col("value") / F.lit(grid.cell * grid.cell))
+
+
+def legend_tick(value: Column, vmax: float, top: int, height: int) -> Column:
+    """The pixel row of a value on a legend that runs from vmax at `top` down to 0; halves go to the even row."""
+    share = to_ramp(value, vmax, 1.0) if vmax > 0 else F.lit(0.0)
+    return F.bround(F.lit(float(top)) + (F.lit(1.0) - share) * F.lit(float(height)), 0).cast("int")
 
 
 def kernel(sigma: float, n: int) -> list[tuple[int, int, float]]:

@@ -1,11 +1,18 @@
-"""Operators on detections, one row a box: filters, funnel, matching, tiling and overlap suppression."""
+"""Operators on detections, one row a box: filters, funnel, matching, tiling and overlap suppression.
+
+`streams` names the columns that tell cameras apart; frames of different cameras never meet. Without it a table is one
+camera's.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundflow.functions.geometry import foot_point, in_polygon, to_ground
+from groundflow.functions.geometry import foot_point, in_polygon, in_polygon_of, rounded_quad, to_ground, to_ground_of
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -24,29 +31,90 @@ def project(detections: DataFrame, h: list[list[float]], quad: list) -> DataFram
     return wide.withColumn("in_quad", inside).withColumns({"world_x": F.when(F.col("in_quad"), wx), "world_y": F.when(F.col("in_quad"), wy)})
 
 
-def funnel(detections: DataFrame) -> DataFrame:
-    """total, in_quad, tracked, emitted and lost share. detections: in_quad, track_id (-1: not confirmed)."""
+def project_each(detections: DataFrame, calibrations: DataFrame, streams: list[str]) -> DataFrame:
+    """As project, with each stream's own quad and matrix. calibrations: streams, H, image_points, one row a stream.
+
+    Detections of a stream without calibration are outside. The calibrations' size decides how the join is done."""
+    fx, fy = foot_point()
+    known = calibrations.select(*streams, F.col("H").alias("_h"), F.col("image_points").alias("_quad"))
+    wide = detections.withColumns({"foot_x": fx, "foot_y": fy}).join(known, streams, "left")
+    inside = F.coalesce(in_polygon_of(F.col("_quad"), F.col("foot_x"), F.col("foot_y")), F.lit(False))
+    wx, wy = to_ground_of(F.col("_h"), F.col("foot_x"), F.col("foot_y"))
+    return wide.withColumn("in_quad", inside).withColumns({"world_x": F.when(F.col("in_quad"), wx), "world_y": F.when(F.col("in_quad"), wy)}).drop("_h", "_quad")
+
+
+def in_zone(quad: list) -> Column:
+    """Whether the foot point lies in the quad with corners at whole pixels, by which boxes are split before tracking."""
+    return in_polygon(rounded_quad(quad), *foot_point())
+
+
+def state() -> Column:
+    """How a box is shown: outside the zone, tracked, or in the quad but not (yet) tracked. Needs in_zone and track_id."""
+    return F.when(~F.col("in_zone"), "outside").when(F.col("track_id") >= 0, "tracked").otherwise("in_quad_untracked")
+
+
+def excluded(detections: DataFrame, streams: list[str] | None = None) -> DataFrame:
+    """Per frame: boxes outside the zone, confirmed ones that the exact quad leaves out, and both together.
+
+    detections: frame_idx, in_zone, in_quad, track_id (-1: not confirmed)."""
+    lost = F.count_if(F.col("in_zone") & (F.col("track_id") >= 0) & ~F.col("in_quad"))
+    counts = detections.groupBy(*(streams or []), "frame_idx").agg(F.count_if(~F.col("in_zone")).alias("n_outside"), lost.alias("n_unprojected"))
+    return counts.withColumn("n_excluded", F.col("n_outside") + F.col("n_unprojected"))
+
+
+def funnel(detections: DataFrame, streams: list[str] | None = None) -> DataFrame:
+    """total, in_quad, tracked, emitted and lost share, of all rows or of each stream. detections: in_quad, track_id (-1:
+    not confirmed)."""
     tracked = F.count_if(F.col("in_quad") & (F.col("track_id") >= 0))
-    counts = detections.agg(F.count("*").alias("total"), F.count_if("in_quad").alias("in_quad"), tracked.alias("tracked"), tracked.alias("emitted"))
+    counts = detections.groupBy(*(streams or [])).agg(F.count("*").alias("total"), F.count_if("in_quad").alias("in_quad"), tracked.alias("tracked"), tracked.alias("emitted"))
     return counts.withColumn("loss", 1.0 - F.try_divide(F.col("tracked").cast("double"), F.col("in_quad").cast("double")))
 
 
-def same_box(atol: float = 1e-3, rtol: float = 1e-5) -> Column:
+def same_box(atol: float = 1e-3, rtol: float = 1e-5, streams: list[str] | None = None) -> Column:
     """Candidate `a` and reference `b` of one frame agree; the relative part is of the candidate."""
     close = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(f"a.{c}")) for c in BOX]
-    found = F.col("a.frame_idx") == F.col("b.frame_idx")
-    for c in close:
-        found = found & c
-    return found
+    return reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*(streams or []), "frame_idx")] + close)
 
 
-def matched(candidates: DataFrame, reference: DataFrame) -> DataFrame:
+def matched(candidates: DataFrame, reference: DataFrame, streams: list[str] | None = None) -> DataFrame:
     """Candidates that have the same box in the reference (equi-join on the frame, then the tolerance)."""
-    return candidates.alias("a").join(reference.alias("b"), same_box(), "left_semi")
+    return candidates.alias("a").join(reference.alias("b"), same_box(streams=streams), "left_semi")
+
+
+def unmatched(candidates: DataFrame, reference: DataFrame, streams: list[str] | None = None) -> DataFrame:
+    return candidates.alias("a").join(reference.alias("b"), same_box(streams=streams), "left_anti")
+
 
+def with_truth(boxes: DataFrame, truth: DataFrame, streams: list[str] | None = None) -> DataFrame:
+    """Each box with its person's known position (null for false boxes). boxes: frame_idx, truth_agent_id; truth: frame_id,
+    agent_id, x_world, y_world."""
+    by = streams or []
+    known = truth.select(*by, F.col("frame_id").alias("frame_idx"), F.col("agent_id").alias("truth_agent_id"), F.col("x_world").alias("truth_x"), F.col("y_world").alias("truth_y"))
+    return boxes.join(known, [*by, "frame_idx", "truth_agent_id"], "left")
 
-def unmatched(candidates: DataFrame, reference: DataFrame) -> DataFrame:
-    return candidates.alias("a").join(reference.alias("b"), same_box(), "left_anti")
+
+@dataclass(frozen=True)
+class Tiling:
+    """How frames are cut: tiles of width x height pixels that overlap by a share of their size, or by `overlap_px`."""
+
+    width: int = 1280
+    height: int = 1280
+    ratio: float = 0.1
+    overlap_px: tuple[int, int] | None = None
+    least_conf: float | None = None
+    threshold: float = 0.7
+
+    def __post_init__(self) -> None:
+        across, down = self.overlap
+        if not (0 <= across < self.width and 0 <= down < self.height):
+            raise ValueError(f"tiles of {self.width} x {self.height} can't overlap by {across} x {down}")
+        if not 0 <= self.threshold <= 1:
+            raise ValueError("an overlap threshold lies between 0 and 1")
+
+    @property
+    def overlap(self) -> tuple[int, int]:
+        """Pixels that neighbours share; halves go to the even number."""
+        return self.overlap_px or (round(self.width * self.ratio), round(self.height * self.ratio))
 
 
 def tile_starts(length: int, tile: int, overlap: int) -> Column:
@@ -54,13 +122,14 @@ def tile_starts(length: int, tile: int, overlap: int) -> Column:
     return F.sequence(F.lit(0), F.lit(max(0, length - overlap - 1)), F.lit(tile - overlap))
 
 
-def to_tiles(detections: DataFrame, width: int, height: int, tile: int = 1280, ratio: float = 0.1) -> DataFrame:
-    """One row for each tile that holds the box's foot point; tiles overlap by a share of their size."""
-    overlap = round(tile * ratio)
+def to_tiles(detections: DataFrame, width: int, height: int, tiling: Tiling = Tiling()) -> DataFrame:
+    """One row for each tile that holds the box's foot point."""
     fx, fy = foot_point()
-    placed = detections.withColumns({"fx": fx, "fy": fy})
-    tiles = placed.withColumn("tile_x", F.explode(tile_starts(width, tile, overlap))).where((F.col("fx") >= F.col("tile_x")) & (F.col("fx") < F.col("tile_x") + tile))
-    return tiles.withColumn("tile_y", F.explode(tile_starts(height, tile, overlap))).where((F.col("fy") >= F.col("tile_y")) & (F.col("fy") < F.col("tile_y") + tile))
+    placed, (across, down) = detections.withColumns({"fx": fx, "fy": fy}), tiling.overlap
+    for axis, length, tile, overlap in (("x", width, tiling.width, across), ("y", height, tiling.height, down)):
+        start, at = F.col(f"tile_{axis}"), F.col(f"f{axis}")
+        placed = placed.withColumn(f"tile_{axis}", F.explode(tile_starts(length, tile, overlap))).where((at >= start) & (at < start + tile))
+    return placed
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -71,20 +140,25 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(w * h, size(a) + size(b) - w * h), F.lit(0.0))
 
 
-def suppress(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Greedy suppression a frame and class: by falling confidence (ties by falling coordinates), a box stays unless
-    it overlaps a kept one by more than the threshold. A frame holds a bounded number of boxes."""
-    box = F.struct("conf", *BOX)
-    grouped = detections.groupBy("frame_idx", "class_id").agg(F.reverse(F.array_sort(F.collect_list(box))).alias("boxes"))
+def suppress(detections: DataFrame, threshold: float = 0.7, streams: list[str] | None = None) -> DataFrame:
+    """Greedy suppression a frame and class: by falling confidence (ties by falling coordinates, then by the other columns), a
+    box stays unless it overlaps a kept one by more than the threshold. Kept rows come back whole.
+
+    A frame's boxes are what one detector found in one picture, some thousands at most, so a group fits in a task."""
+    keys = [*(streams or []), "frame_idx", "class_id"]
+    rest = [c for c in detections.columns if c not in (*keys, "conf", *BOX)]
+    row = F.struct("conf", *BOX, *rest)
+    grouped = detections.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(row))).alias("boxes"))
     none = F.filter("boxes", lambda b: F.lit(False))
     keep = lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) > threshold), kept).otherwise(F.concat(kept, F.array(b)))
-    return grouped.select("frame_idx", "class_id", F.inline(F.aggregate("boxes", none, keep)))
+    return grouped.select(*keys, F.inline(F.aggregate("boxes", none, keep))).select(detections.columns)
 
 
-def stacked_pairs(detections: DataFrame, least_across: float = 0.6, most_gap: float = 20.0, most_iou: float = 0.3) -> DataFrame:
+def stacked_pairs(detections: DataFrame, least_across: float = 0.6, most_gap: float = 20.0, most_iou: float = 0.3, streams: list[str] | None = None) -> DataFrame:
     """Pairs of boxes in a frame that stand above each other: wide common span, small gap, little overlap."""
-    a, b = (detections.select("frame_idx", F.struct(*BOX).alias(n)) for n in ("a", "b"))
-    pairs = a.join(b, "frame_idx").where(F.col("a.y2") < F.col("b.y2"))
+    keys = [*(streams or []), "frame_idx"]
+    a, b = (detections.select(*keys, F.struct(*BOX).alias(n)) for n in ("a", "b"))
+    pairs = a.join(b, keys).where(F.col("a.y2") < F.col("b.y2"))
     common = F.greatest(F.lit(0.0), F.least("a.x2", "b.x2") - F.greatest("a.x1", "b.x1"))
     across = F.try_divide(common, F.greatest("a.x2", "b.x2") - F.least("a.x1", "b.x1"))
     gap = F.abs(F.col("b.y1") - F.col("a.y2"))

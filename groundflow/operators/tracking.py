@@ -2,9 +2,9 @@
 
 Boxes of enough confidence are matched to the tracks' predicted boxes by overlap plus agreement of direction; tracks
 left over are tried again from their last observed box; what is left starts new tracks. A track that is found again
-after a gap is filtered anew along the straight line over the gap. Pairs are taken greedily by falling score (the
-published method solves the assignment exactly; the two differ only where boxes compete). A box has track_id -1
-until its track was seen in `min_frames` frames in a row, and if its confidence is low.
+after a gap is filtered anew along the straight line over the gap. Pairs are chosen so that their scores' total is as
+large as it can be. A box has track_id -1 until its track was seen in `min_frames` frames in a row, and if its
+confidence is low.
 """
 
 from __future__ import annotations
@@ -55,17 +55,53 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / np.maximum(size(a)[:, None] + size(b)[None] - both, 1e-9)
 
 
+def best_assignment(score: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns with the largest total of positive scores (shortest augmenting paths over dual prices)."""
+    if score.shape[0] > score.shape[1]:
+        return sorted((r, c) for c, r in best_assignment(score.T))
+    n, m = score.shape
+    cost = -np.maximum(score, 0.0)
+    row_price, col_price = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)
+    for start in range(n):
+        least, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, col, far = start, -1, 0.0
+        while row >= 0:
+            reach = far + cost[row] - row_price[row] - col_price
+            closer = ~done & (reach < least)
+            least[closer], came[closer] = reach[closer], col
+            col = int(np.argmin(np.where(done, np.inf, least)))
+            far, done[col], row = least[col], True, owner[col]
+        settled = done & (np.arange(m) != col)
+        row_price[start] += far
+        row_price[owner[settled]] += far - least[settled]
+        col_price[settled] -= far - least[settled]
+        while col >= 0:  # turn the path over
+            before = came[col]
+            owner[col] = owner[before] if before >= 0 else start
+            col = before
+    return [(int(owner[c]), int(c)) for c in range(m) if owner[c] >= 0 and score[owner[c], c] > 0]
+
+
 def _pairs(score: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns matched greedily by falling score, ties in order."""
+    """The allowed pairs of rows and columns with the largest total score. Boxes that nothing competes for are paired at
+    once; the others fall into small groups that share no box."""
     rows, cols = np.nonzero(allowed)
-    order = np.argsort(-score[rows, cols], kind="stable")
-    used_r, used_c, found = set(), set(), []
-    for r, c in zip(rows[order].tolist(), cols[order].tolist(), strict=True):
-        if r not in used_r and c not in used_c:
-            used_r.add(r)
-            used_c.add(c)
-            found.append((r, c))
-    pairs = np.array(found, np.int64).reshape(-1, 2)
+    alone = (allowed.sum(axis=1)[rows] == 1) & (allowed.sum(axis=0)[cols] == 1)
+    found = list(zip(rows[alone].tolist(), cols[alone].tolist(), strict=True))
+    open_rows = set(rows[~alone].tolist())
+    while open_rows:
+        r, c = np.array([open_rows.pop()]), np.zeros(0, np.int64)
+        while True:  # all rows and columns that hang together
+            wider_c = np.flatnonzero(allowed[r].any(axis=0))
+            wider_r = np.flatnonzero(allowed[:, wider_c].any(axis=1))
+            if len(wider_r) == len(r) and len(wider_c) == len(c):
+                break
+            r, c = wider_r, wider_c
+        open_rows.difference_update(r.tolist())
+        part = np.where(allowed[np.ix_(r, c)], score[np.ix_(r, c)], 0.0)
+        found += [(int(r[a]), int(c[b])) for a, b in best_assignment(part)]
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
@@ -155,13 +191,16 @@ def track(detections: DataFrame, streams: list[str] | None = None, params: Param
     A stream is cut where no track can outlive a gap; its sections are followed side by side, each in order of time as
     its rows pass by, so that a task holds the live tracks alone. An id is the section's number, then the track's."""
     by = streams or ["stream_id"]
-    detections = detections.select([c for c in detections.columns if c not in ("track_id", "section")])
+    detections = detections.select([c for c in detections.columns if c not in ("track_id", "section", "sure")])
     sure = F.coalesce(F.col("conf") >= params.high_conf, F.lit(False))
     in_time = Window.partitionBy(*by).orderBy("frame_idx")
     gap = F.col("frame_idx") - F.lag("frame_idx").over(in_time) > params.lost_frames + 1
     frames = detections.where(sure).select(*by, "frame_idx").distinct()
     frames = frames.withColumn("cut", F.coalesce(gap.cast("long"), F.lit(0))).withColumn("section", F.sum("cut").over(in_time)).drop("cut")
-    placed = detections.where(sure).join(frames, [*by, "frame_idx"]).select(*detections.columns, "section")
+    # frames without a sure box belong to no section; they are spread out, as nothing is followed in them
+    idle = -1 - F.pmod(F.xxhash64("frame_idx"), F.lit(64))
+    placed = detections.withColumn("sure", sure).join(frames, [*by, "frame_idx"], "left").withColumn("section", F.coalesce("section", idle))
+    placed = placed.select(*detections.columns, "section", "sure")
     group = [*by, "section"]
 
     def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +214,11 @@ def track(detections: DataFrame, streams: list[str] | None = None, params: Param
             done = len(rows) if last else int(starts[-1])  # a batch may end within a frame
             starts = starts[starts < done]
             boxes, conf, ids = rows[BOX].to_numpy(float), rows["conf"].to_numpy(float), np.full(done, -1, np.int64)
+            sure_rows = rows["sure"].to_numpy(bool)
             for a, b in zip(starts, np.append(starts[1:], done), strict=True):
+                b = a + int(sure_rows[a:b].sum())  # they come first
+                if a == b:
+                    continue
                 key = tuple(rows[c].iat[a] for c in group)
                 if key != at:
                     at, tracker = key, Tracker(params)
@@ -183,11 +226,11 @@ def track(detections: DataFrame, streams: list[str] | None = None, params: Param
                 ids[a:b] = np.where(got < 0, -1, got + (int(key[-1]) << 32))
             rest = rows.iloc[done:]
             if done:
-                yield rows.iloc[:done].assign(track_id=ids).drop(columns="section")
+                yield rows.iloc[:done].assign(track_id=ids).drop(columns=["section", "sure"])
 
     schema = detections.schema.add("track_id", "long")
-    order = placed.repartition(*group).sortWithinPartitions(*group, "frame_idx", F.desc("conf"), *BOX)
-    return order.mapInPandas(run, schema).unionByName(detections.where(~sure).withColumn("track_id", F.lit(-1).cast("long")))
+    order = placed.repartition(*group).sortWithinPartitions(*group, "frame_idx", F.desc("sure"), F.desc("conf"), *BOX)
+    return order.mapInPandas(run, schema)
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:

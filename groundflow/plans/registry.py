@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundflow.functions import geometry as G
+from groundflow.functions.ranks import exact_percentiles
 from groundflow.operators import density as D
 from groundflow.operators import detections as E
 from groundflow.operators import detector as P
@@ -79,7 +80,7 @@ def _line(r: list[float]) -> str:
 
 SQL["proj"] = f"""proj AS (SELECT *, CASE WHEN in_quad THEN {_line(H[0])} / {_line(H[2])} END AS world_x, CASE WHEN in_quad THEN {_line(H[1])} / {_line(H[2])} END AS world_y
   FROM (SELECT *, {_polygon(QUAD, 'foot_x', 'foot_y')} AS in_quad FROM (SELECT *, (x1 + x2) / 2 AS foot_x, y2 AS foot_y FROM det) a) b)"""
-SQL["dens"] = f"""dens AS (SELECT f.frame_idx, f.t_sec, coalesce(n, 0)::BIGINT AS in_quad, coalesce(n, 0) / {AREA}::DOUBLE AS density, top / CAST(1 AS DOUBLE) AS peak_cell_density FROM frames f LEFT JOIN
+SQL["dens"] = f"""dens AS (SELECT f.frame_idx, f.t_sec, coalesce(n, 0)::BIGINT AS in_quad, coalesce(n, 0) / (6 * 15)::DOUBLE AS density, top / CAST(1 AS DOUBLE) AS peak_cell_density FROM frames f LEFT JOIN
   (SELECT frame_idx, sum(n) AS n, max(n) AS top FROM (SELECT frame_idx, floor(world_x), floor(world_y), count(*) AS n FROM proj WHERE in_quad GROUP BY ALL) c GROUP BY frame_idx) p USING (frame_idx))"""
 SQL["gate"] = f"""seq AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t_sec, x, y, frame_idx) AS k FROM trk),
 gate AS (SELECT track_id, k, t_sec, x, y, frame_idx, true AS accepted, t_sec AS lt, x AS lx, y AS ly FROM seq WHERE k = 1
@@ -111,7 +112,7 @@ def _with(*names: str) -> str:
 
     for n in names:
         need(n)
-    return ("WITH RECURSIVE " if "gate" in done else "WITH ") + ", ".join(SQL[n] for n in done) + " "
+    return ("WITH RECURSIVE " if {"gate", "wgate"} & set(done) else "WITH ") + ", ".join(SQL[n] for n in done) + " "
 
 
 def query(*needs: str, sql: str):
@@ -213,8 +214,10 @@ def frame_count_stats(spark, d):
 
 @query("det", sql="SELECT sum(conf_pct)::DOUBLE / count(*)::DOUBLE AS mean_pct, quantile_cont(conf_pct::DOUBLE, 0.1) AS p10, quantile_cont(conf_pct::DOUBLE, 0.5) AS p50, quantile_cont(conf_pct::DOUBLE, 0.9) AS p90 FROM det")
 def confidence_stats(spark, d):
-    at = lambda p: F.percentile(F.col("conf_pct").cast("double"), p)
-    return detections(spark, d).agg((F.sum("conf_pct").cast("double") / F.count("*").cast("double")).alias("mean_pct"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    found = detections(spark, d).select("conf_pct")
+    mean = found.agg(F.lit(0).alias("whole"), (F.sum("conf_pct").cast("double") / F.count("*").cast("double")).alias("mean_pct"))
+    ranks = exact_percentiles(found, "conf_pct", [0.1, 0.5, 0.9]).select(F.lit(0).alias("whole"), *[F.col(f"p{k}").alias(c) for k, c in enumerate(("p10", "p50", "p90"))])
+    return mean.join(F.broadcast(ranks), "whole").drop("whole")  # a row each
 
 
 @query("det", sql="SELECT least(CAST(floor(conf_pct / 2::DOUBLE) AS BIGINT), 4) AS bin, count(*) AS n FROM det GROUP BY 1")
@@ -238,7 +241,7 @@ def busiest_cell(spark, d):
     return D.busiest_cell(points, 1.0)
 
 
-@query("dens", sql=f"SELECT count(*) AS n_frames, sum(in_quad)::BIGINT AS persons, avg(in_quad) / {AREA}::DOUBLE AS mean_density, max(density) AS max_density, arg_max(frame_idx, (density, -frame_idx)) AS max_frame, arg_max(t_sec, (density, -frame_idx)) AS max_t, max(coalesce(peak_cell_density, 0)) AS max_cell_density FROM dens")
+@query("dens", sql=f"SELECT count(*) AS n_frames, sum(in_quad)::BIGINT AS persons, avg(in_quad) / (6 * 15)::DOUBLE AS mean_density, max(density) AS max_density, arg_max(frame_idx, (density, -frame_idx)) AS max_frame, arg_max(t_sec, (density, -frame_idx)) AS max_t, max(coalesce(peak_cell_density, 0)) AS max_cell_density FROM dens")
 def density_summary(spark, d):
     return D.density_summary(frame_density(spark, d), AREA)
 
@@ -267,8 +270,7 @@ def speed_gate(spark, d):
 
 @query("gate", sql="SELECT track_id, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected FROM gate GROUP BY 1 HAVING count(*) FILTER (NOT accepted) > 0")
 def gate_rejections(spark, d):
-    found = T.speed_gate(tracks(spark, d), SPEED).groupBy("track_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
-    return found.where("rejected > 0")
+    return T.rejections(T.speed_gate(tracks(spark, d), SPEED)).drop("rejected_pct")
 
 
 @query("gate", sql=f"""SELECT track_id, t_sec, round(CASE WHEN count(*) OVER w < 2 THEN 0 ELSE coalesce(regr_slope(x, t_sec) OVER w, 0) END, 9) AS v_x, count(*) OVER w = {SAMPLES} AS window_full
@@ -359,7 +361,7 @@ def tile_assignment(spark, d):
 
 @query("det", sql="")
 def cross_tile_nms(spark, d):
-    return E.suppress(detections(spark, d), 0.3)
+    return E.suppress(detections(spark, d), 0.3).select("frame_idx", "class_id", "conf", *E.BOX)
 
 
 _SQL["cross_tile_nms"] = _with("det").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, g AS (SELECT frame_idx, class_id, list({'conf': conf, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY conf DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS boxes, count(*) AS n FROM det GROUP BY 1, 2),
@@ -387,7 +389,10 @@ def config_ratio(spark, d):
 @query("det", sql="SELECT tile_source, quantile_cont(y2 - y1, 0.5) AS p50, quantile_cont(y2 - y1, 0.9) AS p90, max(y2 - y1) AS tallest, count(*) FILTER (y2 - y1 > 160) AS n_tall FROM det GROUP BY 1")
 def box_height_stats(spark, d):
     h = F.col("y2") - F.col("y1")
-    return detections(spark, d).groupBy("tile_source").agg(F.percentile(h, 0.5).alias("p50"), F.percentile(h, 0.9).alias("p90"), F.max(h).alias("tallest"), F.count_if(h > 160).alias("n_tall"))
+    found = detections(spark, d).select("tile_source", h.alias("h"))
+    tall = found.groupBy("tile_source").agg(F.max("h").alias("tallest"), F.count_if(F.col("h") > 160).alias("n_tall"))
+    ranks = exact_percentiles(found, "h", [0.5, 0.9], ["tile_source"])
+    return tall.join(ranks, "tile_source").select("tile_source", F.col("p0").alias("p50"), F.col("p1").alias("p90"), "tallest", "n_tall")
 
 
 @query("det", sql=f"""SELECT a.frame_idx, a.x1 AS ax1, a.y2 AS ay2, b.x1 AS bx1, b.y2 AS by2 FROM det a JOIN det b ON a.frame_idx = b.frame_idx AND a.y2 < b.y2
@@ -473,7 +478,8 @@ def _at(k: int, x: str) -> str:
     return f"({_point(H_INV[k], x)} / {_point(H_INV[2], x)})"
 
 
-_FALSE = "(" + " + ".join(f"({_chance('false', 'stream_id, frame_idx')} >= {v!r}::DOUBLE)::INT" for v in Y.poisson_steps(NOISE.false_per_frame)) + ")"
+# how many of a Poisson distribution's cumulative shares (mean 1/2) a chance reaches
+_FALSE = f"(list_sum(list_transform(range(18), lambda j: ({_chance('false', 'stream_id, frame_idx')} >= list_sum(list_transform(range(j + 1), lambda i: exp(-0.5::DOUBLE) * pow(0.5::DOUBLE, i) / factorial(i::INT)::DOUBLE)))::INT))::BIGINT)"
 _SYNTHETIC = f"""WITH walk AS (SELECT *, abs({_at(0, 'x_world + 0.25::DOUBLE')} - {_at(0, 'x_world - 0.25::DOUBLE')}) AS w FROM ({WALKERS} FROM customer, (SELECT range AS k FROM range(40)) s) q),
 box AS (SELECT stream_id, frame_idx, agent_id AS truth_agent_id, 0 AS det_id, {_at(0, 'x_world')} AS cx, {_at(1, 'x_world')} AS y2, w, w * 3.4::DOUBLE AS h FROM walk WHERE {_chance('drop', 'stream_id, frame_idx, agent_id')} >= 0.05::DOUBLE
   UNION ALL SELECT stream_id, frame_idx, -1, det_id, {_chance('false.x', 'stream_id, frame_idx, det_id')} * 3840, {_chance('false.y', 'stream_id, frame_idx, det_id')} * 2160 + 162, 324::DOUBLE / 3.4::DOUBLE, 324

@@ -98,9 +98,9 @@ def track(frames: DataFrame, params: Params = Params(), idle: str | None = "10 m
     return _keyed(frames.select("stream_id", "frame_idx", "boxes"), TRACK_OUT, "tracker binary", step, idle)
 
 
-def lifetimes(observations: DataFrame) -> DataFrame:
+def lifetimes(observations: DataFrame, streams: list[str] | None = None) -> DataFrame:
     """Running first and last time and number of observations a track (output mode update or complete)."""
-    return observations.groupBy("track_id").agg(F.min("t_sec").alias("first_t"), F.max("t_sec").alias("last_t"), F.count("*").alias("n_observations"))
+    return observations.groupBy(*(streams or []), "track_id").agg(F.min("t_sec").alias("first_t"), F.max("t_sec").alias("last_t"), F.count("*").alias("n_observations"))
 
 
 def write_trajectory(rows: DataFrame, path: str, checkpoint: str, form: str = "csv") -> StreamingQuery:

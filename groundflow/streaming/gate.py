@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "track_id long, t_sec double, x double, y double, v_x double, v_y double, window_full boolean"
+OUT = "t_sec double, x double, y double, v_x double, v_y double, window_full boolean"
 STATE = "t array<double>, x array<double>, y array<double>"
 
 
@@ -19,9 +19,14 @@ def _slope(t: list[float], v: list[float]) -> float:
     return float((t0 * np.array(v)).sum() / size) if size else 0.0
 
 
-def gated_velocity(observations: DataFrame, max_speed: float, window_frames: int, idle: str | None = "10 minutes") -> DataFrame:
-    """Accepted observations with their velocity. Rows of a batch are put in order of time; state is the last
+def gated_velocity(observations: DataFrame, max_speed: float, window_frames: int, idle: str | None = "10 minutes", streams: list[str] | None = None) -> DataFrame:
+    """Accepted observations with their velocity, for each track of each stream. Rows of a batch are put in order of time; state is the last
     window_frames accepted samples a track and goes after `idle` of processing time without rows; None keeps it, which a query that is to end by itself needs."""
+    keys = [*(streams or []), "track_id"]
+    schema = observations.select(*keys).schema
+    for c in OUT.split(", "):
+        schema = schema.add(*c.split())
+    names = schema.names
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,10 +43,10 @@ def gated_velocity(observations: DataFrame, max_speed: float, window_frames: int
                 held.append(float(v))
                 del held[:-window_frames]
             one = len(t) < 2
-            out.append((key[0], row.t_sec, row.x, row.y, 0.0 if one else _slope(t, x), 0.0 if one else _slope(t, y), len(t) == window_frames))
+            out.append((*key, row.t_sec, row.x, row.y, 0.0 if one else _slope(t, x), 0.0 if one else _slope(t, y), len(t) == window_frames))
         state.update((t, x, y))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        yield pd.DataFrame(out, columns=names)
 
-    return observations.select("track_id", "t_sec", "x", "y").groupBy("track_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    return observations.select(*keys, "t_sec", "x", "y").groupBy(*keys).applyInPandasWithState(update, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

@@ -13,19 +13,19 @@ from groundflow.functions import geometry as G
 from groundflow.operators import density as D
 from groundflow.operators import detections as E
 from groundflow.operators import tracks as T
-from groundflow.plans import registry
+from groundflow.plans import catalogue, registry
 from groundflow.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "embeddings", "customer", "nation"):
+    for t in ("lineitem", "orders", "events", "embeddings", "customer", "nation", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(registry.oracle_sql()[name]).df()
-    got = registry.queries()[name](spark, SF).toPandas()
+    want = con.execute(catalogue.oracle_sql()[name]).df()
+    got = catalogue.queries()[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     rows = lambda d: sorted(map(tuple, d[cols].astype(object).where(d[cols].notna(), None).values.tolist()), key=str)
@@ -81,7 +81,7 @@ def test_gate_and_velocity(spark):
 
 def test_moving_average_starts_with_the_second_row(spark):
     got = {}
-    for r in registry.queries()["moving_average_up_to_30"](spark, SF).orderBy("track_id", "t_sec").collect():
+    for r in catalogue.queries()["moving_average_up_to_30"](spark, SF).orderBy("track_id", "t_sec").collect():
         got.setdefault(r.track_id, []).append(r)
     for rows in got.values():
         steps = deque(maxlen=30)
