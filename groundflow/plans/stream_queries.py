@@ -69,7 +69,7 @@ def stream_speed_gate(spark, d):
     return T.speed_gate(walkers(spark, d), SPEED, STREAM).select("stream_id", "track_id", "t_sec", "x", "y", "accepted")
 
 
-@query("wgate", sql=f"""SELECT stream_id, track_id, t_sec, round(CASE WHEN count(*) OVER w < 2 THEN 0 ELSE coalesce(regr_slope(y, t_sec) OVER w, 0) END, 4) AS v_y, count(*) OVER w = {SAMPLES} AS window_full
+@query("wgate", sql=f"""SELECT stream_id, track_id, t_sec, round(CASE WHEN min(t_sec) OVER w = max(t_sec) OVER w THEN 0 ELSE regr_slope(y, t_sec) OVER w END, 4) AS v_y, count(*) OVER w = {SAMPLES} AS window_full
   FROM wgate WHERE accepted WINDOW w AS (PARTITION BY stream_id, track_id ORDER BY t_sec, x, y ROWS BETWEEN {SAMPLES - 1} PRECEDING AND CURRENT ROW)""")
 def stream_velocity(spark, d):
     found = T.velocity(T.speed_gate(walkers(spark, d), SPEED, STREAM).where("accepted"), SAMPLES, STREAM)
