@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -29,22 +31,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder that driver and executors share, under spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, local mode) a temporary folder is taken."""
+    Only on one machine (local mode, tests) may that setting be missing; a temporary folder is taken there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="groundflow-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
 def keep(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Inside `scratch` the table lives until that ends."""
     path = shared_dir(df.sparkSession, what)
+    if getattr(_open, "paths", None):
+        _open.paths[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch():
+    """Deletes at its end what was kept since its start."""
+    _open.paths = [*getattr(_open, "paths", []), []]
+    try:
+        yield
+    finally:
+        for path in _open.paths.pop():
+            fs, local = filesystem(path)
+            fs.delete_dir(local) if fs.get_file_info(local).type == pafs.FileType.Directory else None
+
+
+def settled(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, as a table of its own; the tables that it took on the way are deleted."""
+    path = shared_dir(spark, what)
+    with scratch():
+        found = make()
+        found.write.parquet(path)
+    if getattr(_open, "paths", None):
+        _open.paths[-1].append(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Access to whole files inside tasks: file://, s3://, gs:// and hdfs:// alike."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:") else f"file://{uri}")

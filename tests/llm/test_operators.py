@@ -309,21 +309,61 @@ def test_line_dedup(spark, docs, rows, empty):
         stay = [x for x in lines if len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == i]
         assert (got[i].n_lines, got[i].n_dropped, got[i].text or "") == (len(lines), len(lines) - len(stay), "\n".join(stay))
     assert line_dedup.dedup_lines(empty).count() == 0
-    gone = docs.where("doc_id > 100")
-    log = line_dedup.postings(docs).unionByName(line_dedup.postings(gone, -1))
-    left = line_dedup.reference_counts(log, 3, deletions=True)
+    left = line_dedup.reference_counts(line_dedup.postings(docs).unionByName(line_dedup.postings(docs.where("doc_id > 100"), -1)), 3)
     want = line_dedup.reference_counts(line_dedup.postings(docs.where("doc_id <= 100")), 3)
     assert sorted(left.collect()) == sorted(want.collect())
 
 
-def test_line_dedup_after_deletions(docs):
+def prints_of(filters):
+    """The fingerprints that each shard's filter holds."""
+    return {r.shard: sorted(x for x in np.frombuffer(bytes(r["filter"]), np.uint16).tolist() if x) for r in filters.collect() if any(r["filter"])}
+
+
+def test_line_dedup_after_changes(spark, docs):
+    """Documents that go and come back leave filters, counts and results as if they had never been there or gone."""
     rows_of = lambda d: sorted((r.doc_id, r.text or "", r.n_lines, r.n_dropped) for r in d.collect())
-    left = docs.where("doc_id <= 100")
-    log = line_dedup.postings(docs).unionByName(line_dedup.postings(docs.where("doc_id > 100"), -1))
-    got = rows_of(line_dedup.dedup_lines(left, log=log))
+    left, gone = docs.where("doc_id <= 100"), docs.where("doc_id > 100")
+    whole = line_dedup.build_index(docs)
+    fewer = line_dedup.change_index(whole, deleted=gone)
+    rebuilt = line_dedup.build_index(left)
+    assert sorted(fewer.counts.collect()) == sorted(rebuilt.counts.collect())
+    assert prints_of(fewer.filters) == prints_of(rebuilt.filters) != prints_of(whole.filters)
+    got = rows_of(line_dedup.dedup_lines(left, index=fewer))
     assert got == rows_of(line_dedup.dedup_lines(left)) and sum(r[3] for r in got) > 0
-    again = log.unionByName(line_dedup.postings(docs.where("doc_id > 100")))
-    assert rows_of(line_dedup.dedup_lines(docs, log=again)) == rows_of(line_dedup.dedup_lines(docs))
+    again = line_dedup.change_index(fewer, inserted=gone)
+    assert prints_of(again.filters) == prints_of(whole.filters)
+    assert rows_of(line_dedup.dedup_lines(docs, index=again)) == rows_of(line_dedup.dedup_lines(docs))
+    assert line_dedup.change_index(whole) is whole
+    other = spark.createDataFrame([(900 + k, "\n".join(f"a line that only new documents have {j}" for j in range(400))) for k in range(3)], "doc_id long, text string")
+    grown = line_dedup.change_index(fewer, inserted=other)  # more keys than the stored filter has room for
+    rebuilt = line_dedup.build_index(left.select("doc_id", "text").unionByName(other))
+    assert prints_of(grown.filters) == prints_of(rebuilt.filters) and grown.filters.where("filter is null").isEmpty()
+
+
+def test_line_dedup_with_many_shards(docs, monkeypatch):
+    rows_of = lambda d: sorted((r.doc_id, r.text or "", r.n_lines, r.n_dropped) for r in d.collect())
+    want = rows_of(line_dedup.dedup_lines(docs, 5, 2))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    monkeypatch.setattr(line_dedup, "PROBE_ROWS", 3)
+    index = line_dedup.build_index(docs, 5, 2)
+    assert index.filters.count() > 1 and rows_of(line_dedup.dedup_lines(docs, index=index)) == want
+
+
+def test_line_dedup_equals_its_sql_on_odd_rows(spark):
+    import duckdb
+
+    line, other = "a line that is long enough", "ANOTHER line that is long enough "
+    rows = [(1, line), (2, line), (2, line + "\nx\n" + other), (None, line), (None, f"{other}\n{other}"), (3, other), (4, other.lower()), (5, f"{other}\n\n{other}"), (6, None), (6, ""), (7, "short\nshort"), (8, "short"), (9, "short")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, n_lines long, _shard int, change int")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(entry.oracle_sql()["op10_line_dedup"]).fetchall()
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == ["doc_id", "text", "_shard", "change", "n_lines", "n_dropped"]
+    got = found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
 def test_cuckoo_filter():
