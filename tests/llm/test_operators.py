@@ -340,8 +340,10 @@ def test_line_dedup_after_changes(spark, docs):
     assert prints_of(grown.filters) == prints_of(rebuilt.filters) and grown.filters.where("filter is null").isEmpty()
 
 
-def test_line_dedup_with_many_shards(docs, monkeypatch):
+def test_line_dedup_with_many_shards(spark, docs, monkeypatch):
     rows_of = lambda d: sorted((r.doc_id, r.text or "", r.n_lines, r.n_dropped) for r in d.collect())
+    more = [(900 + k, "\n".join(f"a line that many documents have {j}" for j in range(k, 40 + k))) for k in range(4)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     want = rows_of(line_dedup.dedup_lines(docs, 5, 2))
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
     monkeypatch.setattr(line_dedup, "PROBE_ROWS", 3)
