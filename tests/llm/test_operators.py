@@ -233,8 +233,46 @@ def test_decontamination(spark, docs, rows, empty):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(w), len(hit), sorted(names))
     assert positional_index.decontaminate(empty, bench).count() == 0
     assert positional_index.decontaminate(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
-    near = positional_index.search(positional_index.build_index(docs), [("p", [b"one", b"two"])], within=3)
-    assert near.where(F.size("items") > 0).first().doc_id == 4
+    index = positional_index.build_index(docs)
+    pairs = positional_index.items_of(spark.createDataFrame([("p", "TWO one"), ("q", "one absent")], "item_id string, text string"))
+    near = positional_index.search(index, pairs, within=3).where(F.size("items") > 0).collect()
+    assert [(r.doc_id, r["items"]) for r in near] == [(4, ["p"])]
+    # every term of every text is in the index
+    words = sum(len(word.findall(low(r[1]))) for r in rows)
+    assert index.where("term is not null").agg(F.sum("n"), F.sum(F.size("positions"))).first() == (words, words)
+
+
+def test_decontamination_in_many_blocks(spark, docs, rows, monkeypatch):
+    """Small blocks, more items than documents, items without id and repeated ones, against a search in every text."""
+    monkeypatch.setattr(positional_index, "BLOCK_BYTES", 2_000)
+    draw = random.Random(3)
+    items = [(None, BASE), (1, BASE), (1, "one two"), (2, None), (3, "")]
+    for k, (_, text, *_) in enumerate(rows):
+        w = (text or "").split()[:400]
+        if len(w) > 12:
+            a = draw.randrange(len(w) - 10)
+            items += [(10 + k, " ".join(w[a : a + draw.choice((5, 10, 14))])), (1000 + k, " ".join(draw.sample(w, 10)))]
+    extra = docs.select("doc_id", "text", F.lit(1).alias("n"), F.lit("x").alias("name"), F.lit(2).alias("block"), F.lit(3).alias("term"))
+    repeated = extra.unionByName(extra.where("doc_id = 14")).unionByName(extra.where("doc_id = 14").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, no long")
+    got = positional_index.decontaminate(repeated, bench)
+    assert got.count() == len(rows) + 2 and got.where("doc_id = 14 or doc_id is null").select("n_words", "n_hit", "items").distinct().count() == 1
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {}
+    for name, text in items:
+        w = word.findall(low(text))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(name)
+    text = {r[0]: r[1] for r in rows}
+    for r in got.collect():
+        w, hit, names = word.findall(low(text[r.doc_id or 14])), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    names |= {str(x) for x in found if x is not None}
+        assert (r.n_words, sorted(r.places), r["items"]) == (len(w), sorted(hit), sorted(names))
 
 
 def brute_components(rows):
