@@ -3,12 +3,14 @@
 Texts become word streams: A-Z in lower case, words of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F], single spaces between
 them. A notice that may differ in k edits is split into k+1 pieces; whatever the edits, one piece stays
 intact (pigeonhole), so exact search for the pieces finds every place where the notice can be. There the
-regex library's bounded-error matching (`(?e)(?:notice){e<=k}`) verifies the edits and
-reports the span. Notices with k = 0 are their own piece, must begin and end at word borders, and all their
-places are reported.
-
-Null and empty texts have no words and no match. Whole texts are searched; a text is handled by itself, so an
-empty table, repeated rows and extra columns need no rule.
+regex library's bounded-error matching (`(?e)(?<= )(?:notice){e<=k}(?= )`) verifies the edits and reports the span, which
+begins and ends at word borders. A span counts if it is the notice misspelt and not other words: it has as many words, each
+with the notice's first letter and at most one edit for each four letters (none below four), and no more than k in
+all; or it differs in its spacing only. So "all rights preserved" is no "all rights reserved".
+
+Notices with k = 0 are their own piece, and all places where their words stand are reported. Null and empty texts have no
+words and no match. Whole texts are searched, in time linear in their length; a text is handled by itself, so an empty
+table, repeated rows, rows without doc_id and extra columns need no rule.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +40,53 @@ BASE = (
     Notice("gpl", "general public license", 0, True),
     Notice("reserved", "all rights reserved", 0, True),
 )
-#: Well-known notices, with the edits that each may have.
+#: Notices of well-known licences and reservations, with the edits that each may have.
 NOTICES = (
     *BASE,
+    Notice("afl", "academic free license", 2),
     Notice("agpl", "gnu affero general public license", 2),
     Notice("apache", "licensed under the apache license", 3),
+    Notice("apache", "apache software license", 2),
+    Notice("artistic", "the artistic license", 1),
+    Notice("beerware", "the beer ware license", 1),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
+    Notice("bsd", "the bsd license", 0),
+    Notice("bsl", "boost software license", 2),
     Notice("cc", "creative commons attribution", 2),
+    Notice("cc", "creative commons license", 2),
+    Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
+    Notice("cc-by-nd", "creative commons attribution noderivatives", 3),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("cc0", "creative commons zero", 1),
+    Notice("cc0", "cc0 1 0 universal", 0),
+    Notice("cddl", "common development and distribution license", 3),
+    Notice("cpl", "common public license", 1),
+    Notice("ecl", "educational community license", 2),
     Notice("epl", "eclipse public license", 1),
+    Notice("eupl", "european union public licence", 2),
+    Notice("gfdl", "gnu free documentation license", 2),
     Notice("gpl", "gnu general public license", 2),
+    Notice("gpl", "this program is free software you can redistribute it and or modify it", 5),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 5),
     Notice("lgpl", "gnu lesser general public license", 2),
+    Notice("lgpl", "gnu library general public license", 2),
     Notice("mit", "released under the mit license", 2),
+    Notice("mit", "licensed under the mit license", 2),
     Notice("mit", "permission is hereby granted free of charge to any person", 5),
     Notice("mpl", "mozilla public license", 1),
+    Notice("ms-pl", "microsoft public license", 2),
+    Notice("ncsa", "university of illinois ncsa open source license", 4),
+    Notice("odbl", "open database license", 1),
+    Notice("ofl", "sil open font license", 1),
+    Notice("osl", "open software license", 1),
+    Notice("postgresql", "the postgresql license", 1),
+    Notice("psf", "python software foundation license", 3),
+    Notice("public-domain", "released into the public domain", 2),
+    Notice("public-domain", "dedicated to the public domain", 2),
     Notice("reserved", "all rights reserved", 1),
+    Notice("reserved", "no part of this publication may be reproduced", 4),
+    Notice("unlicense", "free and unencumbered software released into the public domain", 5),
+    Notice("zlib", "this software is provided as is without any express or implied warranty", 5),
 )
 
 MATCH = "doc_id long, n_words long, matches array<struct<label:string,base:boolean,edits:int,first_word:long,n_words:long,found:string>>"
@@ -64,6 +100,32 @@ def pieces(words: str, edits: int) -> list[tuple[int, bytes]]:
     return [(a, data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def edit_distance(a: bytes, b: bytes) -> int:
+    row = list(range(len(b) + 1))
+    for x in a:
+        before, row[0] = row[0], row[0] + 1
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def misspelt(found: list[bytes], words: list[bytes], most: int) -> int | None:
+    """The edits by which found is a misspelling of words; None if it is something else."""
+    if len(found) != len(words):
+        spaces = abs(len(found) - len(words))
+        return spaces if b"".join(found) == b"".join(words) and spaces <= most else None
+    total = 0
+    for a, b in zip(found, words, strict=True):
+        if a != b:
+            if len(b) < 4 or a[:1] != b[:1]:
+                return None
+            edits = edit_distance(a, b)
+            total += edits
+            if edits > len(b) // 4 or total > most:
+                return None
+    return total
+
+
 class Finder:
     """Finds one notice in a word stream that has a space at either end."""
 
@@ -71,13 +133,13 @@ class Finder:
         import regex
 
         self.notice, self.data = notice, notice.words.encode()
-        self.pieces = pieces(notice.words, notice.edits)
+        self.words, self.pieces = self.data.split(), pieces(notice.words, notice.edits)
         if notice.edits:
-            self.fuzzy = regex.compile(rb"(?e)(?:%s){e<=%d}" % (regex.escape(self.data), notice.edits))
+            self.fuzzy = regex.compile(rb"(?e)(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(self.data), notice.edits))
 
     def windows(self, stream: bytes) -> Iterator[tuple[int, int]]:
-        """Where a piece is, widened to the whole notice and merged."""
-        k, spans = self.notice.edits, []
+        """Where a piece is, widened to the whole notice and a space at either end, and merged."""
+        k, spans = self.notice.edits + 1, []
         for offset, piece in self.pieces:
             at = stream.find(piece)
             while at >= 0:
@@ -91,30 +153,41 @@ class Finder:
         if end >= 0:
             yield start, end
 
-    def find(self, stream: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of all matches."""
+    def find(self, stream: bytes, border: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first word, number of words, edits) of all matches. border: the places of the stream's spaces."""
+        n, number = len(self.words), lambda at: int(np.searchsorted(border, at))
         if not self.notice.edits:
             found, wanted = [], b" %s " % self.data
             at = stream.find(wanted)
             while at >= 0:
-                found.append((at + 1, at + 1 + len(self.data), 0))
+                found.append((number(at), n, 0))
                 at = stream.find(wanted, at + 1)
             return found
-        return [(*m.span(), sum(m.fuzzy_counts)) for start, end in self.windows(stream) for m in self.fuzzy.finditer(stream, start, end)]
+        best: dict[int, tuple[int, int, int]] = {}
+        for start, end in self.windows(stream):
+            for m in self.fuzzy.finditer(stream, start, end, overlapped=True):
+                first, size = number(m.start() - 1), m.group().count(b" ") + 1
+                # the span itself, or as many words as the notice has where it begins or beside
+                for a, k in ((first, size), *((first + d, n) for d in (0, -1, 1))):
+                    if 0 <= a and a + k < len(border):
+                        edits = misspelt(stream[border[a] + 1 : border[a + k]].split(b" "), self.words, self.notice.edits)
+                        if edits is not None:
+                            best[a] = min(best.get(a, (a, k, edits)), (a, k, edits), key=lambda x: x[2])
+        return sorted(best.values())
 
 
 def matches_of(text: str, finders: list[Finder]) -> tuple[int, list[tuple]]:
     """Number of words and the matches (label, base, edits, first word, words, what was found)."""
     words = words_of(text)
     stream = b" %s " % b" ".join(words) if words else b""
-    found = []
+    border, found = None, []
     for f in finders:
-        if len(f.pieces) > 1 and not any(p in stream for _, p in f.pieces):
+        if not any(p in stream for _, p in f.pieces):
             continue
-        for a, b, edits in f.find(stream):
-            piece = stream[a:b]
-            start = a + len(piece) - len(piece.lstrip())
-            found.append((f.notice.label, f.notice.base, edits, stream.count(b" ", 0, start) - 1, len(piece.split()), piece.strip().decode("utf-8", "replace")))
+        if border is None:
+            border = np.flatnonzero(np.frombuffer(stream, np.uint8) == 32)
+        for first, size, edits in f.find(stream, border):
+            found.append((f.notice.label, f.notice.base, edits, first, size, b" ".join(words[first : first + size]).decode("utf-8", "replace")))
     return len(words), found
 
 

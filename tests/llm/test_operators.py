@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -174,9 +175,54 @@ def test_license_scan(docs, rows, empty):
     finders = [license_scan.Finder(n) for n in license_scan.NOTICES]
     _, found = license_scan.matches_of("x Licensd under the Apache Licence, v2. Gnu genral public license. accbyx", finders)
     assert {(f[0], f[2]) for f in found} == {("apache", 2), ("gpl", 1)}
+    for text in ("small rights reserved", "unlicensed under the apache license", "gnu general public licensees", "all rights preserved", "gnu general publican license", "xgnu general public licenses"):
+        assert license_scan.matches_of(text, finders)[1] == [], text
+    assert [f[:5] for f in license_scan.matches_of("all rightsreserved", finders)[1]] == [("reserved", False, 1, 0, 2)]
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_labels_equal_a_search_by_words():
+    """Own labels against every run of words, on texts with planted notices whose letters were changed."""
+    draw = random.Random(8)
+    finders = [license_scan.Finder(n) for n in license_scan.NOTICES]
+
+    def change(word):
+        k, c = draw.randrange(1, len(word)), draw.choice("abcdefghijklmnopqrstuvwxyz")
+        return draw.choice((word[:k] + word[k + 1 :], word[:k] + c + word[k:], word[:k] + c + word[k + 1 :]))
+
+    planted = caught = alien = 0
+    for _ in range(300):
+        notice = draw.choice(license_scan.NOTICES)
+        words, edits = notice.words.split(), 0
+        for k in draw.sample(range(len(words)), len(words)):
+            if len(words[k]) >= 4 and edits < draw.randint(0, notice.edits):
+                words[k], edits = change(words[k]), edits + 1
+        text = " ".join([*draw.choices(WORDS, k=draw.randint(0, 30)), *words, *draw.choices(WORDS, k=draw.randint(0, 30))])
+        stream, want = text.encode().split(), set()
+        for n in license_scan.NOTICES:
+            own = n.words.encode().split()
+            for k in range(len(stream) - len(own) + 1):
+                if license_scan.misspelt(stream[k : k + len(own)], own, n.edits) is not None:
+                    want.add((n.label, k))
+        got = {(f[0], f[3]) for f in license_scan.matches_of(text, finders)[1]}
+        assert want <= got
+        alien += len(got - want)  # spacing only
+        planted += 1
+        caught += any(label == notice.label for label, _ in got)
+    assert caught == planted and alien == 0
+
+
+def test_license_scan_takes_linear_time():
+    finders = [license_scan.Finder(n) for n in license_scan.NOTICES]
+    took = []
+    for size in (60_000, 240_000):
+        start = time.process_time()
+        n, found = license_scan.matches_of("cc by " * (size // 6), finders)
+        took.append(time.process_time() - start)
+        assert len(found) == size // 6 and found[-1][3] == n - 2
+    assert took[1] < 9 * took[0]
+
+
 def test_multiset_hash(spark, docs, rows, empty):
     ordered = sorted(rows, key=lambda r: -r[0])
     got = {r.doc_id: r for r in multiset_hash.edit_likeness(docs).collect()}
