@@ -3,11 +3,14 @@
 Pages are written as WARC/1.1 records, each its own gzip member. Of records with equal payloads the one with
 the smallest page_id is a `response`; the others are `revisit` records, which name it and keep the HTTP
 header (with the payload's length) and digest but no payload. The capture index has one line a record, sorted
-by reversed-host URL key: lines are compressed in blocks, and a sparse directory holds each block's first key
-and place. A lookup searches the directory, reads one block, searches it, and then reads the record by range.
-
-Null html is an empty payload, null url an empty target; equal page_ids with equal payloads are all
-responses when they are the smallest; an empty table writes nothing and gives no row. Extra columns are ignored.
+by reversed-host URL key and page_id: lines are compressed in blocks, and a sparse directory holds each block's first and
+last key and its place. Whoever looks for captures has their keys searched in the directory by bisection, reads the blocks
+found, searches them the same way, and then reads the records by range. Only the index files' own bounds, a row a file,
+are on the driver and sent to all tasks; keys then meet the directory file by file.
+
+Null html is an empty payload, null url an empty target. Pages without page_id are responses and nothing refers to
+them. Equal page_ids with equal payloads are all responses if they are the smallest, else all revisits. Repeated rows have a
+record each; an empty table writes nothing and gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, keep, record_batch, shared_dir
+from .common import filesystem, keep, record_batch, settled, shared_dir
 
 #: Index lines in a compressed block.
 BLOCK_LINES = 3000
@@ -37,8 +40,10 @@ DATE = "2000-01-01T00:00:00Z"
 
 ENTRY = "urlkey string, page_id long, file string, offset long, length long"
 _ENTRY = pa.schema([("urlkey", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, n long"
-_DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n", pa.int64())])
+DIRECTORY = "first_key string, first_page long, last_key string, last_page long, file string, offset long, length long, n long"
+_DIRECTORY = pa.schema([("first_key", pa.string()), ("first_page", pa.int64()), ("last_key", pa.string()), ("last_page", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n", pa.int64())])
+PLACE = "file string, offset long, length long"
+_PLACE = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
@@ -55,6 +60,16 @@ def url_key(url: str) -> str:
     return f"{key}{f':{port}' if port else ''}){at.path or '/'}{f'?{at.query}' if at.query else ''}".lower()
 
 
+def index_key(url: str | None) -> str:
+    """The key as index lines hold it: without tabs and line breaks."""
+    return re.sub(r"[\t\n]", " ", url_key(url or ""))
+
+
+def _rank(key: str, page_id: int | None) -> tuple:
+    """The order of the index: by key, then by page_id, null first."""
+    return key, page_id is not None, page_id or 0
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -125,7 +140,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
                     fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(f"{local}.{attempt}.tmp")
                 out.write(data)
-                rows.append((url_key(url), row["page_id"], name, at, len(data)))
+                rows.append((index_key(url), row["page_id"], name, at, len(data)))
                 at += len(data)
             if rows:
                 yield record_batch(rows, _ENTRY)
@@ -133,7 +148,8 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
             out.close()
             fs.move(f"{local}.{attempt}.tmp", local)
 
-    return keep(pages.mapInArrow(write, ENTRY), "warc-entries")
+    # a repeated task writes the same bytes at the same places
+    return keep(pages.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id", "url", "html").mapInArrow(write, ENTRY), "warc-entries")
 
 
 def write_index(entries: DataFrame, path: str) -> DataFrame:
@@ -152,12 +168,12 @@ def write_index(entries: DataFrame, path: str) -> DataFrame:
                 fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(f"{local}.{attempt}.tmp")
             out.write(data)
-            directory.append((held[0]["urlkey"], held[-1]["urlkey"], name, at, len(data), len(held)))
+            directory.append((held[0]["urlkey"], held[0]["page_id"], held[-1]["urlkey"], held[-1]["page_id"], name, at, len(data), len(held)))
             at += len(data)
 
         for batch in found:
             for e in batch.to_pylist():
-                held.append(e | {"urlkey": re.sub(r"[\t\n]", " ", e["urlkey"])})
+                held.append(e)
                 if len(held) >= BLOCK_LINES:
                     block()
                     held = []
@@ -168,7 +184,7 @@ def write_index(entries: DataFrame, path: str) -> DataFrame:
             fs.move(f"{local}.{attempt}.tmp", local)
             yield record_batch(directory, _DIRECTORY)
 
-    order = [F.translate("urlkey", "\t\n", "  "), "page_id", "file", "offset"]
+    order = ["urlkey", "page_id", "file", "offset"]
     return keep(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, DIRECTORY), "warc-directory")
 
 
@@ -180,26 +196,62 @@ def read_block(path: str, place: dict) -> list[tuple[str, list]]:
     return [(k, json.loads(v)) for k, _, v in (line.rpartition("\t") for line in text.split("\n"))]
 
 
-def lookup(directory: DataFrame, path: str, url: str) -> list[dict]:
-    """All captures of a URL: directory, block, then range reads. The directory is searched by Spark."""
-    key = re.sub(r"[\t\n]", " ", url_key(url))
-    found = []
-    for place in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("file", "offset").toLocalIterator():
-        lines = read_block(path, place.asDict())
-        for _, (_, file, offset, length) in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]:
-            fs, local = filesystem(f"{path}/{file}")
-            with fs.open_input_file(local) as f:
-                found.append(parse_record(zlib.decompress(f.read_at(length, offset), 31)))
-    return found
+def find(directory: DataFrame, path: str, wanted: DataFrame) -> DataFrame:
+    """file, offset, length of the records of all captures that are wanted. wanted: urlkey, page_id, whole (true: all
+    captures with the key); distinct rows."""
+    bounds = directory.groupBy("file").agg(F.min(F.struct("first_key", "first_page")).alias("low"), F.max(F.struct("last_key", "last_page")).alias("high"))
+    tops = sorted((_rank(*r["low"]), _rank(*r["high"]), r["file"]) for r in bounds.collect())  # a row for each index file
+    lows, highs, files = ([t[k] for t in tops] for k in range(3))
+
+    def span(key: str, page_id: int | None, whole: bool) -> tuple[tuple, tuple]:
+        return ((key,), (key, 2)) if whole else (_rank(key, page_id),) * 2
 
+    def overlapping(low: tuple, high: tuple, firsts: list, lasts: list) -> range:
+        """Of sorted stretches those that may hold something between low and high."""
+        return range(bisect.bisect_left(lasts, low), bisect.bisect_right(firsts, high))
 
-def read_archives(directory: DataFrame, path: str) -> DataFrame:
-    """Every record, found by the index: blocks give the records' places, which are read file by file."""
+    def assign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            rows = [(files[k], *row) for row in zip(*(batch.column(c).to_pylist() for c in ("urlkey", "page_id", "whole")), strict=True) for k in overlapping(*span(*row), lows, highs)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["file", "first_key", "first_page", "whole"])
 
-    def places(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, blocks, firsts, lasts = None, [], [], []
+        at, lines, keys = None, [], []
         for batch in found:
-            for place in batch.to_pylist():
-                yield record_batch([(k, *v) for k, v in read_block(path, place)], _ENTRY)
+            rows = []
+            for row in batch.to_pylist():
+                if row["file"] != file:
+                    file, blocks, firsts, lasts, at = row["file"], [], [], [], None
+                if row["whole"] is None:
+                    blocks.append(row)
+                    firsts.append(_rank(row["first_key"], row["first_page"]))
+                    lasts.append(_rank(row["last_key"], row["last_page"]))
+                    continue
+                low, high = span(row["first_key"], row["first_page"], row["whole"])
+                for b in overlapping(low, high, firsts, lasts):
+                    if at != b:
+                        at, lines = b, read_block(path, blocks[b])
+                        keys = [_rank(k, v[0]) for k, v in lines]
+                    rows += [tuple(v[1:]) for _, v in lines[bisect.bisect_left(keys, low) : bisect.bisect_right(keys, high)]]
+            if rows:
+                yield record_batch(rows, _PLACE)
+
+    asked = wanted.select("urlkey", F.col("page_id").cast("long"), "whole").mapInArrow(assign, "file string, first_key string, first_page long, whole boolean")
+    rows = directory.withColumn("whole", F.lit(None).cast("boolean")).unionByName(asked, allowMissingColumns=True)
+    order = ["file", F.col("whole").isNotNull(), "first_key", "first_page", "offset"]
+    return rows.repartition(_tasks(directory), "file").sortWithinPartitions(*order).mapInArrow(search, PLACE)
+
+
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as shuffles have. Said outright, because small rows here stand for large reads and are not to be joined."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def read_records(places: DataFrame, path: str, payload: bool = False) -> DataFrame:
+    """The records at file, offset, length, read file by file; with `payload`, that of responses too."""
+    schema = _RECORD.append(pa.field("payload", pa.binary())) if payload else _RECORD
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -214,19 +266,45 @@ def read_archives(directory: DataFrame, path: str) -> DataFrame:
                     data = f.read_at(sum(wanted[last][1:]) - wanted[k][1], wanted[k][1])
                 for _, offset, length in wanted[k : last + 1]:
                     r = parse_record(zlib.decompress(data[offset - wanted[k][1] :][:length], 31))
-                    rows.append(tuple(r[c] for c in _RECORD.names))
+                    rows.append(tuple(r.get(c) for c in schema.names))
                 k = last + 1
+                if payload:
+                    yield record_batch(rows, schema)
+                    rows = []
             if rows:
-                yield record_batch(rows, _RECORD)
+                yield record_batch(rows, schema)
+
+    return places.repartition(_tasks(places), "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD + (", payload binary" if payload else ""))
+
 
-    blocks = directory.repartition(max(1, min(directory.count(), 10_000)), "file", "offset").mapInArrow(places, ENTRY).select("file", "offset", "length")
-    n_files = blocks.agg(F.count_distinct("file")).first()[0]  # small rows that stand for large reads: a task a file
-    return blocks.repartition(max(1, n_files), "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+def captures(directory: DataFrame, path: str, urls: DataFrame) -> DataFrame:
+    """All captures of the URLs in column url, with their payloads (null for revisits)."""
+    return read_records(find(directory, path, _keys(urls.withColumn("page_id", F.lit(None).cast("long")), True)), path, payload=True)
+
+
+def _keys(pages: DataFrame, whole: bool) -> DataFrame:
+    """urlkey, page_id, whole of pages, each once."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            keys = pa.array([index_key(u) for u in batch.column("url").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, batch.column("page_id")], names=["urlkey", "page_id"])
+
+    return pages.select("url", F.col("page_id").cast("long")).mapInArrow(run, "urlkey string, page_id long").distinct().withColumn("whole", F.lit(whole))
+
+
+def read_archives(pages: DataFrame, directory: DataFrame, path: str) -> DataFrame:
+    """The records of pages (page_id, url), each looked up in the index."""
+    return read_records(find(directory, path, _keys(pages, False)), path)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as archives with an index, and read back through it."""
+    """All pages written as archives with an index, and each looked up and read back through it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = shared_dir(spark, "warc")
-    directory = write_index(write_archives(with_revisits(pages), path), path)
-    return read_archives(directory, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    def digest() -> DataFrame:
+        directory = write_index(write_archives(with_revisits(pages), path), path)
+        return read_archives(pages, directory, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    return settled(spark, "op8", digest)

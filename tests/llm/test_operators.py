@@ -363,12 +363,21 @@ def test_signatures_lose_no_pair():
                     assert np.intersect1d(prints[of == 0], prints[of == 1]).size
 
 
-def test_warc(spark):
-    pages = [(3, "http://www.example.com/b?x=1", "same"), (1, "https://m.example.com/a", "same"), (2, None, None), (4, "http://b.org/\nx", ""), (5, "http://www.example.com/b?x=1", "é" * 5000), (6, "not a url", "same")]
+def archived(df, path):
+    return warc.write_index(warc.write_archives(warc.with_revisits(df), path), path)
+
+
+def test_warc(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    pages = [(3, "http://www.example.com/b?x=1", "same"), (1, "https://m.example.com/a", "same"), (2, None, None), (4, "http://b.org/\nx\ty", ""), (5, "http://www.example.com/b?x=1", "é" * 5000), (6, "not a url", "same"), (6, "not a url", "same"), (-7, "http://z.org/ü", "z")]
+    pages += [(100 + k, "http://hot.org/", f"page {k % 7}") for k in range(40)] + [(1000 + k, f"http://h{k % 5}.org/{k}", f"own {k}") for k in range(30)]
     path = shared_dir(spark, "warc")
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    directory = warc.write_index(warc.write_archives(warc.with_revisits(df), path), path)
-    got = {r.page_id: r for r in warc.read_archives(directory, path).collect()}
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, refers_to string, offset long").repartition(3)
+    directory = archived(df, path)
+    assert directory.count() > 5
+    found = warc.read_archives(df, directory, path).collect()
+    assert len(found) == len(pages)
+    got = {r.page_id: r for r in found}
     firsts = {}
     for i, _, html in sorted(pages, key=lambda p: p[0]):
         data = (html or "").encode()
@@ -376,9 +385,20 @@ def test_warc(spark):
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(data), warc.digest_of(data))
         assert (r.record_type, r.refers_to) == (("response", None) if first == i else ("revisit", first))
-    assert sorted(x["page_id"] for x in warc.lookup(directory, path, "http://example.com/b?x=1")) == [3, 5]
+    urls = spark.createDataFrame([("http://example.com/b?x=1",), ("http://hot.org",), ("http://hot.org/",), ("http://nowhere.org/",)], "url string")
+    caught = warc.captures(directory, path, urls).collect()
+    assert sorted(r.page_id for r in caught) == [3, 5, *range(100, 140)]
+    assert {r.page_id: r.payload for r in caught}[5] == bytearray("é".encode() * 5000) and {r.page_id: r.payload for r in caught}[107] is None
     none = df.limit(0)
-    assert warc.read_archives(warc.write_index(warc.write_archives(warc.with_revisits(none), path + "x"), path + "x"), path + "x").count() == 0
+    assert warc.read_archives(none, archived(none, path + "x"), path + "x").count() == 0
+
+
+def test_warc_of_pages_without_id(spark):
+    pages = [(None, "http://a.org/", "same"), (None, "http://a.org/", "same"), (4, "http://a.org/", "same"), (4, "http://a.org/", "same"), (5, None, "same"), (None, None, None)]
+    path = shared_dir(spark, "warc")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = warc.read_archives(df, archived(df, path), path).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got) == [(0, "response", 0, 0), (0, "response", 0, 4), (0, "response", 0, 4), (4, "response", 0, 4), (4, "response", 0, 4), (5, "revisit", 4, 4)]
 
 
 def test_line_dedup(spark, docs, rows, empty):
