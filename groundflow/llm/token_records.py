@@ -3,12 +3,13 @@
 A record is: uint64 length, uint32 masked checksum of those 8 bytes, the payload, uint32 masked checksum
 of the payload, all little-endian. The payload is the sequence's ids as little-endian uint16 (uint32 for
 vocabularies above 65536). The checksum is CRC-32 (zlib's), rotated right by 15 bits plus a constant, so
-that a checksum stored among the data does not check itself. Beside each data file an index file holds
-(doc_id, offset, n_tokens) as three int64 a record, so that a reader can fetch records in any order.
+that a checksum stored among the data does not check itself; readers that expect CRC-32C refuse the files. Beside each
+data file an index file holds (has doc_id, doc_id, offset, n_tokens) as four int64 a record, so that a reader can fetch
+records in any order.
 
-Files are cut by ranges of doc_id, each written by one task in ascending order. Null doc_id comes first
-(stored as the smallest int64); null or empty text is a record of the end id alone; equal doc_id are
-ordered by text. An empty table writes no file and gives no row.
+Files are cut by ranges of doc_id, each written by one task in ascending order. Null doc_id comes first;
+null or empty text is a record of the end id alone; equal doc_id are ordered by text. The strings of special tokens
+in a text are ordinary text (`tokens`). An empty table writes no file and gives no row.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from .tokens import encoder, slices
 
 #: Fixed: the constant added to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
-NULL_ID = -(1 << 63)
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 _READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -75,7 +75,7 @@ def write_token_records(docs: DataFrame, path: str, tokenizer_path: str, end_id:
                         out = fs.open_output_stream(f"{local}.{attempt}.tmp")
                     framed = frame(np.append(got, coder.dtype.type(end_id)).tobytes())
                     out.write(framed)
-                    rows.append((NULL_ID if ids[k] is None else ids[k], at, len(got) + 1))
+                    rows.append((ids[k] is not None, ids[k] or 0, at, len(got) + 1))
                     at, tokens, k = at + len(framed), tokens + len(got) + 1, k + 1
         if out is not None:
             out.close()
@@ -94,14 +94,14 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
             for file in batch.to_pylist():
                 fs, local = filesystem(f"{file['path']}.idx")
                 with fs.open_input_stream(local) as f:
-                    index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
+                    index = np.frombuffer(f.read(), "<i8").reshape(-1, 4)
                 before, rows = 0, []
                 with fs.open_input_file(local[:-3] + "rec") as data:
-                    for doc_id, offset, n in index.tolist():
+                    for known, doc_id, offset, n in index.tolist():
                         record = data.read_at(16 + n * file["width"], offset)
                         payload, _ = unframe(record, 0)
                         wide = np.frombuffer(payload, f"<u{file['width']}").astype("<u4")
-                        rows.append((file["part"], None if doc_id == NULL_ID else doc_id, before, len(wide), zlib.crc32(wide.tobytes())))
+                        rows.append((file["part"], doc_id if known else None, before, len(wide), zlib.crc32(wide.tobytes())))
                         before += n
                         if len(rows) >= 20_000:
                             yield record_batch(rows, _READ)
@@ -119,14 +119,14 @@ def fetch(path: str, index_rows: list[int]) -> list[np.ndarray]:
     """Ids of chosen records of one file (path without suffix), in any order, by range reads."""
     fs, local = filesystem(f"{path}.idx")
     with fs.open_input_stream(local) as f:
-        index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
+        index = np.frombuffer(f.read(), "<i8").reshape(-1, 4)
     size = fs.get_file_info(local[:-3] + "rec").size
-    ends = np.append(index[1:, 1], size)
+    ends = np.append(index[1:, 2], size)
     with fs.open_input_file(local[:-3] + "rec") as data:
         found = []
         for k in index_rows:
-            payload, _ = unframe(data.read_at(int(ends[k] - index[k, 1]), int(index[k, 1])), 0)
-            found.append(np.frombuffer(payload, f"<u{len(payload) // int(index[k, 2])}"))
+            payload, _ = unframe(data.read_at(int(ends[k] - index[k, 2]), int(index[k, 2])), 0)
+            found.append(np.frombuffer(payload, f"<u{len(payload) // int(index[k, 3])}"))
     return found
 
 

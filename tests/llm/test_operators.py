@@ -148,6 +148,19 @@ def test_token_records(spark, docs, rows, empty):
     assert token_records.read_token_records(token_records.write_token_records(empty, shared_dir(spark, "records"), public_tokenizers.path("byte_bpe_50k.json"), 0)).count() == 0
 
 
+def test_token_records_of_odd_ids(spark):
+    rows = [(None, "b"), (None, None), (-(1 << 63), "a"), ((1 << 63) - 1, "c d"), (0, ""), (0, "z"), (5, "a tail<|endoftext|> next")]
+    path = shared_dir(spark, "records")
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, part int, path string")
+    got = token_records.read_token_records(token_records.write_token_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 0)).orderBy("start").collect()
+    ids = [ids_of("byte_bpe_50k.json", [r], 0)[r[0]] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    at = 0
+    for r, want in zip(got, ids, strict=True):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        at += len(want)
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), 0, 0, 5, (1 << 63) - 1]
+
+
 def test_language_codes():
     for n in (2, 4, 7, 12):
         code = language_id.code_matrix(n).astype(int)
