@@ -118,6 +118,61 @@ def test_packing_limits(docs):
     assert most[0] <= 256 and most[1] <= 3 and most[2] <= 100
 
 
+@pytest.mark.parametrize("size", [5, 10, 30, 60, 120])
+def test_packing_of_equal_short_documents(size):
+    """Within all limits, hardly any padding, and time that does not grow with the square of the pool."""
+    packer = packing.Packer(4096, 64, 4096, 0)
+    docs = 120_000 // size
+    for k in range(docs):
+        packer.add(k, np.full(size, k % 50_000, np.uint16), 0)
+    start = time.process_time()
+    packer.drain(0)
+    assert time.process_time() - start < 10
+    total, segments, padding = {}, {}, 0
+    for doc_id, _, n, _, whole, sequence, _, _ in packer.out:
+        assert whole == size
+        total[sequence], segments[sequence] = total.get(sequence, 0) + n, segments.get(sequence, 0) + 1
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in total.values())
+    assert sum(total.values()) == docs * size and max(segments.values()) <= 64 and max(total.values()) <= 4096 and padding <= 0.02 * docs * size
+
+
+def test_packing_of_conversations(spark):
+    """Dialogues whose first turn bears no loss: all three limits hold, and the third is the one that binds."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    texts, prompts = {}, {}
+    for r in turns:
+        if r.conv_id not in texts:
+            prompts[r.conv_id] = len(plain.encode(r.text or "", add_special_tokens=False).ids)
+        texts.setdefault(r.conv_id, []).append(r.text or "")
+    docs = spark.createDataFrame([(i, "\n".join(t), prompts[i], 7) for i, t in texts.items()], "doc_id long, text string, first long, prompt long").coalesce(2)
+    got = packing.pack(docs, path, 2, max_tokens=1024, max_segments=16, max_loss=300, prompt_column="first").collect()
+    seen, sums = {}, {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == seen.get(r.doc_id, 0)
+        seen[r.doc_id] = r.start + r.length
+        assert r.loss_tokens == r.length - max(0, min(r.length, prompts[r.doc_id] - r.start))
+        one = sums.setdefault(r.sequence_id, [0, 0, 0])
+        for k, v in enumerate((r.length, 1, r.loss_tokens)):
+            one[k] += v
+    assert seen == {r.doc_id: r.doc_tokens for r in got} and len(seen) == len(texts)
+    assert all(a <= 1024 and b <= 16 and c <= 300 for a, b, c in sums.values()) and sum(c > 290 for _, _, c in sums.values()) >= 2
+    for bad in ({"max_loss": 0}, {"max_tokens": 0}, {"max_segments": 0}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, path, 2, **bad)
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "one two", None), (None, None, -5), (3, "a b c", 100), (3, "a b c", 0), (4, "", 1)]
+    got = packing.pack(spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, p int, length int, offset string"), public_tokenizers.path("word_bpe_49k.json"), 2, prompt_column="p").collect()
+    whole = {}
+    for r in got:
+        whole.setdefault((r.doc_id, r.doc_tokens), []).append(r.loss_tokens)
+    assert {k: sum(v) for k, v in whole.items()} == {(None, 3): 3, (None, 1): 1, (3, 4): 4, (4, 1): 0}
+
+
 def test_packing_of_short_texts_pads_nothing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     short = [(k, " ".join(WORDS[(k * 7 + j) % len(WORDS)] for j in range(2 + k % 4))) for k in range(500)]
