@@ -1,28 +1,34 @@
 """Operator 1: k-d tree sharding by distributed weighted medians.
 
 The documents are split again and again, each node at the byte-weighted quantile of its widest metadata
-dimension, until every leaf has the target size. A split point is found by three rounds of histograms over
-33-bit positions (17 bits of the dimension's range in the node, 16 bits of a row hash that breaks ties), so
+dimension, until every leaf has the target size. A split point is found by rounds of histograms over
+55-bit positions (17 bits of the dimension's range in the node, 38 bits of a row hash that breaks ties), so
 that one value held by a third of all rows is divided like any other. A round is one aggregation that
-shuffles at most 2048 sums a node; documents' texts are read once, for their size and checksum, and rows
-never gather in one task. The law is `bytes`: each split lies within one document of its target, so
-two leaves differ by little more than one document.
-
-Null text has size 16 and the checksum of the empty text; null dimensions count as 0; equal rows (same
-doc_id and text) cannot be told apart and stay together; an empty table gives no row. Extra columns are
-ignored.
+shuffles at most 16384 sums a node, and a node needs no more rounds once its split point lies at a single row. Documents'
+texts are read once, for their size and checksum; rows never gather in one task, and they are written anew only every
+few levels: in between, a row walks the levels' split points, small tables of a row a node. The law is `bytes`: a split is
+off its target by no more than one position's rows, and with 38 bits of hash that is one document (two with a chance of
+one in twenty at ten thousand million rows of one value), so two leaves differ by little more than a document a level.
+
+Null text has size 16 and the checksum of the empty text; null dimensions count as 0; rows without doc_id are dealt like
+others; equal rows (same doc_id and text) cannot be told apart and stay together. Copies of a text under different doc_ids
+are not kept together: a group that holds a third of all bytes could not be, under this law. An empty table gives no row.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, settled
 
-RANGE_BITS, TIE_BITS, ROUND_BITS = 17, 16, 11
+RANGE_BITS, TIE_BITS, ROUND_BITS = 17, 38, 14
+#: Levels of the tree after which the rows are written anew with their nodes.
+REWRITE_LEVELS = 6
 #: Parts into which each shard's rows are dealt for numbering its slots.
 SLOT_PARTS = 64
 
@@ -38,9 +44,10 @@ def default_dimensions(docs: DataFrame) -> dict[str, Column]:
     return found
 
 
-def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of one row a node."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of one row a node, as one literal that the JVM reads; there are no more nodes than shards."""
+    text = F.lit(json.dumps(rows))
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>"))))
 
 
 def _spread(rows: DataFrame, dims: list[str]) -> dict[int, dict]:
@@ -50,35 +57,40 @@ def _spread(rows: DataFrame, dims: list[str]) -> dict[int, dict]:
 
 
 def _position(dims: list[str]) -> Column:
-    """A row's 33-bit position along its node's chosen dimension."""
+    """A row's position along its node's chosen dimension."""
     value = F.coalesce(*[F.when(F.col("dim") == k, F.col(d)) for k, d in enumerate(dims)])
     part = (value - F.col("lo")) * F.col("scale")
     top = F.lit((1 << RANGE_BITS) - 1)
     return F.least(F.floor(part), top).cast("long") * (1 << TIE_BITS) + F.col("tie")
 
 
-def _split_points(rows: DataFrame, todo: dict[int, dict], dims: list[str]) -> list[tuple]:
+def _split_points(rows: DataFrame, todo: dict[int, dict], dims: list[str]) -> list[dict]:
     """For each node the last position that goes left."""
     spark, bits = rows.sparkSession, RANGE_BITS + TIE_BITS
-    state = {n: {"prefix": 0, "before": 0} for n in todo}
-    for left in range(bits - ROUND_BITS, -1, -ROUND_BITS):
+    state = {n: {"prefix": 0, "before": 0, "left": bits, "rows": 2} for n in todo}
+    for left in range(bits - ROUND_BITS, -ROUND_BITS, -ROUND_BITS):
+        left = max(left, 0)
+        wide = min(s["left"] for s in state.values() if s["rows"] > 1)
         table = _small(
             spark,
-            [(n, t["dim"], t["lo"], t["scale"], state[n]["prefix"], float(t["target"] - state[n]["before"])) for n, t in todo.items()],
-            "node int, dim int, lo double, scale double, prefix long, target double",
+            [{"node": n, "dim": t["dim"], "lo": t["lo"], "scale": t["scale"], "prefix": state[n]["prefix"], "target": float(t["target"] - state[n]["before"])} for n, t in todo.items() if state[n]["rows"] > 1],
+            "node int, dim int, lo double, scale double, prefix bigint, target double",
         )
         placed = rows.join(table, "node").withColumn("position", _position(dims))
-        part = placed.where(F.shiftright("position", left + ROUND_BITS) == F.col("prefix"))
-        sums = part.groupBy("node", "target", F.shiftright("position", left).alias("bucket")).agg(F.sum("size").alias("bytes"))
+        part = placed.where(F.shiftright("position", wide) == F.col("prefix"))
+        sums = part.groupBy("node", "target", F.shiftright("position", left).alias("bucket")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         running = sums.withColumn("upto", F.sum("bytes").over(Window.partitionBy("node").orderBy("bucket")))
-        chosen = running.where(F.col("upto") >= F.col("target")).groupBy("node").agg(F.min(F.struct("bucket", "upto", "bytes")).alias("at"))
+        chosen = running.where(F.col("upto") >= F.col("target")).groupBy("node").agg(F.min(F.struct("bucket", "upto", "bytes", "n")).alias("at"))
         for r in chosen.collect():
-            s, before = state[r["node"]], state[r["node"]]["before"]
-            s |= {"prefix": r["at"]["bucket"], "before": before + r["at"]["upto"] - r["at"]["bytes"], "upto": before + r["at"]["upto"]}
+            before = state[r["node"]]["before"]
+            state[r["node"]] = {"prefix": r["at"]["bucket"], "before": before + r["at"]["upto"] - r["at"]["bytes"], "upto": before + r["at"]["upto"], "left": left, "rows": r["at"]["n"]}
+        if all(s["rows"] <= 1 for s in state.values()):
+            break
     points = []
     for n, s in state.items():
         nearer_with = abs(s["upto"] - todo[n]["target"]) <= abs(s["before"] - todo[n]["target"])
-        points.append((n, todo[n]["dim"], todo[n]["lo"], todo[n]["scale"], s["prefix"] - (0 if nearer_with else 1), n + todo[n]["left"]))
+        last = (s["prefix"] + nearer_with << s["left"]) - 1
+        points.append({"node": n, "dim": todo[n]["dim"], "lo": todo[n]["lo"], "scale": todo[n]["scale"], "last": last, "right": n + todo[n]["left"]})
     return points
 
 
@@ -98,7 +110,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     spread = _spread(rows, dims)
     whole = spread.get(0, {"bytes": 0} | {f"{a}_{d}": 0.0 for a in ("lo", "hi") for d in dims})
     n_shards = n_shards or max(1, math.ceil(whole["bytes"] / target_bytes))
-    leaves = {0: n_shards}  # a node is named by its first leaf
+    leaves, level = {0: n_shards}, 0  # a node is named by its first leaf
     while True:
         todo = {}
         for node, n in leaves.items():
@@ -110,9 +122,12 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
                 todo[node] = {"dim": k, "lo": at[f"lo_{dims[k]}"], "scale": (1 << RANGE_BITS) / across if across else 0.0, "left": n // 2, "target": at["bytes"] * (n // 2) / n}
         if not todo:
             break
-        points = _small(rows.sparkSession, _split_points(rows, todo, dims), "node int, dim int, lo double, scale double, last long, right int")
+        points = _small(rows.sparkSession, _split_points(rows, todo, dims), "node int, dim int, lo double, scale double, last bigint, right int")
         placed = rows.join(points, "node", "left")
-        rows = keep(placed.withColumn("node", F.when(_position(dims) > F.col("last"), F.col("right")).otherwise(F.col("node"))).select(rows.columns), "kd-rows")
+        rows = placed.withColumn("node", F.when(_position(dims) > F.col("last"), F.col("right")).otherwise(F.col("node"))).select(rows.columns)
+        level += 1
+        if level % REWRITE_LEVELS == 0:
+            rows = keep(rows, "kd-rows")
         for node in todo:
             leaves |= {node + leaves[node] // 2: leaves[node] - leaves[node] // 2, node: leaves[node] // 2}
         spread = _spread(rows, dims) if max(leaves.values()) > 1 else {}
@@ -131,5 +146,5 @@ def _with_slots(rows: DataFrame) -> DataFrame:
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
-    shards = kd_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_shards=40)
-    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return settled(spark, "op1", lambda: kd_shards(docs, n_shards=40).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}))
