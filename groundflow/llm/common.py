@@ -56,6 +56,18 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for df in tables for file in df.inputFiles()}:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    fs, local = filesystem(path)
+    if fs.get_file_info(local).type == pafs.FileType.Directory:
+        fs.delete_dir(local)
+
+
 @contextmanager
 def scratch():
     """Deletes at its end what was kept since its start."""
@@ -64,8 +76,7 @@ def scratch():
         yield
     finally:
         for path in _open.paths.pop():
-            fs, local = filesystem(path)
-            fs.delete_dir(local) if fs.get_file_info(local).type == pafs.FileType.Directory else None
+            _delete(path)
 
 
 def settled(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:

@@ -13,9 +13,11 @@ hold a single n-gram and so meet by chance. Empty subsets say nothing and are le
 one of the two sets has more telling segments than H (H/2) can spoil. A set that has not also emits its untelling
 signatures; if both have not, these meet. So no pair is lost.
 
-Signatures travel in packed arrays, one row for each task and bucket. Where a signature is shared, its smallest
-set, the centre, is compared with the others (a star, never all pairs) and verified pairs are contracted to
-components. Only where the sets around a centre still span several components are they compared with each other,
+Signatures travel in packed arrays, one row for each task and bucket; the number of buckets follows the text's bytes, so
+that a bucket's size does not grow. Where a signature is shared, its smallest set, the centre, is compared with the others (a
+star, never all pairs) and verified pairs are contracted to components. A signature that very many sets of one task share
+is made a star there, and only its centre travels on; whatever that centre meets later then is a centre for the star's
+sets too, so that a group of near copies, however large, reaches its bucket as a few entries a task. Only where the sets around a centre still span several components are they compared with each other,
 in blocks: counts of hashed n-grams give a lower bound of the difference that refutes most pairs, the rest is verified
 on the whole sets, once a pair. Every pair that
 shares a signature is thus linked, in one component already, or refuted.
@@ -38,11 +40,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, batches, keep
+from .common import LOWER_BYTES, batches, keep, settled
 from .components import components
 
 #: Signatures held by a task before they are handed over.
 FLUSH = 3_000_000
+#: Bytes of text whose signatures make up a bucket.
+BUCKET_BYTES = 64 << 20
+#: A signature that so many sets of one hand-over share is made a star before it travels.
+HOT = 256
 #: Sets around a centre that are compared with each other at once; more are cut into blocks.
 BLOCK = 512
 #: Documents that take part in a pair are looked up by broadcast up to this number, by a shuffle beyond.
@@ -186,8 +192,33 @@ SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, cells binary, bucket i
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("cells", pa.binary()), ("bucket", pa.int32()), ("prints", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
 
 
-def _packed(prints: np.ndarray, of: np.ndarray, keys: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: its signatures' lower halves, and which sets they are from."""
+def _local_stars(prints: np.ndarray, of: np.ndarray, keys: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Signatures without those of hot ones' sets but their centres, and the stars of these: a centre's key, then the others'."""
+    order = np.argsort(prints, kind="stable")
+    ordered = prints[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    sizes = np.diff(np.append(starts, len(order)))
+    many = np.flatnonzero(sizes >= hot)
+    if not len(many):
+        return prints, of, []
+    gone, pairs = np.zeros(len(prints), bool), []
+    for at, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
+        rows = order[at : at + size]
+        names = keys[of[rows]]
+        centre = int(np.argmin(names))
+        gone[rows] = True
+        gone[rows[centre]] = False
+        others = np.unique(names[names != names[centre]])
+        pairs.append(np.stack((np.full(len(others), names[centre]), others), axis=1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    cuts = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0]))
+    stars = [np.append(part[:1, 0], part[k : k + 50_000, 1]).astype("<i8").tobytes() for part in np.split(found, cuts[1:]) for k in range(0, len(part), 50_000)]
+    return prints[~gone], of[~gone], stars
+
+
+def _packed(prints: np.ndarray, of: np.ndarray, keys: np.ndarray, n_buckets: int, hot: int) -> pa.RecordBatch:
+    """A row for each bucket: its signatures' lower halves, and which sets they are from; and rows without bucket: stars."""
+    prints, of, stars = _local_stars(prints, of, keys, hot)
     bucket = ((prints >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket * (len(keys) + 1) + of, kind="stable")
     bucket, of, low = bucket[order], of[order], (prints[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -198,12 +229,16 @@ def _packed(prints: np.ndarray, of: np.ndarray, keys: np.ndarray, n_buckets: int
             sets, counts = np.unique(of[x:y], return_counts=True)
             for c, v in (("bucket", b), ("prints", low[x:y].tobytes()), ("sets", keys[sets].astype("<i8").tobytes()), ("counts", counts.astype("<u4").tobytes())):
                 rows[c].append(v)
+    for star in stars:
+        for c, v in (("bucket", None), ("prints", None), ("sets", star), ("counts", None)):
+            rows[c].append(v)
     n = len(rows["bucket"])
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name] if f.name in rows else [None] * n, f.type) for f in _SIGNED], schema=_SIGNED)
 
 
 def sign(docs: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """Two kinds of rows: a document with its set's size, key and counts of hashed n-grams; and packed signatures (bucket not null)."""
+    """Rows: a document with its set's size, key and counts of hashed n-grams; packed signatures (bucket not null); and stars
+    of signatures that were hot in a task (sets alone)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(num, den), set()
@@ -234,18 +269,23 @@ def sign(docs: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFra
                     if waiting > 200_000:
                         turn()
                 if ready > FLUSH:
-                    yield _packed(np.concatenate(prints), np.concatenate(of), np.array(keys), n_buckets)
+                    yield _packed(np.concatenate(prints), np.concatenate(of), np.array(keys), n_buckets, HOT)
                     prints, of, keys, ready = [], [], keys[len(keys) - len(held) :], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows] if k < 5 else [None] * len(rows), f.type) for k, f in enumerate(_SIGNED)], schema=_SIGNED)
         turn()
         if ready:
-            yield _packed(np.concatenate(prints), np.concatenate(of), np.array(keys), n_buckets)
+            yield _packed(np.concatenate(prints), np.concatenate(of), np.array(keys), n_buckets, HOT)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-MET = "doc_id long, n_shingles long, k1 long, k2 long, cells binary, a long, b long"
-_MET = pa.schema([*list(_SIGNED)[:5], ("a", pa.int64()), ("b", pa.int64())])
+MET = "doc_id long, n_shingles long, k1 long, k2 long, cells binary, a long, b long, early boolean"
+_MET = pa.schema([*list(_SIGNED)[:5], ("a", pa.int64()), ("b", pa.int64()), ("early", pa.bool_())])
+
+
+def _stars(a: np.ndarray, b: np.ndarray, early: bool) -> pa.RecordBatch:
+    nothing = [pa.nulls(len(a), f.type) for f in list(_MET)[:5]]
+    return pa.RecordBatch.from_arrays([*nothing, pa.array(a), pa.array(b), pa.array(np.full(len(a), early))], schema=_MET)
 
 
 def _of_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -266,21 +306,24 @@ def _of_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(starts, len(run)))
     least = np.repeat(node[starts], sizes)
     pairs = np.unique(least[~first] * len(names) + node[~first])
-    nothing = [pa.nulls(len(pairs), f.type) for f in list(_MET)[:5]]
-    yield pa.RecordBatch.from_arrays([*nothing, pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)])], schema=_MET)
+    yield _stars(names[pairs // len(names)], names[pairs % len(names)], False)
 
 
 def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
-    """The documents as they are; and for sets that share a signature the smallest one (a) with each other (b).
-    Signatures are shuffled once and not stored."""
+    """The documents as they are; and for sets that share a signature the smallest one (a) with each other (b); early: made
+    in a task, before all that share the signature had met. Signatures are shuffled once and not stored."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts = None, []
         for batch in found:
-            docs = batch.filter(pa.compute.is_null(batch.column("bucket")))
+            loose = batch.filter(pa.compute.is_null(batch.column("bucket")))
+            docs = loose.filter(pa.compute.is_null(loose.column("sets")))
             if docs.num_rows:
-                none = pa.nulls(docs.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(docs.column(f.name) for f in list(_MET)[:5]), none, none], schema=_MET)
+                none = [pa.nulls(docs.num_rows, f.type) for f in list(_MET)[5:]]
+                yield pa.RecordBatch.from_arrays([*(docs.column(f.name) for f in list(_MET)[:5]), *none], schema=_MET)
+            for star in loose.column("sets").drop_null().to_pylist():
+                names = np.frombuffer(star, "<i8")
+                yield _stars(np.full(len(names) - 1, names[0]), names[1:], True)
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "prints", "sets", "counts")), strict=True):
                 if row[0] is None:
                     continue
@@ -292,7 +335,7 @@ def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
         if parts:
             yield from _of_bucket(parts)
 
-    to = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int"))
+    to = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id", "sets"), F.lit(n_buckets)).cast("int"))
     return signed.withColumn("to", to).repartition(n_buckets, "to").sortWithinPartitions("bucket").mapInArrow(run, MET)
 
 
@@ -456,7 +499,8 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    n_buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     met = keep(meet(sign(docs, n, num, den, n_buckets), n_buckets), "met")
     every = met.where("a is null").select("doc_id", "n_shingles", "k1", "k2", "cells")
     joined = every.where("doc_id is not null and n_shingles > 0")
@@ -464,7 +508,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
     firsts = joined.join(equal.withColumnRenamed("doc", "doc_id"), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "cells")
     firsts = keep(firsts, "set-cells")
     name = equal.select("k1", "doc")
-    stars = met.where("b is not null").select("a", "b").distinct()
+    stars = met.where("not early").select("a", "b").distinct()
+    early = met.where("early").select("a", "b").distinct()
+    # the sets of an early star are around its centre, and around whatever that centre is around
+    around = early.withColumnRenamed("a", "via").join(stars.withColumnRenamed("b", "via"), "via").select("a", "b")
+    stars = stars.unionByName(early).unionByName(around).distinct()
     stars = stars.join(name.withColumnRenamed("k1", "a").withColumnRenamed("doc", "centre"), "a").join(name.withColumnRenamed("k1", "b"), "b")
     stars = keep(stars.where("centre <> doc").select("centre", "doc").distinct(), "stars")
     pairs = stars.select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
@@ -492,4 +540,4 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: five-word shingles, similarity of at least 0.75."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 5, 3, 4)
+    return settled(spark, "op7", lambda: jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 5, 3, 4))

@@ -416,6 +416,28 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_join_in_small_parts(spark, docs, rows, monkeypatch):
+    """Hand-overs, hot signatures, blocks around centres and look-ups by shuffle, at limits that the fixture crosses."""
+    for name, value in (("FLUSH", 1500), ("HOT", 2), ("BLOCK", 4), ("BROADCAST_DOCS", 0), ("BUCKET_BYTES", 20_000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    # many variants of a text that are alike in chains only, and long unlike texts that share one passage
+    draw = random.Random(12)
+    words = BASE.split()
+    more = [(1000 + k, " ".join(words[k : k + 60])) for k in range(40)]
+    more += [(2000 + k, " ".join([*words[:40], *draw.choices(WORDS, k=8 + k % 5)])) for k in range(60)]
+    more += [(3000 + k, " ".join(draw.choices(WORDS, k=30))) for k in range(20)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").repartition(2))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(both).collect()}
+    assert got == brute_components([*rows, *more])
+
+
+def test_jaccard_join_of_odd_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "A  b c d\te f"), (None, "a b c d e f"), (3, None), (3, " "), (4, "q r s t u v"), (5, "x"), (6, "X ")]
+    docs = spark.createDataFrame([(*r, 1, b"", 2) for r in rows], "doc_id long, text string, bucket int, cells binary, component_id int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (3, 0, 3), (3, 0, 3), (4, 2, 1), (5, 1, 5), (6, 1, 5)], key=str)
+
+
 def test_signatures_lose_no_pair():
     gen = np.random.default_rng(3)
     for n in [*range(3, 40), 60, 97, 200, 411, 900]:
