@@ -308,6 +308,30 @@ def test_multiset_hash(spark, docs, rows, empty):
     assert multiset_hash.edit_likeness(empty).count() == 0
 
 
+def test_multiset_hash_of_odd_rows(spark):
+    big = 1 << 53
+    rows = [(None, "n one"), (None, None), (big, "x" * 40), (big + 1, "y" * 40), (big + 2, ""), (big + 2, "z")] + [(k, f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, part int, ends int").repartition(4)
+    got = multiset_hash.edit_likeness(docs).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    want = []
+    for k, (i, text) in enumerate(ordered):
+        text, after = text or "", ordered[(k + 1) % len(rows)][1] or ""
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+    assert all(multiset_hash.encode(multiset_hash.decode(r.fingerprint)) == r.fingerprint for r in got)
+
+
+def test_multiset_hash_tells_halves_from_strangers(spark):
+    """Half a text is kept in the edited one, next to nothing in the next one; one window repeated very often changes neither."""
+    draw = random.Random(4)
+    prose = lambda: " ".join(draw.choices(WORDS, k=draw.randint(150, 600))) + (" ha" * 3000 if draw.random() < 0.3 else "")
+    docs = spark.createDataFrame([(k, prose()) for k in range(200)], "doc_id long, text string")
+    got = [r for r in multiset_hash.edit_likeness(docs).collect()]
+    plain = [r for r in got if r.n_chars < 6000]
+    assert np.mean([r.near_edited > 0.25 for r in plain]) > 0.97 and np.quantile([r.near_next for r in got], 0.9) < 0.35
+
+
 def test_multiset_hash_of_short_lines(spark):
     draw = random.Random(9)
     lines = lambda: ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 11))) for _ in range(400)]
