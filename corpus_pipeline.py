@@ -12,9 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundflow.llm.common import keep, table
+from groundflow.llm.common import drop, scratch, settled, table
 from groundflow.llm.jaccard_join import jaccard_components
-from groundflow.llm.language_id import fit, predict
+from groundflow.llm.language_id import fit, is_training, predict
 from groundflow.llm.line_dedup import dedup_lines
 from groundflow.llm.packing import pack
 from groundflow.llm.positional_index import decontaminate
@@ -23,8 +23,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is recognised: not `und` and not ambiguous."""
-    found = predict(docs.select(COLUMNS), fit(docs))
+    """Keep the documents whose language is recognised: not `und` and not ambiguous. Learned from the training rows alone."""
+    with scratch():
+        model = fit(docs.where(is_training()))
+    found = predict(docs.select(COLUMNS), model)
     return found.where("lang_pred <> 'und' and not ambiguous").select(COLUMNS)
 
 
@@ -66,8 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline's rows over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents").select(COLUMNS)
+    """The pipeline's rows over the documents of sf_dir. A stage's tables go when its result is written, and that when the
+    next one's is."""
+    docs, before = table(spark, sf_dir, "documents").select(COLUMNS), None
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        found = settled(spark, name.replace(" ", "-"), lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        docs = before = found
     return STAGES[-1][1](spark, docs, sf_dir)
