@@ -44,7 +44,7 @@ from .common import LOWER_BYTES, batches, keep, settled
 from .components import components
 
 #: Signatures held by a task before they are handed over.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bytes of text whose signatures make up a bucket.
 BUCKET_BYTES = 64 << 20
 #: A signature that so many sets of one hand-over share is made a star before it travels.
@@ -194,13 +194,13 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1",
 
 def _local_stars(prints: np.ndarray, of: np.ndarray, keys: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Signatures without those of hot ones' sets but their centres, and the stars of these: a centre's key, then the others'."""
+    ordered = np.sort(prints)
+    if len(ordered) < hot or not (ordered[hot - 1 :] == ordered[: len(ordered) - hot + 1]).any():
+        return prints, of, []
     order = np.argsort(prints, kind="stable")
-    ordered = prints[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     sizes = np.diff(np.append(starts, len(order)))
     many = np.flatnonzero(sizes >= hot)
-    if not len(many):
-        return prints, of, []
     gone, pairs = np.zeros(len(prints), bool), []
     for at, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
         rows = order[at : at + size]
