@@ -31,7 +31,7 @@ from .common import keep, settled, words_of
 
 WINDOW = 10
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Free positions between documents; more than any item's window and any proximity asked for.
 GAP = 1 << 10
 #: What a document adds to its block's size besides its text, so that a block's documents are bounded too.
