@@ -43,7 +43,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.entries = CACHE_ENTRIES * 3 // 2 if keeps_space else CACHE_ENTRIES  # case tells more chunks apart
+        self.entries = CACHE_ENTRIES * 2 if keeps_space else CACHE_ENTRIES  # case tells more chunks apart
         vocabulary = self.tokenizer.get_vocab()
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start (end) a word
         for token, k in vocabulary.items():
