@@ -135,17 +135,21 @@ def in_bounds(points: Points, x: Column, y: Column) -> Column:
 
 
 def in_polygon(points: Points, x: Column, y: Column) -> Column:
-    """Ray casting with half-open edges (lower end out, upper end in), behind a bounding-box test that it implies."""
+    """Ray casting with half-open edges (lower end out, upper end in), behind a bounding-box test that it implies.
 
-    def crosses(a: Sequence[float], b: Sequence[float]) -> Column:
+    The edges are tested in a lambda, so that the point is computed once: a filter that is pushed down would repeat the
+    point's expression for every edge, in code too long to be compiled."""
+
+    def crosses(x: Column, y: Column, a: Sequence[float], b: Sequence[float]) -> Column:
         (ax, ay), (bx, by) = map(float, a), map(float, b)
         if ay == by:
             return F.lit(False)
         spans = (y > min(ay, by)) & (y <= max(ay, by)) & (x <= max(ax, bx))
         return spans if ax == bx else spans & (x <= (y - F.lit(ay)) * F.lit(bx - ax) / F.lit(by - ay) + F.lit(ax))
 
-    edges = [crosses(a, b) for a, b in zip(points, [*points[1:], points[0]], strict=True)]
-    return in_bounds(points, x, y) & reduce(lambda a, b: a != b, edges)
+    sides = list(zip(points, [*points[1:], points[0]], strict=True))
+    odd = lambda p: reduce(lambda a, b: a != b, [crosses(p["x"], p["y"], a, b) for a, b in sides])
+    return in_bounds(points, x, y) & F.exists(F.array(F.struct(x.alias("x"), y.alias("y"))), odd)
 
 
 def in_polygon_of(points: Column, x: Column, y: Column) -> Column:
