@@ -59,6 +59,8 @@ CHANCE_COST = 8.0
 _B, _C1, _C2 = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _B_INVERSE = pow(_B, -1, 1 << 64)
 _S33 = np.uint64(33)
+_SHIFTS = np.array([0, 2, 4, 6], np.uint8)
+_UNPACKED = (np.arange(256, dtype=np.uint8)[:, None] >> _SHIFTS & np.uint8(3)).view("u4").ravel()  # four counts as one number
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -339,16 +341,41 @@ def meet(signed: DataFrame, n_buckets: int) -> DataFrame:
     return signed.withColumn("to", to).repartition(n_buckets, "to").sortWithinPartitions("bucket").mapInArrow(run, MET)
 
 
+def cell_layout(size: int) -> tuple[int, bool]:
+    """Number of cells for a set of that size, as a power of two's exponent, and whether a cell's count takes two bits (else a byte)."""
+    bits = min(16, max(3, round(math.log2(size + 1)) + 1))
+    return bits, 4 * size <= 3 << bits
+
+
 def cells_of(found: np.ndarray) -> np.ndarray:
-    """Counts (up to 255) of a set's n-grams by hash, in about as many cells (a power of two; twice as many for large sets). However they are cut off
-    or added up, the counts of two sets differ by no more than the sets do."""
-    bits = min(16, max(3, round(math.log2(len(found) + 1)) + (len(found) > 2000)))
-    return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+    """Counts of a set's n-grams by hash, cut off at 3 (255 in large sets), in about twice as many cells (a power of two,
+    65536 at most)."""
+    bits, narrow = cell_layout(len(found))
+    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    if not narrow:
+        return np.minimum(counts, 255).astype(np.uint8)
+    return (np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4) << _SHIFTS).sum(axis=1, dtype=np.uint8)
+
+
+def counts_in(cells: bytes, size: int) -> np.ndarray:
+    """The counts that cells_of packed for a set of that size."""
+    packed = np.frombuffer(cells, np.uint8)
+    return _UNPACKED[packed].view(np.uint8) if cell_layout(size)[1] else packed
 
 
 def folded(cells: np.ndarray, n: int) -> np.ndarray:
     """Rows of cells added up to n cells each."""
-    return cells.reshape(*cells.shape[:-1], n, -1).sum(axis=-1, dtype=np.int16 if n >= 64 else np.int32)
+    kind = np.int16 if n >= 64 else np.int32
+    return cells.astype(kind) if cells.shape[-1] == n else cells.reshape(*cells.shape[:-1], n, -1).sum(axis=-1, dtype=kind)
+
+
+def aligned(cells: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The counts of some sets, a row each, over the same cells and cut off alike, so that two rows differ by no more than the
+    sets do: over as many cells as the smallest set has, and at 3 unless all are wide."""
+    layouts = [cell_layout(s) for s in sizes]
+    n = 1 << min(bits for bits, _ in layouts)
+    found = np.stack([folded(counts_in(c, s), n) for c, s in zip(cells, sizes, strict=True)])
+    return np.minimum(found, 3) if any(narrow for _, narrow in layouts) else found
 
 
 SET = "doc long, members binary"
@@ -389,12 +416,10 @@ def not_refuted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
             stay = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                n = min(len(x), len(y))
-                stay[k] = np.abs(folded(x, n) - folded(y, n)).sum() * (den + num) <= (den - num) * size[k]
+            for k, (x, y, r, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cells_a", "cells_b", "size_a", "size_b")), strict=True)):
+                x, y = aligned([x, y], [r, s])
+                stay[k] = np.abs(x - y).sum() * (den + num) <= (den - num) * (r + s)
             yield batch.select(["a", "b"]).filter(pa.array(stay))
 
     close = _both(pairs, sets, "size", "cells").where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)
@@ -430,23 +455,26 @@ def across(members: DataFrame, num: int, den: int) -> DataFrame:
     def of_group(centre: int, x: int, y: int, rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[2])
         size, doc, part, block = (np.array([r[k] for r in rows]) for k in (2, 0, 1, 4))
-        n = min(len(r[3]) for r in rows)
-        fine = np.stack([folded(np.frombuffer(r[3], np.uint8), n) for r in rows])
-        coarse = folded(fine, max(8, n // 4))
+        bits = np.array([cell_layout(s)[0] for s in size.tolist()])
         last = np.searchsorted(size, size * den // num, side="right")
         before = [frozenset(c for c in r[5] if c < centre) for r in rows]
         left, right = [], []
-        for k in range(len(rows)):
-            other = np.arange(k + 1, last[k])
-            other = other[(part[other] != part[k]) & ((x == y) | (block[other] != block[k]))]
-            for cells in (coarse, fine):
-                if len(other):
-                    apart = np.abs(cells[other] - cells[k]).sum(axis=1, dtype=np.int64)
-                    other = other[apart * (den + num) <= (den - num) * (size[other] + size[k])]
-            for o in other.tolist():
-                if before[k].isdisjoint(before[o]):
-                    left.append(doc[k])
-                    right.append(doc[o])
+        for start in np.unique(bits, return_index=True)[1].tolist():  # sets with as many cells, and all that can be partners
+            end = start + int((bits == bits[start]).sum())
+            near = rows[start : int(last[end - 1])]
+            fine = aligned([r[3] for r in near], [r[2] for r in near])
+            coarse = folded(fine, max(8, fine.shape[1] // 4))
+            for k in range(start, end):
+                other = np.arange(k + 1, last[k])
+                other = other[(part[other] != part[k]) & ((x == y) | (block[other] != block[k]))]
+                for cells in (coarse, fine):
+                    if len(other):
+                        apart = np.abs(cells[other - start] - cells[k - start]).sum(axis=1, dtype=np.int64)
+                        other = other[apart * (den + num) <= (den - num) * (size[other] + size[k])]
+                for o in other.tolist():
+                    if before[k].isdisjoint(before[o]):
+                        left.append(doc[k])
+                        right.append(doc[o])
         a, b = np.array(left, np.int64), np.array(right, np.int64)
         place = [pa.array(np.full(len(a), v), t) for v, t in ((centre, pa.int64()), (x, pa.int32()), (y, pa.int32()))]
         return pa.RecordBatch.from_arrays([*place, pa.array(a), pa.array(b)], names=["centre", "x", "y", "a", "b"])

@@ -462,6 +462,21 @@ def test_jaccard_join_of_odd_rows(spark):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (3, 0, 3), (3, 0, 3), (4, 2, 1), (5, 1, 5), (6, 1, 5)], key=str)
 
 
+def test_cell_counts_never_exceed_the_difference():
+    gen = np.random.default_rng(8)
+    for n in [*range(1, 140), 181, 182, 725, 1447, 1449, 2200, 49_000, 49_600, 55_000]:
+        a = np.unique(gen.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[n // 5 :], gen.integers(0, 1 << 64, n // 9, dtype=np.uint64))))
+        cells, sizes = [jaccard_join.cells_of(s).tobytes() for s in (a, b)], [len(a), len(b)]
+        bits, narrow = jaccard_join.cell_layout(len(a))
+        whole = np.bincount((a >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        assert (jaccard_join.counts_in(cells[0], len(a)) == np.minimum(whole, 3 if narrow else 255)).all()
+        x, y = jaccard_join.aligned(cells, sizes)
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+        x, y = (jaccard_join.folded(v, max(8, len(v) // 4)) for v in (x, y))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_signatures_lose_no_pair():
     gen = np.random.default_rng(3)
     for n in [*range(3, 40), 60, 97, 200, 411, 900]:
