@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .centroid_clustering import OP12_SQL, op12_centroid_clustering
+from .importance import OP13_SQL, op13_importance_resampling
 from .jaccard_join import op7_jaccard_join
 from .language_id import op3_language_id
 from .license_scan import op4_license_scan
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_records": op9_token_records,
         "op10_line_dedup": op10_line_dedup,
         "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL, "op12_centroid_clustering": OP12_SQL}
+    return {"op10_line_dedup": OP10_SQL, "op12_centroid_clustering": OP12_SQL, "op13_importance_resampling": OP13_SQL}
