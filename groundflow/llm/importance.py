@@ -47,13 +47,19 @@ SELECT r, i, w FROM (SELECT r, unnest(found) AS w, generate_subscripts(found, 1)
   (SELECT r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS found FROM slice) s) t"""
 
 
-def grams_sql(most: int) -> str:
-    """Every run of 1 to `most` consecutive words, with its document's row."""
-    parts, run = ["SELECT r, w AS feature FROM words"], "w"
-    for n in range(1, most):
-        run += f" || ' ' || lead(w, {n}) OVER (PARTITION BY r ORDER BY i)"
-        parts.append(f"SELECT r, feature FROM (SELECT r, {run} AS feature FROM words) g{n} WHERE feature IS NOT NULL")
-    return " UNION ALL ".join(parts)
+def slice_sql(most: int, buckets: int) -> list[str]:
+    """Every run of 1 to `most` consecutive words as the words' numbers in the slice (0: none), and each distinct run's bucket."""
+    ks = [f"k{n}" for n in range(most)]
+    after = ", ".join(["r", "k0", *(f"lead(k0, {n}, 0) OVER (PARTITION BY r ORDER BY i) AS k{n}" for n in range(1, most))])
+    runs = " UNION ALL ".join(f"SELECT r, {', '.join(k if j <= n else f'0 AS {k}' for j, k in enumerate(ks))} FROM after WHERE k{n} > 0" for n in range(most))
+    text = f"concat_ws(' ', {', '.join(f'v{n}.w' for n in range(most))})"
+    spelled = " ".join(f"LEFT JOIN vocabulary v{n} ON v{n}.k = d.k{n}" for n in range(most))
+    return [
+        "CREATE TEMP TABLE vocabulary AS SELECT w, row_number() OVER ()::INT AS k FROM (SELECT DISTINCT w FROM words) d",
+        f"CREATE TEMP TABLE grams AS WITH numbered AS (SELECT r, i, k AS k0 FROM words JOIN vocabulary USING (w)), after AS (SELECT {after} FROM numbered) {runs}",
+        f"CREATE TEMP TABLE hashed AS SELECT {', '.join(f'd.{k}' for k in ks)}, (crc32({text}) % {buckets})::INT AS bucket FROM (SELECT DISTINCT {', '.join(ks)} FROM grams) d {spelled}",
+        f"CREATE TEMP TABLE counts AS SELECT r, bucket, count(*) AS n FROM grams JOIN hashed USING ({', '.join(ks)}) GROUP BY r, bucket",
+    ]
 
 
 class Counter:
@@ -68,8 +74,11 @@ class Counter:
 
     @staticmethod
     def crc32(features: pa.ChunkedArray) -> pa.Array:
-        found = features.combine_chunks() if isinstance(features, pa.ChunkedArray) else features
-        return pa.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in found.to_pylist()], pa.int64())
+        """Of each feature's UTF-8 bytes, which are read where they lie."""
+        found = (features.combine_chunks() if isinstance(features, pa.ChunkedArray) else features).cast(pa.large_binary())
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.int64())
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """For each text its number of words, and its buckets with their counts."""
@@ -80,11 +89,10 @@ class Counter:
         sized = db.execute("SELECT r, count(*) AS n FROM words GROUP BY r").fetchnumpy()
         n_words = np.zeros(len(texts), np.int64)
         n_words[sized["r"]] = sized["n"]
-        # a feature is hashed once a slice
-        db.execute(f"CREATE TEMP TABLE grams AS SELECT r, feature, count(*) AS n FROM ({grams_sql(self.most)}) f GROUP BY ALL")
-        db.execute(f"CREATE TEMP TABLE hashed AS SELECT feature, (crc32(feature) % {self.buckets})::INT AS bucket FROM (SELECT DISTINCT feature FROM grams) d")
-        found = db.execute("SELECT r, bucket, sum(n)::BIGINT AS n FROM grams JOIN hashed USING (feature) GROUP BY r, bucket ORDER BY r, bucket").fetchnumpy()
-        for name in ("words", "grams", "hashed"):
+        for sql in slice_sql(self.most, self.buckets):
+            db.execute(sql)
+        found = db.execute("SELECT r, bucket, n FROM counts ORDER BY r, bucket").fetchnumpy()
+        for name in ("words", "vocabulary", "grams", "hashed", "counts"):
             db.execute(f"DROP TABLE {name}")
         ends = np.cumsum(np.bincount(found["r"], minlength=len(texts))) if len(texts) else np.zeros(0, int)
         return n_words, np.split(found["bucket"].astype(np.int32), ends[:-1]), np.split(found["n"].astype(np.int64), ends[:-1])
