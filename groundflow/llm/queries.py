@@ -10,6 +10,7 @@ from .centroid_clustering import OP12_SQL, op12_centroid_clustering
 from .importance import OP13_SQL, op13_importance_resampling
 from .jaccard_join import op7_jaccard_join
 from .language_id import op3_language_id
+from .lattice_scores import op11_lattice_scores
 from .license_scan import op4_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .multiset_hash import op5_multiset_hash
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_token_records": op9_token_records,
         "op10_line_dedup": op10_line_dedup,
+        "op11_lattice_scores": op11_lattice_scores,
         "op12_centroid_clustering": op12_centroid_clustering,
         "op13_importance_resampling": op13_importance_resampling,
     }
