@@ -9,13 +9,18 @@ confidence is low.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from groundflow.sources.kept import forget, kept
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -185,52 +190,180 @@ class Tracker:
         return t["id"][rows]
 
 
-def track(detections: DataFrame, streams: list[str] | None = None, params: Params = Params()) -> DataFrame:
-    """detections (streams, frame_idx, conf, x1, y1, x2, y2, ...) with track_id.
+    # A stream's blocks of time are followed side by side, so a tracker can be put down and taken up again.
+
+    def saved(self) -> bytes:
+        return pickle.dumps((self.frame, self.tracks))
+
+    @classmethod
+    def taken_up(cls, params: Params, state: bytes, first_id: int) -> Tracker:
+        """From a saved state; its confirmed tracks are numbered anew from first_id on."""
+        found = cls(params)
+        found.frame, found.tracks = pickle.loads(state)
+        confirmed = np.flatnonzero(found.tracks["id"] >= 0)
+        found.tracks["id"][confirmed] = first_id + np.arange(len(confirmed))
+        found.next_id = first_id + len(confirmed)
+        return found
+
+
+#: Two filters of one track agree if they differ by no more than this, relatively or absolutely.
+NEARLY = 1e-6
+FILTERS = ["mean", "cov", "mean_seen", "cov_seen"]
+
+
+def agree(begun: bytes | None, ended: bytes | None, first_frame: int, params: Params) -> list[tuple[int, int]] | None:
+    """Whether a block began with the tracks that the one before it ended with: pairs of their numbers (new, old), else None.
+
+    Compared are tracks that can be found again at first_frame or later: what they saw last, exactly; whether they are confirmed, and
+    if not, for how many frames they were seen; and the filters' states."""
+    sides = []
+    for state in (begun, ended):
+        t = pickle.loads(state)[1] if state is not None else Tracker(params).tracks
+        t = {k: v[first_frame - t["at"] <= params.lost_frames + 1] for k, v in t.items()}
+        order = sorted(range(len(t["at"])), key=lambda k: (t["at"][k], t["seen"][k].ravel().tolist(), t["mean"][k].round(3).tolist()))
+        sides.append({k: v[order] for k, v in t.items()})
+    a, b = sides
+    if len(a["at"]) != len(b["at"]) or not (np.array_equal(a["at"], b["at"]) and np.array_equal(a["seen"], b["seen"]) and np.array_equal(a["id"] >= 0, b["id"] >= 0)):
+        return None
+    new = a["id"] < 0
+    if not np.array_equal(a["row"][new], b["row"][new]) or not all(np.allclose(a[k], b[k], rtol=NEARLY, atol=NEARLY) for k in FILTERS):
+        return None
+    return list(zip(a["id"][~new].tolist(), b["id"][~new].tolist(), strict=True))
 
-    A stream is cut where no track can outlive a gap; its sections are followed side by side, each in order of time as
-    its rows pass by, so that a task holds the live tracks alone. An id is the section's number, then the track's."""
-    by = streams or ["stream_id"]
-    detections = detections.select([c for c in detections.columns if c not in ("track_id", "section", "sure")])
-    sure = F.coalesce(F.col("conf") >= params.high_conf, F.lit(False))
-    in_time = Window.partitionBy(*by).orderBy("frame_idx")
-    gap = F.col("frame_idx") - F.lag("frame_idx").over(in_time) > params.lost_frames + 1
-    frames = detections.where(sure).select(*by, "frame_idx").distinct()
-    frames = frames.withColumn("cut", F.coalesce(gap.cast("long"), F.lit(0))).withColumn("section", F.sum("cut").over(in_time)).drop("cut")
-    # frames without a sure box belong to no section; they are spread out, as nothing is followed in them
-    idle = -1 - F.pmod(F.xxhash64("frame_idx"), F.lit(64))
-    placed = detections.withColumn("sure", sure).join(frames, [*by, "frame_idx"], "left").withColumn("section", F.coalesce("section", idle))
-    placed = placed.select(*detections.columns, "section", "sure")
-    group = [*by, "section"]
+
+#: Working columns: block of time, what a row is, whether its box is sure, whether it only warms a block up, a tracker's state.
+ROW, BEGUN, ENDED = 0, 1, 2
+WORKING = ["_block", "_kind", "_sure", "_halo", "_state"]
+
+
+def _follow(placed: DataFrame, by: list[str], params: Params) -> DataFrame:
+    """Rows of blocks in order of time, with track_id, and each block's states where it begins and ends. A block starts from the
+    state in its first row (BEGUN), if it has one, else with its warming-up rows."""
+    group, schema = [*by, "_block"], StructType([StructField(f.name, f.dataType) for f in placed.schema])  # a state's row has nothing else
+    rest = [c for c in placed.columns if c not in (*group, "_kind", "_state", "track_id")]
 
     def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, tracker, rest = None, None, None
+        at, tracker, begun, rest_rows = None, None, False, None
+
+        def state(kind: int) -> pd.DataFrame:
+            row = dict(zip(group, at, strict=True)) | {"_kind": kind, "_state": tracker.saved(), "track_id": -1}
+            return pd.DataFrame([row | dict.fromkeys(rest)])[schema.names]
+
         for last, batch in _with_end(found):
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            rows = batch if rest_rows is None else pd.concat([rest_rows, batch], ignore_index=True)
             if not len(rows):
                 continue
+            kinds, sure, halo = rows["_kind"].to_numpy(), rows["_sure"].fillna(False).to_numpy(bool), rows["_halo"].fillna(False).to_numpy(bool)
             keys = rows[[*group, "frame_idx"]]
             starts = np.flatnonzero(np.append(True, (keys.values[1:] != keys.values[:-1]).any(axis=1)))
             done = len(rows) if last else int(starts[-1])  # a batch may end within a frame
             starts = starts[starts < done]
-            boxes, conf, ids = rows[BOX].to_numpy(float), rows["conf"].to_numpy(float), np.full(done, -1, np.int64)
-            sure_rows = rows["sure"].to_numpy(bool)
+            boxes, conf, ids = rows[BOX].to_numpy(float), rows["conf"].to_numpy(float), np.full(len(rows), -1, np.int64)
+            blocks, frames = rows[group], rows["frame_idx"]
             for a, b in zip(starts, np.append(starts[1:], done), strict=True):
-                b = a + int(sure_rows[a:b].sum())  # they come first
-                if a == b:
-                    continue
-                key = tuple(rows[c].iat[a] for c in group)
+                key = tuple(blocks.iloc[a])
                 if key != at:
-                    at, tracker = key, Tracker(params)
-                got = tracker.update(int(rows["frame_idx"].iat[a]), boxes[a:b], conf[a:b])
-                ids[a:b] = np.where(got < 0, -1, got + (int(key[-1]) << 32))
-            rest = rows.iloc[done:]
-            if done:
-                yield rows.iloc[:done].assign(track_id=ids).drop(columns=["section", "sure"])
-
-    schema = detections.schema.add("track_id", "long")
-    order = placed.repartition(*group).sortWithinPartitions(*group, "frame_idx", F.desc("sure"), F.desc("conf"), *BOX)
-    return order.mapInPandas(run, schema)
+                    if at is not None:
+                        if not begun:
+                            yield state(BEGUN)
+                        yield state(ENDED)
+                    at, begun = key, False
+                    first_id = (int(key[-1]) & 0x3FFFFFFF) << 32
+                    tracker = Tracker(params)
+                    tracker.next_id = first_id
+                    if kinds[a] == BEGUN:
+                        tracker = Tracker.taken_up(params, rows["_state"].iat[a], first_id)
+                        continue
+                if not begun and not halo[a]:
+                    begun = True
+                    yield state(BEGUN)
+                n = int(sure[a:b].sum())  # they come first
+                if n:
+                    ids[a : a + n] = tracker.update(int(frames.iat[a]), boxes[a : a + n], conf[a : a + n])
+            rest_rows = rows.iloc[done:]
+            own = np.flatnonzero(~halo[:done] & (kinds[:done] == ROW))
+            if len(own):
+                yield rows.iloc[own].assign(track_id=ids[own])[schema.names]
+        if at is not None:
+            if not begun:
+                yield state(BEGUN)
+            yield state(ENDED)
+
+    order = placed.repartition(*group).sortWithinPartitions(*group, F.desc("_kind"), "frame_idx", F.desc("_sure"), F.desc("conf"), *BOX)
+    return kept(order.mapInPandas(run, schema), "tracked", ["_kind"])
+
+
+def _edges(tables: list[DataFrame], by: list[str], length: int, params: Params) -> DataFrame:
+    """For every block whether it agrees with the one before: pairs of numbers, else that one's state at its end."""
+    state = lambda kind: F.max_by(F.when(F.col("_kind") == kind, F.col("_state")), F.when(F.col("_kind") == kind, F.col("_round")))
+    states = [t.where(F.col("_kind") != ROW).select(*by, "_block", "_kind", "_state", F.lit(k).alias("_round")) for k, t in enumerate(tables)]
+    now = reduce(DataFrame.unionByName, states).groupBy(*by, "_block").agg(state(BEGUN).alias("begun"), state(ENDED).alias("ended"), F.max("_round").alias("_round"))
+    before = now.select(*by, (F.col("_block") + 1).alias("_block"), F.col("ended").alias("before"))
+    met = now.select(*by, "_block", "_round", "begun").join(before, [*by, "_block"], "left")
+    schema = now.select(*by, "_block", "_round", F.lit(True).alias("ok"), F.col("ended").alias("before"), F.lit(None).cast("array<struct<new: bigint, old: bigint>>").alias("pairs")).schema
+
+    def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in found:
+            pairs = [agree(a, b, int(block) * length, params) for block, a, b in zip(rows["_block"], rows["begun"], rows["before"], strict=True)]
+            ok = [p is not None for p in pairs]
+            out = rows[[*by, "_block", "_round"]].assign(ok=ok)
+            out["before"] = [None if good else b for good, b in zip(ok, rows["before"], strict=True)]
+            out["pairs"] = [[{"new": x, "old": y} for x, y in p or []] for p in pairs]
+            yield out
+
+    return kept(met.mapInPandas(run, schema), "track-edges")
+
+
+def _whole(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Each number that goes on a track of an earlier block, with the track's first number: steps back are doubled until none is left."""
+    steps = kept(edges.select(*by, F.explode("pairs").alias("p")).select(*by, "p.new", "p.old"), "track-steps")
+    while True:
+        further = steps.select(*by, F.col("new").alias("old"), F.col("old").alias("older"))
+        longer = kept(steps.join(further, [*by, "old"], "left").select(*by, "new", F.coalesce("older", "old").alias("old"), F.col("older").isNotNull().alias("went")), "track-steps")
+        forget(steps)
+        steps = longer.drop("went")
+        if longer.where("went").isEmpty():
+            return steps
+
+
+def track(detections: DataFrame, streams: list[str] | None = None, params: Params = Params(), block_frames: int = 10_000, overlap: int = 300) -> DataFrame:
+    """detections (streams, frame_idx, conf, x1, y1, x2, y2, ...) with track_id, as one pass over each stream gives them up to the
+    numbers.
+
+    A stream is cut into blocks of time that are followed side by side; a task holds the live tracks alone. A block warms up on the
+    `overlap` frames before it. Where it then begins with the tracks that the block before ends with (see agree), its rows are those of
+    one pass, and the tracks' numbers are told apart or joined over the edge. Where it does not, it is followed
+    again from the state that the block before ended with, until all blocks agree: a track that the overlap is too short
+    for costs its block a second run, and never a wrong number. Numbers are those of the block in which a track was confirmed.
+
+    The result reads tables under spark.checkpoint.dir; kept.forget(result) deletes them."""
+    by = streams or ["stream_id"]
+    if not params.lost_frames + 1 < min(overlap, block_frames):
+        raise ValueError("blocks and their overlap are longer than a track can be lost")
+    detections = detections.select([c for c in detections.columns if c not in ("track_id", *WORKING)])
+    sure = F.coalesce(F.col("conf") >= params.high_conf, F.lit(False))
+    own, later = (F.floor((F.col("frame_idx") + F.lit(d)) / F.lit(block_frames)) for d in (0, overlap))
+    # only sure boxes warm a block up; the block before may lie further back than the one that a frame is in
+    placed = detections.withColumn("_sure", sure).withColumn("_block", F.explode(F.when(F.col("_sure"), F.sequence(own, later)).otherwise(F.array(own))))
+    placed = placed.withColumns({"_halo": F.col("_block") > own, "_kind": F.lit(ROW), "_state": F.lit(None).cast("binary"), "track_id": F.lit(-1).cast("long")})
+    tables = [_follow(placed, by, params)]
+    while True:
+        edges = _edges(tables, by, block_frames, params)
+        wrong = edges.where("not ok").select(*by, "_block", "before")
+        if wrong.isEmpty():
+            break
+        known = wrong.select(*by, "_block", F.lit(BEGUN).alias("_kind"), F.col("before").alias("_state")).where("_state is not null")
+        again = tables[0].where(F.col("_kind") == ROW).join(wrong.select(*by, "_block"), [*by, "_block"]).select(tables[0].columns)
+        tables.append(_follow(again.unionByName(known, allowMissingColumns=True), by, params))
+        forget(edges)
+    rows = [t.where(F.col("_kind") == ROW).select(*detections.columns, "_block", "track_id") for t in tables]
+    if len(rows) > 1:
+        last = edges.select(*by, "_block", "_round")
+        rows = [r.join(last.where(F.col("_round") == k), [*by, "_block"]).select(r.columns) for k, r in enumerate(rows)]
+    found = reduce(DataFrame.unionByName, rows).drop("_block")
+    first = _whole(edges, by).select(*by, F.col("new").alias("track_id"), F.col("old").alias("_first"))
+    joined = found.where("track_id >= 0").join(first, [*by, "track_id"], "left").withColumn("track_id", F.coalesce("_first", "track_id")).select(found.columns)
+    return joined.unionByName(found.where("track_id < 0"))
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:

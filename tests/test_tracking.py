@@ -73,6 +73,80 @@ def test_sections_equal_one_pass(spark):
     assert all((got[k] < 0) == (want[k] < 0) for k in got)
 
 
+def crowd(n_frames, seed=5, stream="a", agents=6, first=0):
+    """Walkers that come and go without end, cross, are missed now and then, and seen with noise; there is a box in every frame."""
+    rng, rows = np.random.default_rng(seed), []
+    for agent in range(agents):
+        f = int(rng.integers(0, 20))
+        while f < n_frames:
+            n, x, y = int(rng.integers(8, 400)), rng.uniform(100, 1800), rng.uniform(100, 900)
+            dx, dy = rng.uniform(-4, 4, 2)
+            for k in range(min(n, n_frames - f)):
+                if rng.random() > 0.1 and not 60 < k % 97 < 75:
+                    j = rng.normal(0, 1.5, 4)
+                    rows.append((stream, first + f + k, agent, float(rng.uniform(0.4, 1.0)), *map(float, (x + dx * k - 20 + j[0], y + dy * k - 60 + j[1], x + dx * k + 20 + j[2], y + dy * k + 60 + j[3]))))
+            f += n + int(rng.integers(1, 30))
+    return rows + walk(stream, 99, range(first, first + n_frames), 3000, 300, 0, 0)
+
+
+def one_pass(rows):
+    found = {}
+    for stream in {r[0] for r in rows}:
+        tracker, frames = K.Tracker(K.Params()), defaultdict(list)
+        for r in rows:
+            if r[0] == stream:
+                frames[r[1]].append(r)
+        for f in sorted(frames):
+            own = sorted(frames[f], key=lambda r: (-r[3], r[4:]))
+            sure = [r for r in own if r[3] >= 0.6]
+            ids = tracker.update(f, np.array([r[4:] for r in sure]), np.array([r[3] for r in sure])).tolist() if sure else []
+            for r, i in zip(own, ids + [-1] * (len(own) - len(ids)), strict=True):
+                found[stream, f, *r[3:]] = (stream, i)
+    return found
+
+
+def groups_of(found):
+    by = defaultdict(list)
+    for key, (stream, i) in found.items():
+        if i >= 0:
+            by[stream, i].append(key)
+    return sorted(map(sorted, by.values()))
+
+
+@pytest.mark.parametrize(("block", "overlap"), [(200, 120), (50, 40), (300, 32)])
+def test_blocks_equal_one_pass(spark, monkeypatch, block, overlap):
+    """A stream without a gap, over many tasks, has the tracks of one pass; blocks whose overlap is too short are followed again."""
+    rows = crowd(1500) + crowd(400, 7, "b", 4, 123)
+    runs, follow = [], K._follow
+
+    def counted(placed, by, params):
+        runs.append(placed.select("_block").distinct().count())
+        return follow(placed, by, params)
+
+    monkeypatch.setattr(K, "_follow", counted)
+    found = K.track(spark.createDataFrame(rows, BOXES).repartition(7), block_frames=block, overlap=overlap)
+    got = {(r.stream_id, r.frame_idx, r.conf, r.x1, r.y1, r.x2, r.y2): (r.stream_id, r.track_id) for r in found.collect()}
+    want = one_pass(rows)
+    assert got.keys() == want.keys() and all((got[k][1] < 0) == (want[k][1] < 0) for k in got)
+    assert groups_of(got) == groups_of(want) and len(groups_of(got)) > 20
+    assert runs[0] >= 1500 // block and (len(runs) == 1 or sum(runs[1:]) > 0)
+    if overlap == 32:
+        assert len(runs) > 1  # some block did not begin as the one before ended
+
+
+def test_states_that_do_not_agree():
+    params, ids = K.Params(), []
+    for start in (0, 100, 198):
+        tracker = K.Tracker(params)
+        for f in range(start, 200):
+            tracker.update(f, np.array([[10.0 + f, 10, 50 + f, 90]]), np.array([0.9]))
+        ids.append(tracker.saved())
+    assert K.agree(ids[1], ids[0], 200, params) == [(0, 0)] and K.agree(ids[2], ids[0], 200, params) is None
+    assert K.agree(None, ids[0], 200, params) is None and K.agree(None, ids[0], 200 + params.lost_frames + 1, params) == [] and K.agree(None, None, 5, params) == []
+    with pytest.raises(ValueError):
+        K.track(None, overlap=20)
+
+
 def test_tracking_edge_cases(spark):
     assert K.track(spark.createDataFrame([], BOXES)).count() == 0
     rows = [("a", 0, 1, None, 0.0, 0.0, 1.0, 1.0), ("a", 0, 2, 0.9, 5.0, 5.0, 5.0, 5.0), ("a", 0, 2, 0.9, 5.0, 5.0, 5.0, 5.0)]
