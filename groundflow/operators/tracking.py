@@ -326,7 +326,7 @@ def _whole(edges: DataFrame, by: list[str]) -> DataFrame:
             return steps
 
 
-def track(detections: DataFrame, streams: list[str] | None = None, params: Params = Params(), block_frames: int = 10_000, overlap: int = 300) -> DataFrame:
+def track(detections: DataFrame, streams: list[str] | None = None, params: Params = Params(), block_frames: int = 15_000, overlap: int = 1_500) -> DataFrame:
     """detections (streams, frame_idx, conf, x1, y1, x2, y2, ...) with track_id, as one pass over each stream gives them up to the
     numbers.
 

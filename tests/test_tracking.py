@@ -136,13 +136,13 @@ def test_blocks_equal_one_pass(spark, monkeypatch, block, overlap):
 
 def test_states_that_do_not_agree():
     params, ids = K.Params(), []
-    for start in (0, 100, 198):
+    for start in (0, 2000, 2998):
         tracker = K.Tracker(params)
-        for f in range(start, 200):
+        for f in range(start, 3000):
             tracker.update(f, np.array([[10.0 + f, 10, 50 + f, 90]]), np.array([0.9]))
         ids.append(tracker.saved())
-    assert K.agree(ids[1], ids[0], 200, params) == [(0, 0)] and K.agree(ids[2], ids[0], 200, params) is None
-    assert K.agree(None, ids[0], 200, params) is None and K.agree(None, ids[0], 200 + params.lost_frames + 1, params) == [] and K.agree(None, None, 5, params) == []
+    assert K.agree(ids[1], ids[0], 3000, params) == [(0, 0)] and K.agree(ids[2], ids[0], 3000, params) is None
+    assert K.agree(None, ids[0], 3000, params) is None and K.agree(None, ids[0], 3000 + params.lost_frames + 1, params) == [] and K.agree(None, None, 5, params) == []
     with pytest.raises(ValueError):
         K.track(None, overlap=20)
 
