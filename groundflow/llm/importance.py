@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 from .common import keep, settled, table
 
 #: Bytes of text that DuckDB takes at once, and the memory that it may take.
-SLICE_BYTES, DUCKDB_MEMORY = 4 << 20, "400MB"
+SLICE_BYTES, DUCKDB_MEMORY = 1 << 20, "160MB"
 OWN = ["n_words", "n_features", "weight", "score", "rank"]
 #: Working columns: counts of a document or of a task (then _total), by bucket.
 SPILL = "_n_words long, _buckets array<int>, _counts array<long>, _total boolean"
