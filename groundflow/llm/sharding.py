@@ -7,12 +7,15 @@ that one value held by a third of all rows is divided like any other. A round is
 shuffles at most 16384 sums a node, and a node needs no more rounds once its split point lies at a single row. Documents'
 texts are read once, for their size and checksum; rows never gather in one task, and they are written anew only every
 few levels: in between, a row walks the levels' split points, small tables of a row a node. The law is `bytes`: a split is
-off its target by no more than one position's rows, and with 38 bits of hash that is one document (two with a chance of
-one in twenty at ten thousand million rows of one value), so two leaves differ by little more than a document a level.
+off its target by no more than one position's rows, and with 38 bits of hash that is one unit (two with a chance of
+one in twenty at ten thousand million rows of one value), so two leaves differ by little more than a unit a level.
+
+A unit is a document, or all documents of one text together where these have no more than a `together`th part of a shard's bytes in
+sum (one part in ten): those stay in one shard, dealt by the metadata of the one with the smallest doc_id. Larger groups of copies, which could not be
+kept whole under this law, are dealt document by document; there are fewer of them than `together` times the shards.
 
 Null text has size 16 and the checksum of the empty text; null dimensions count as 0; rows without doc_id are dealt like
-others; equal rows (same doc_id and text) cannot be told apart and stay together. Copies of a text under different doc_ids
-are not kept together: a group that holds a third of all bytes could not be, under this law. An empty table gives no row.
+others; equal rows (same doc_id and text) cannot be told apart and stay together. An empty table gives no row.
 Extra columns are ignored.
 """
 
@@ -29,6 +32,8 @@ from .common import keep, settled
 RANGE_BITS, TIE_BITS, ROUND_BITS = 17, 38, 14
 #: Levels of the tree after which the rows are written anew with their nodes.
 REWRITE_LEVELS = 6
+#: What tells texts apart: bytes, a checksum and a hash.
+TEXT = ["text_size", "text_crc32", "text_hash"]
 #: Parts into which each shard's rows are dealt for numbering its slots.
 SLOT_PARTS = 64
 
@@ -94,7 +99,18 @@ def _split_points(rows: DataFrame, todo: dict[int, dict], dims: list[str]) -> li
     return points
 
 
-def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None) -> DataFrame:
+def _units(rows: DataFrame, dims: list[str], most: float) -> tuple[DataFrame, DataFrame]:
+    """What is dealt: a row a text whose copies have no more than `most` bytes in sum, and the rows of the other texts; and those texts,
+    of which there are as many as `most` goes into all bytes at most."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *dims)).alias("first")
+    groups = rows.groupBy(*TEXT).agg(F.sum("size").alias("bytes"), first)
+    large = keep(groups.where(F.col("bytes") > most).select(*TEXT), "kd-large")
+    whole = groups.where(F.col("bytes") <= most).select(*TEXT, F.col("bytes").alias("size"), *[F.col(f"first.{d}").alias(d) for d in dims], F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(True).alias("whole"))
+    single = rows.join(F.broadcast(large), TEXT, "left_semi").select(*TEXT, "size", *dims, "doc_id", F.lit(False).alias("whole"))
+    return whole.unionByName(single), large
+
+
+def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None, together: int = 10) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs (doc_id, text, metadata)."""
     dimensions = dimensions or default_dimensions(docs)
     dims = [f"d{k}" for k in range(len(dimensions))]
@@ -103,13 +119,16 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
         *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(d) for d, c in zip(dims, dimensions.values(), strict=True)],
     )
-    rows = rows.withColumns({"tie": F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(1 << TIE_BITS)), "node": F.lit(0)})
-    rows = keep(rows, "kd-rows")
+    rows = keep(rows.withColumn("text_size", F.col("size")), "kd-rows")
+    documents, total = rows, rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_shards = n_shards or max(1, math.ceil(total / target_bytes))
+    units, large = _units(rows, dims, total / n_shards / together)
+    rows = keep(units.withColumns({"tie": F.pmod(F.xxhash64("doc_id", *TEXT), F.lit(1 << TIE_BITS)), "node": F.lit(0)}), "kd-units")
     spread = _spread(rows, dims)
     whole = spread.get(0, {"bytes": 0} | {f"{a}_{d}": 0.0 for a in ("lo", "hi") for d in dims})
-    n_shards = n_shards or max(1, math.ceil(whole["bytes"] / target_bytes))
     leaves, level = {0: n_shards}, 0  # a node is named by its first leaf
     while True:
         todo = {}
@@ -131,7 +150,11 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         for node in todo:
             leaves |= {node + leaves[node] // 2: leaves[node] - leaves[node] // 2, node: leaves[node] // 2}
         spread = _spread(rows, dims) if max(leaves.values()) > 1 else {}
-    return _with_slots(rows.withColumnRenamed("node", "shard"))
+    rows = rows.withColumnRenamed("node", "shard")
+    members = documents.join(F.broadcast(large), TEXT, "left_anti").join(rows.where("whole").select(*TEXT, "shard"), TEXT)
+    columns = ["doc_id", "text_size", "text_crc32", "shard"]
+    placed = members.select(columns).unionByName(rows.where("not whole").select(columns)).withColumnRenamed("text_size", "size")
+    return _with_slots(placed.withColumn("tie", F.xxhash64("doc_id", "text_crc32", "size")))
 
 
 def _with_slots(rows: DataFrame) -> DataFrame:

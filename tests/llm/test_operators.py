@@ -74,6 +74,32 @@ def test_sharding(docs, rows, empty):
     assert sharding.kd_shards(empty, n_shards=3).count() == 0
 
 
+def test_sharding_keeps_copies_together(spark):
+    """Copies of a text share a shard while they have a tenth of its bytes at most; larger groups are dealt out, and sizes stay near equal."""
+    gen, rows = random.Random(3), []
+    for k in range(400):
+        text = " ".join(gen.choice(WORDS) for _ in range(gen.randint(20, 60)))
+        rows += [(len(rows) + j, text, "en" if k % 2 else None, f"s{k % 3}") for j in range(gen.choice([1, 1, 1, 2, 3]))]
+    rows += [(None, "without an id and twice", "en", "s")] * 2 + [(10_000 + k, "a text that half of all documents have, word for word", "fr", "s0") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = sharding.kd_shards(docs.withColumns({"whole": F.lit(1), "shard": F.lit("x"), "text_hash": F.lit(1)}), n_shards=8).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "size", "text_crc32", "shard", "slot"}
+    share = sum(r.size for r in got) / 8
+    shards, total, slots = {}, {}, {}
+    for r in got:
+        shards.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+        total[r.shard] = total.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    copies = {}
+    for i, t, *_ in rows:
+        copies[t] = copies.get(t, 0) + 1
+    for t, n in copies.items():
+        if n * (len(t.encode()) + 16) <= share / 10:
+            assert len(shards[zlib.crc32(t.encode()), len(t.encode()) + 16]) == 1
+    assert len(shards[zlib.crc32(rows[-1][1].encode()), len(rows[-1][1]) + 16]) > 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(total.values()) - min(total.values()) <= 0.1 * share
+
+
 @pytest.mark.parametrize(("name", "keeps"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_encoder(rows, name, keeps):
     coder, plain = tokens.Encoder(public_tokenizers.path(name), keeps), Tokenizer.from_file(public_tokenizers.path(name))
