@@ -134,22 +134,54 @@ def in_bounds(points: Points, x: Column, y: Column) -> Column:
     return x.between(float(min(xs)), float(max(xs))) & y.between(float(min(ys)), float(max(ys)))
 
 
+def _crosses(x: Column, y: Column, a: Sequence[float], b: Sequence[float]) -> Column:
+    """Whether a ray from the point meets the edge; its lower end is out, its upper end in."""
+    (ax, ay), (bx, by) = map(float, a), map(float, b)
+    if ay == by:
+        return F.lit(False)
+    spans = (y > min(ay, by)) & (y <= max(ay, by)) & (x <= max(ax, bx))
+    return spans if ax == bx else spans & (x <= (y - F.lit(ay)) * F.lit(bx - ax) / F.lit(by - ay) + F.lit(ax))
+
+
+def _odd(points: Points, x: Column, y: Column) -> Column:
+    return reduce(lambda a, b: a != b, [_crosses(x, y, a, b) for a, b in zip(points, [*points[1:], points[0]], strict=True)])
+
+
 def in_polygon(points: Points, x: Column, y: Column) -> Column:
-    """Ray casting with half-open edges (lower end out, upper end in), behind a bounding-box test that it implies.
+    """Ray casting with half-open edges, behind a bounding-box test that it implies. x and y should be columns of their own: they are
+    compared with every edge."""
+    return in_bounds(points, x, y) & _odd(points, x, y)
+
+
+def in_polygon_once(points: Points, x: Column, y: Column) -> Column:
+    """As in_polygon, for a point that is an expression: it is worked out once a row, and the edges are tested in a lambda, which is
+    not compiled. For filters, as those are moved down and would repeat the expression for every edge."""
+    return in_bounds(points, x, y) & F.exists(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda p: _odd(points, p["x"], p["y"]))
+
+
+#: Of each edge of a quad in a column: its lower and upper end, its right end, and the line through it.
+EDGE = ["low", "high", "right", "ax", "ay", "dx", "dy"]
+
+
+def quad_edges(points: Column) -> dict[str, Column]:
+    """Columns _e<k>_<part> for the edges of a quad in a column (array of four [x, y])."""
+    found = {}
+    for k in range(4):
+        (ax, ay), (bx, by) = ((points[j % 4][0], points[j % 4][1]) for j in (k, k + 1))
+        parts = (F.least(ay, by), F.greatest(ay, by), F.greatest(ax, bx), ax, ay, bx - ax, F.nullif(by - ay, F.lit(0.0)))
+        found |= {f"_e{k}_{n}": p for n, p in zip(EDGE, parts, strict=True)}
+    return found
+
 
-    The edges are tested in a lambda, so that the point is computed once: a filter that is pushed down would repeat the
-    point's expression for every edge, in code too long to be compiled."""
+def in_quad_of_edges(x: Column, y: Column) -> Column:
+    """As in_polygon, with the columns of quad_edges, so that every row may have its own quad."""
 
-    def crosses(x: Column, y: Column, a: Sequence[float], b: Sequence[float]) -> Column:
-        (ax, ay), (bx, by) = map(float, a), map(float, b)
-        if ay == by:
-            return F.lit(False)
-        spans = (y > min(ay, by)) & (y <= max(ay, by)) & (x <= max(ax, bx))
-        return spans if ax == bx else spans & (x <= (y - F.lit(ay)) * F.lit(bx - ax) / F.lit(by - ay) + F.lit(ax))
+    def crosses(k: int) -> Column:
+        low, high, right, ax, ay, dx, dy = (F.col(f"_e{k}_{n}") for n in EDGE)
+        spans = (y > low) & (y <= high) & (x <= right)  # a level edge spans nothing
+        return spans & F.coalesce((dx == 0) | (x <= (y - ay) * dx / dy + ax), F.lit(False))
 
-    sides = list(zip(points, [*points[1:], points[0]], strict=True))
-    odd = lambda p: reduce(lambda a, b: a != b, [crosses(p["x"], p["y"], a, b) for a, b in sides])
-    return in_bounds(points, x, y) & F.exists(F.array(F.struct(x.alias("x"), y.alias("y"))), odd)
+    return reduce(lambda a, b: a != b, [crosses(k) for k in range(4)])
 
 
 def in_polygon_of(points: Column, x: Column, y: Column) -> Column:

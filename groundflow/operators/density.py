@@ -6,8 +6,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ STOPS_HARD = [(0.0, (200, 255, 255)), (2.45, (0, 170, 255)), (2.5, (0, 30, 255))
 STOPS_EASED = [(0.0, (200, 255, 255)), (2.0, (0, 170, 255)), (2.5, (0, 30, 255)), (4.0, (0, 0, 255))]
 
 
+#: Cells that a task smooths at once.
+CELLS_AT_ONCE = 1 << 20
+
+
 @dataclass(frozen=True)
 class Grid:
     x0: float
@@ -132,6 +139,72 @@ def rolling(points: DataFrame, frames: DataFrame, grid: Grid, seconds: float, st
     return sums.where("n_frames is not null").select(*by, "frame_idx", "t_sec", "col", "row", (F.col("persons") / F.col("n_frames")).alias("value"))
 
 
+def cut_at(rows: DataFrame, resets: DataFrame, streams: list[str] | None = None) -> DataFrame:
+    """rows (streams, frame_idx, ...) with `segment`: how many resets (streams, frame_idx) of their stream stand at or before them.
+
+    Given to rolling and the like as one more stream, it empties every window at a reset. Resets are orders that someone gives, so
+    a stream's fit in a row."""
+    by = streams or ["whole"]
+    rows, resets = (df if streams else df.withColumn("whole", F.lit(0)) for df in (rows, resets))
+    orders = resets.groupBy(*by).agg(F.collect_list("frame_idx").alias("_orders"))
+    found = rows.join(orders, by, "left").withColumn("segment", F.coalesce(F.size(F.filter("_orders", lambda r: r <= F.col("frame_idx"))), F.lit(0)))
+    return found.drop("_orders") if streams else found.drop("_orders", "whole")
+
+
+def _leaves(frames: DataFrame, seconds: float, by: list[str], length: float) -> DataFrame:
+    """frames with leave_t: the time of the first frame whose window no longer holds this one; null if there is none.
+
+    Frames' times and windows' starts are walked together in blocks of time; what lies beyond a block's end is looked up among the
+    blocks' first starts, a row a block."""
+    start = F.col("t_sec") - F.lit(float(seconds))
+    asks = frames.select(*by, "frame_idx", "t_sec", F.col("t_sec").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("double").alias("leave"))
+    starts = frames.select(*by, F.lit(None).cast("long").alias("frame_idx"), F.lit(None).cast("double").alias("t_sec"), start.alias("at"), F.lit(0).alias("ask"), F.col("t_sec").alias("leave"))
+    both = asks.unionByName(starts).withColumn("block", F.floor(F.col("at") / F.lit(length)))
+    # of equal ones starts come first: a window that begins at a frame still holds it
+    later = Window.partitionBy(*by, "block").orderBy("at", "ask").rowsBetween(1, Window.unboundedFollowing)
+    within = both.withColumn("leave_t", F.first("leave", True).over(later)).where("ask = 1")
+    firsts = both.where("ask = 0").groupBy(*by, "block").agg(F.min("leave").alias("first"))
+    blocks = both.select(*by, "block").distinct().join(firsts, [*by, "block"], "left")
+    beyond = blocks.select(*by, "block", F.first("first", True).over(Window.partitionBy(*by).orderBy("block").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
+    return within.join(beyond, [*by, "block"]).select(*by, "frame_idx", F.coalesce("leave_t", "beyond").alias("leave_t"))
+
+
+def rolling_intervals(points: DataFrame, frames: DataFrame, grid: Grid, seconds: float, streams: list[str] | None = None, block_seconds: float | None = None) -> DataFrame:
+    """What rolling gives, without the dense grid: for each cell the spans of time with equally many persons in the
+    window: streams, col, row, from_t (included), until_t (not included; null: to the end) and persons, more than 0.
+
+    A point enters its cell's window at its own frame and leaves it at the first frame whose window no longer holds it; between
+    such events a cell's number of persons is constant. Events of one cell are summed in blocks of time and over the blocks' totals, so
+    that no task walks all of a busy cell's. rolling_values makes the frames' values of them."""
+    by, length = streams or [], float(block_seconds or max(64 * seconds, 600.0))
+    frames = frames.select(*by, "frame_idx", "t_sec")
+    cell = [*by, "col", "row"]
+    counts = grid.place(points, "x", "y").groupBy(*by, "frame_idx", "col", "row").agg(F.count("*").alias("n"))
+    known = frames.join(_leaves(frames, seconds, by, length), [*by, "frame_idx"])
+    met = counts.join(known, [*by, "frame_idx"])
+    event = F.explode(F.array(F.struct(F.col("t_sec").alias("t"), F.col("n").alias("d")), F.struct(F.col("leave_t").alias("t"), (-F.col("n")).alias("d"))))
+    events = met.select(*cell, event.alias("e")).select(*cell, "e.t", "e.d").where("t is not null").groupBy(*cell, "t").agg(F.sum("d").alias("d")).where("d <> 0")
+    events = events.withColumn("block", F.floor(F.col("t") / F.lit(length)))
+    totals = events.groupBy(*cell, "block").agg(F.sum("d").alias("sum"), F.min("t").alias("first"))
+    over = Window.partitionBy(*cell).orderBy("block")
+    edges = totals.select(*cell, "block", (F.sum("sum").over(over) - F.col("sum")).alias("before"), F.lead("first").over(over).alias("next"))
+    inside = Window.partitionBy(*cell, "block").orderBy("t")
+    placed = events.join(edges, [*cell, "block"]).withColumns({"persons": F.sum("d").over(inside) + F.col("before"), "until_t": F.coalesce(F.lead("t").over(inside), "next")})
+    return placed.where("persons > 0").select(*cell, F.col("t").alias("from_t"), "until_t", "persons")
+
+
+def rolling_values(intervals: DataFrame, frames: DataFrame, seconds: float, streams: list[str] | None = None, block_seconds: float | None = None) -> DataFrame:
+    """The values that rolling gives, but for zeros, from rolling_intervals. Spans and frames meet in blocks of time."""
+    by, length = streams or ["whole"], float(block_seconds or max(8 * seconds, 60.0))
+    frames, spans = (df if streams else df.withColumn("whole", F.lit(0)) for df in (frames, intervals))
+    known = frames_in_window(frames.select(*by, "frame_idx", "t_sec"), seconds, by).withColumn("block", F.floor(F.col("t_sec") / F.lit(length)))
+    spans = spans.join(known.groupBy(*by).agg(F.max("block").alias("_last")), by)
+    first, last = (F.floor(F.col(c) / F.lit(length)) for c in ("from_t", "until_t"))
+    spans = spans.withColumn("block", F.explode(F.sequence(first, F.greatest(first, F.least(F.coalesce(last, F.col("_last")), F.col("_last"))))))
+    met = spans.join(known, [*by, "block"]).where((F.col("t_sec") >= F.col("from_t")) & (F.col("until_t").isNull() | (F.col("t_sec") < F.col("until_t"))))
+    return met.select(*(streams or []), "frame_idx", "t_sec", "col", "row", (F.col("persons") / F.col("n_frames")).alias("value"))
+
+
 def grid_peak(grid_values: DataFrame, streams: list[str] | None = None) -> DataFrame:
     """The highest cell value of every frame."""
     return grid_values.groupBy(*(streams or []), "frame_idx").agg(F.max("value").alias("peak"))
@@ -174,15 +247,33 @@ def kernel(sigma: float, n: int) -> list[tuple[int, int, float]]:
 
 
 def smoothed(grid_values: DataFrame, grid: Grid, sigma: float) -> DataFrame:
-    """Separable Gaussian smoothing by two joins with small kernel tables; sigma <= 0 leaves all as it is."""
+    """Separable Gaussian smoothing; sigma <= 0 leaves all as it is. Every cell of a frame comes back, cells that were missing count as 0.
+
+    A frame's cells that are not 0 meet in one row (a grid's cells are few), and both passes are made there: one shuffle."""
     if sigma <= 0:
         return grid_values
-    spark, found = grid_values.sparkSession, grid_values
-    for axis, n in (("col", grid.n_cols), ("row", grid.n_rows)):
-        table = F.broadcast(spark.createDataFrame(kernel(sigma, n), f"{axis} int, to int, weight double"))
-        keys = [c for c in found.columns if c not in (axis, "value")]
-        found = found.join(table, axis).groupBy(*keys, F.col("to").alias(axis)).agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
-    return found
+    keys = [c for c in grid_values.columns if c not in ("col", "row", "value")]
+    across, down = np.zeros((grid.n_cols, grid.n_cols)), np.zeros((grid.n_rows, grid.n_rows))
+    for table, n in ((across, grid.n_cols), (down, grid.n_rows)):
+        for a, b, w in kernel(sigma, n):
+            table[b, a] = w
+    cells, size = F.when(F.col("value") != 0, F.struct((F.col("row") * grid.n_cols + F.col("col")).alias("k"), "value")), grid.n_cols * grid.n_rows
+    met = grid_values.groupBy(*keys).agg(F.collect_list(cells).alias("_cells")).select(*keys, F.col("_cells.k").alias("_k"), F.col("_cells.value").alias("_v"))
+    schema = met.select(*keys, F.lit(0).alias("col"), F.lit(0).alias("row"), F.lit(0.0).alias("value")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, max(1, CELLS_AT_ONCE // size)):
+                part = batch.slice(start, max(1, CELLS_AT_ONCE // size))
+                n, (k, v) = part.num_rows, part.columns[len(keys) :]
+                plain = np.zeros((n, size))
+                np.add.at(plain, (np.repeat(np.arange(n), np.diff(k.offsets.to_numpy())), k.flatten().to_numpy()), v.flatten().to_numpy())
+                found = down @ plain.reshape(n, grid.n_rows, grid.n_cols) @ across.T
+                row = pa.array(np.repeat(np.arange(n), size))
+                place = np.tile(np.arange(size, dtype=np.int32), n)
+                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in part.columns[: len(keys)]), pa.array(place % grid.n_cols), pa.array(place // grid.n_cols), pa.array(found.ravel())], names=[*keys, "col", "row", "value"])
+
+    return met.mapInArrow(run, schema)
 
 
 def colour(value: Column, stops: list = STOPS_HARD) -> Column:

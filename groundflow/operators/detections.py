@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundflow.functions.geometry import foot_point, in_polygon, in_polygon_of, rounded_quad, to_ground, to_ground_of
+from groundflow.functions.geometry import foot_point, in_polygon, in_polygon_once, in_quad_of_edges, quad_edges, rounded_quad, to_ground
+from groundflow.sources.kept import forget, kept
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -31,16 +32,28 @@ def project(detections: DataFrame, h: list[list[float]], quad: list) -> DataFram
     return wide.withColumn("in_quad", inside).withColumns({"world_x": F.when(F.col("in_quad"), wx), "world_y": F.when(F.col("in_quad"), wy)})
 
 
+def project_inside(detections: DataFrame, h: list[list[float]], quad: list) -> DataFrame:
+    """The rows of project that are inside. The condition, which Spark moves down to where boxes are made, works the foot point
+    out once; use this rather than a filter on in_quad where boxes are expressions."""
+    x, y = foot_point()
+    inside = detections.where(in_polygon_once(quad, x, y)).withColumns({"foot_x": x, "foot_y": y})
+    wx, wy = to_ground(h, F.col("foot_x"), F.col("foot_y"))
+    return inside.withColumns({"in_quad": F.lit(True), "world_x": wx, "world_y": wy})
+
+
 def project_each(detections: DataFrame, calibrations: DataFrame, streams: list[str]) -> DataFrame:
-    """As project, with each stream's own quad and matrix. calibrations: streams, H, image_points, one row a stream.
+    """As project, with each stream's own quad and matrix. calibrations: streams, H, image_points (four corners), one row a stream.
 
-    Detections of a stream without calibration are outside. The calibrations' size decides how the join is done."""
+    Detections of a stream without calibration are outside. The calibrations' size decides how the join is done; what the test
+    of a quad needs is worked out there, once a stream."""
     fx, fy = foot_point()
-    known = calibrations.select(*streams, F.col("H").alias("_h"), F.col("image_points").alias("_quad"))
+    wanted = quad_edges(F.col("image_points")) | {f"_h{r}{c}": F.col("H")[r][c] for r in range(3) for c in range(3)}
+    known = calibrations.select(*streams, *[c.alias(n) for n, c in wanted.items()])
     wide = detections.withColumns({"foot_x": fx, "foot_y": fy}).join(known, streams, "left")
-    inside = F.coalesce(in_polygon_of(F.col("_quad"), F.col("foot_x"), F.col("foot_y")), F.lit(False))
-    wx, wy = to_ground_of(F.col("_h"), F.col("foot_x"), F.col("foot_y"))
-    return wide.withColumn("in_quad", inside).withColumns({"world_x": F.when(F.col("in_quad"), wx), "world_y": F.when(F.col("in_quad"), wy)}).drop("_h", "_quad")
+    x, y = F.col("foot_x"), F.col("foot_y")
+    line = lambda r: F.col(f"_h{r}0") * x + F.col(f"_h{r}1") * y + F.col(f"_h{r}2")
+    world = {f"world_{axis}": F.when(F.col("in_quad"), F.try_divide(line(r), line(2))) for r, axis in enumerate("xy")}
+    return wide.withColumn("in_quad", F.coalesce(in_quad_of_edges(x, y), F.lit(False))).withColumns(world).drop(*wanted)
 
 
 def in_zone(quad: list) -> Column:
@@ -140,20 +153,75 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(w * h, size(a) + size(b) - w * h), F.lit(0.0))
 
 
-def suppress(detections: DataFrame, threshold: float = 0.7, streams: list[str] | None = None) -> DataFrame:
+#: Boxes of one frame and class that a task folds at most; more go by cells and rounds.
+FOLDED = 1000
+
+
+def suppress(detections: DataFrame, threshold: float = 0.7, streams: list[str] | None = None, folded: int = FOLDED) -> DataFrame:
     """Greedy suppression a frame and class: by falling confidence (ties by falling coordinates, then by the other columns), a
     box stays unless it overlaps a kept one by more than the threshold. Kept rows come back whole.
 
-    A frame's boxes are what one detector found in one picture, some thousands at most, so a group fits in a task."""
+    A frame with up to `folded` boxes of a class is walked in one row. Of a fuller one no group holds all: see suppress_crowded,
+    which gives the same rows."""
     keys = [*(streams or []), "frame_idx", "class_id"]
+    full = detections.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > folded).select(keys)
+    if full.isEmpty():
+        return _folded(detections, threshold, keys)
+    full = kept(full, "full-frames")
+    same = [detections[k].eqNullSafe(full[k]) for k in keys]
+    few, many = (detections.join(full, same, how) for how in ("left_anti", "left_semi"))
+    return _folded(few, threshold, keys).unionByName(suppress_crowded(many, threshold, streams))
+
+
+def _folded(detections: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     rest = [c for c in detections.columns if c not in (*keys, "conf", *BOX)]
     row = F.struct("conf", *BOX, *rest)
     grouped = detections.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(row))).alias("boxes"))
     none = F.filter("boxes", lambda b: F.lit(False))
-    keep = lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) > threshold), kept).otherwise(F.concat(kept, F.array(b)))
+    keep = lambda stay, b: F.when(F.exists(stay, lambda k: iou(k, b) > threshold), stay).otherwise(F.concat(stay, F.array(b)))
     return grouped.select(*keys, F.inline(F.aggregate("boxes", none, keep))).select(detections.columns)
 
 
+def suppress_crowded(detections: DataFrame, threshold: float = 0.7, streams: list[str] | None = None, cell: float | None = None) -> DataFrame:
+    """As suppress, for frames of any number of boxes.
+
+    Boxes are put into the square cells that they touch (as long as most boxes' longer side), so only boxes of one cell are compared,
+    each pair in the one cell that holds its common part's upper left corner. What is left of the pairs is who stands in whose way. Then in
+    rounds: a box with nobody in its way any more stays, and those in whose way it stands go; their own claims go with them. Of
+    boxes that are equal in place only the first is compared, as the others go with it or because of it. There are as many rounds as the longest
+    chain of boxes that stand in each other's way. The result reads tables under spark.checkpoint.dir; kept.forget(result)
+    deletes them."""
+    keys = [*(streams or []), "frame_idx", "class_id"]
+    rest = [c for c in detections.columns if c not in (*keys, "conf", *BOX)]
+    order = F.struct("conf", *BOX, *rest, (-F.monotonically_increasing_id()).alias("_no"))  # of rows that are alike in all, any
+    rows = kept(detections.withColumn("_order", order), "crowded-boxes")
+    number = F.col("_order")["_no"]
+    real = rows.where("x2 > x1 AND y2 > y1").select(*keys, *BOX, "_order")  # others overlap nothing
+    best = F.max("_order")["_no"].alias("_best")
+    firsts = real.groupBy(*keys, *BOX).agg(F.max("_order").alias("_order"))
+    gone = [real.select(*keys, *BOX, number.alias("_no")).join(real.groupBy(*keys, *BOX).agg(best), [*keys, *BOX]).where("_no <> _best").select("_no")] if threshold < 1 else []
+    places = firsts if threshold < 1 else real
+    side = cell or places.agg(F.percentile_approx(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 0.9)).first()[0] or 1.0
+    at = lambda c: F.floor(F.col(c) / F.lit(float(side)))
+    put = places.select(*keys, F.struct(*BOX).alias("box"), "_order", F.explode(F.sequence(at("x1"), at("x2"))).alias("_cx"), "y1", "y2")
+    put = put.withColumn("_cy", F.explode(F.sequence(at("y1"), at("y2")))).drop("y1", "y2")
+    a, b = (put.select(*keys, "_cx", "_cy", F.col("box").alias(f"{n}_box"), F.col("_order").alias(f"{n}_order")) for n in ("a", "b"))
+    corner = lambda c: F.floor(F.greatest(F.col("a_box")[c], F.col("b_box")[c]) / F.lit(float(side)))
+    met = a.join(b, [*keys, "_cx", "_cy"]).where((F.col("a_order") > F.col("b_order")) & (corner("x1") == F.col("_cx")) & (corner("y1") == F.col("_cy")) & (iou(F.col("a_box"), F.col("b_box")) > threshold))
+    claims = kept(met.select(F.col("a_order")["_no"].alias("a"), F.col("b_order")["_no"].alias("b")), "claims")
+    while not claims.isEmpty():
+        free = claims.select("a").distinct().join(claims.select(F.col("b").alias("a")), "a", "left_anti")
+        out = kept(claims.join(free, "a").select(F.col("b").alias("_no")).distinct(), "suppressed")
+        gone.append(out)
+        left = claims.join(out.select(F.col("_no").alias("a")), "a", "left_anti").join(out.select(F.col("_no").alias("b")), "b", "left_anti")
+        before, claims = claims, kept(left, "claims")
+        forget(before)
+    found = rows.withColumn("_no", number)
+    for out in gone:
+        found = found.join(out, "_no", "left_anti")
+    return found.select(detections.columns)
+
+
 def stacked_pairs(detections: DataFrame, least_across: float = 0.6, most_gap: float = 20.0, most_iou: float = 0.3, streams: list[str] | None = None) -> DataFrame:
     """Pairs of boxes in a frame that stand above each other: wide common span, small gap, little overlap."""
     keys = [*(streams or []), "frame_idx"]
@@ -165,7 +233,13 @@ def stacked_pairs(detections: DataFrame, least_across: float = 0.6, most_gap: fl
     return pairs.where((across >= least_across) & (gap <= most_gap) & (iou(F.col("a"), F.col("b")) <= most_iou))
 
 
-def running_totals(per_frame: DataFrame, columns: list[str], streams: list[str]) -> DataFrame:
-    """Totals so far of per-frame counts, a stream at a time."""
-    far = Window.partitionBy(*streams).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_frame.withColumns({f"{c}_so_far": F.sum(c).over(far) for c in columns})
+def running_totals(per_frame: DataFrame, columns: list[str], streams: list[str], block: int = 100_000) -> DataFrame:
+    """Totals so far of per-frame counts, a stream at a time: within blocks of frames, and over the blocks' totals, so that no task
+    holds a stream."""
+    placed = per_frame.withColumn("_block", F.floor(F.col("frame_idx") / F.lit(block)))
+    totals = placed.groupBy(*streams, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    over = Window.partitionBy(*streams).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*streams, "_block", *[F.coalesce(F.sum(f"_{c}").over(over), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy(*streams, "_block").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = placed.join(before, [*streams, "_block"])
+    return joined.withColumns({f"{c}_so_far": F.sum(c).over(inside) + F.col(f"_{c}") for c in columns}).select(*per_frame.columns, *[f"{c}_so_far" for c in columns])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from groundflow.functions.ranks import exact_percentiles
 
 
-def _gate(t: np.ndarray, x: np.ndarray, y: np.ndarray, max_speed: float) -> np.ndarray:
+def gate(t: np.ndarray, x: np.ndarray, y: np.ndarray, max_speed: float) -> np.ndarray:
     """Which observations of one track, in order, are accepted. Missing numbers (nan) are never too fast, nor is what follows."""
     ok, n = np.ones(len(t), bool), len(t)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -57,7 +57,7 @@ def speed_gate(observations: DataFrame, max_speed: float, streams: list[str] | N
             for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(names)], strict=True):
                 before = held if names[a] == track else np.zeros((3, 0))
                 rows = np.concatenate((before, np.stack((t[a:b], x[a:b], y[a:b]))), axis=1)
-                got = _gate(*rows, max_speed)
+                got = gate(*rows, max_speed)
                 flags[a:b] = got[before.shape[1] :]
                 track, held = names[a], rows[:, [np.flatnonzero(got)[-1]]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], names=[*batch.schema.names, "accepted"])
@@ -110,7 +110,11 @@ def lifetimes(observations: DataFrame, streams: list[str] | None = None) -> Data
 def churn(observations: DataFrame, n_frames: Column | int, streams: list[str] | None = None) -> DataFrame:
     """Track statistics in one row, over the tracks of all streams; 0 where there are no tracks. n_frames: all frames, empty
     ones too. Medians and the like are exact, and no task holds all lifetimes."""
-    life = lifetimes(observations, streams)
+    return churn_of(lifetimes(observations, streams), n_frames)
+
+
+def churn_of(life: DataFrame, n_frames: Column | int) -> DataFrame:
+    """As churn, from lifetimes: lifetime_s and n_observations of every track."""
     share = lambda s: F.coalesce(F.avg((F.col("lifetime_s") >= s).cast("int")), F.lit(0.0))
     rows = F.coalesce(F.sum("n_observations"), F.lit(0))
     totals = life.agg(

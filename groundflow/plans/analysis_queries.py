@@ -160,7 +160,7 @@ def chosen_frames(spark, d):
 def foot_centroid_distance(spark, d):
     x, y = G.to_ground(R.H, *G.centroid())
     gap = F.hypot(F.col("world_x") - x, F.col("world_y") - y)
-    return R.projected(spark, d).where("in_quad").select("frame_idx", F.round(gap, 6).alias("gap_m"))
+    return R.inside(spark, d).select("frame_idx", F.round(gap, 6).alias("gap_m"))
 
 
 @query("det", "frames", sql="""SELECT (SELECT count(*) FROM frames) AS n_frames, sum(n)::DOUBLE / (SELECT count(*) FROM frames) AS mean_n, min(n) AS min_n, max(n) AS max_n, (SELECT count(DISTINCT frame_idx % 93) FROM det WHERE conf_pct >= 5) AS n_ids,
@@ -221,3 +221,30 @@ def output_names(spark, d):
 @query(sql="SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS made, count(*) AS n FROM events GROUP BY 1")
 def calibration_times(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").groupBy(A.iso_utc(F.col("ts")).alias("made")).agg(F.count("*").alias("n"))
+
+
+@query("roll", sql='SELECT frame_idx, t_sec, col, "row", value FROM roll WHERE value > 0')
+def sparse_rolling_density(spark, d):
+    """The rolling density that is not 0, from spans of time in which a cell's number of persons is constant."""
+    frames = R.track_frames(spark, d)
+    spans = D.rolling_intervals(R.tracks(spark, d).drop("t_sec"), frames, R.GRID, R.WINDOW_S)
+    return D.rolling_values(spans, frames, R.WINDOW_S).select("frame_idx", "t_sec", "col", "row", "value")
+
+
+@query("trk", "tframes", sql=f"""SELECT s.segment, s.frame_idx, s.col, s."row", s.value FROM (SELECT segment, frame_idx, col, "row", sum(coalesce(n, 0)) OVER w / (count(*) OVER w)::DOUBLE AS value
+  FROM (SELECT *, (frame_idx >= 200)::INT + (frame_idx >= 500)::INT AS segment FROM tframes) f CROSS JOIN (SELECT CAST(range AS INT) AS col FROM range(10)) a CROSS JOIN (SELECT CAST(range AS INT) AS "row" FROM range(10)) b
+  LEFT JOIN (SELECT frame_idx, CAST(floor(x / 10) AS INT) AS col, CAST(floor(y / 10) AS INT) AS "row", count(*) AS n FROM trk WHERE x >= 0 AND x < 100 AND y >= 0 AND y < 100 GROUP BY ALL) c USING (frame_idx, col, "row")
+  WINDOW w AS (PARTITION BY segment, col, "row" ORDER BY t_sec RANGE BETWEEN {R.WINDOW_S}::DOUBLE PRECEDING AND CURRENT ROW)) s WHERE value > 0""")
+def density_between_resets(spark, d):
+    """Rolling density whose window is emptied at frames 200 and 500."""
+    resets = spark.createDataFrame([(200,), (500,)], "frame_idx long")
+    frames, points = (D.cut_at(df, resets) for df in (R.track_frames(spark, d), R.tracks(spark, d).drop("t_sec")))
+    found = D.rolling(points, frames, R.GRID, R.WINDOW_S, ["segment"]).where("value > 0")
+    return found.select("segment", "frame_idx", "col", "row", "value")
+
+
+@query("det", sql="SELECT frame_idx, n, n_sure, (sum(n) OVER w)::BIGINT AS n_so_far, (sum(n_sure) OVER w)::BIGINT AS n_sure_so_far FROM (SELECT frame_idx, count(*) AS n, count(*) FILTER (conf_pct >= 5) AS n_sure FROM det GROUP BY 1) s WINDOW w AS (ORDER BY frame_idx)")
+def frame_totals_so_far(spark, d):
+    """Boxes of each frame and up to it, over one stream that no task holds whole."""
+    per = R.detections(spark, d).groupBy(F.lit(0).alias("stream_id"), "frame_idx").agg(F.count("*").alias("n"), F.count_if(F.col("conf_pct") >= 5).alias("n_sure"))
+    return E.running_totals(per, ["n", "n_sure"], ["stream_id"], 2_000).drop("stream_id")

@@ -57,6 +57,10 @@ def projected(spark: SparkSession, d: str) -> DataFrame:
     return E.project(detections(spark, d), H, QUAD)
 
 
+def inside(spark: SparkSession, d: str) -> DataFrame:
+    return E.project_inside(detections(spark, d), H, QUAD)
+
+
 SQL = {
     "det": f"det AS (SELECT {', '.join(DET_OUTER)} FROM ({DET_INNER}) s)",
     "frames": "frames AS (SELECT o_orderkey AS frame_idx, o_orderkey / CAST(30 AS DOUBLE) AS t_sec FROM orders)",
@@ -136,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query("dens", sql="SELECT * FROM dens")
 def frame_density(spark, d):
-    points = projected(spark, d).where("in_quad").select("frame_idx", F.col("world_x").alias("x"), F.col("world_y").alias("y"))
+    points = inside(spark, d).select("frame_idx", F.col("world_x").alias("x"), F.col("world_y").alias("y"))
     return D.frame_density(points, frames(spark, d), AREA, 1.0)
 
 
@@ -155,7 +159,7 @@ def centroid_points(spark, d):
 @query("proj", sql=f"SELECT frame_idx, world_x - {_line(H[0]).replace('foot_y', 'cy')} / {_line(H[2]).replace('foot_y', 'cy')} AS dx, world_y - {_line(H[1]).replace('foot_y', 'cy')} / {_line(H[2]).replace('foot_y', 'cy')} AS dy FROM (SELECT *, (y1 + y2) / 2 AS cy FROM proj) p WHERE in_quad")
 def foot_centroid_gap(spark, d):
     x, y = G.to_ground(H, *G.centroid())
-    return projected(spark, d).where("in_quad").select("frame_idx", (F.col("world_x") - x).alias("dx"), (F.col("world_y") - y).alias("dy"))
+    return inside(spark, d).select("frame_idx", (F.col("world_x") - x).alias("dx"), (F.col("world_y") - y).alias("dy"))
 
 
 @query("proj", sql="SELECT frame_idx, foot_x, foot_y, in_quad, world_x, world_y FROM proj")
@@ -237,7 +241,7 @@ def low_conf_share(spark, d):
 
 @query("proj", sql="SELECT CAST(floor(world_x) AS BIGINT) AS ci, CAST(floor(world_y) AS BIGINT) AS cj, count(*) AS n FROM proj WHERE in_quad GROUP BY 1, 2 ORDER BY n DESC, min(frame_idx), ci, cj LIMIT 1")
 def busiest_cell(spark, d):
-    points = projected(spark, d).where("in_quad").select("frame_idx", F.col("world_x").alias("x"), F.col("world_y").alias("y"))
+    points = inside(spark, d).select("frame_idx", F.col("world_x").alias("x"), F.col("world_y").alias("y"))
     return D.busiest_cell(points, 1.0)
 
 
@@ -428,7 +432,7 @@ _SQL["tile_counters"] = (
 @query("proj", sql="SELECT frame_idx, CAST(floor(world_x) AS BIGINT) AS ci, CAST(floor(world_y) AS BIGINT) AS cj, count(*) AS n FROM proj WHERE in_quad GROUP BY 1, 2, 3")
 def frame_cell_counts(spark, d):
     cell = lambda c: F.floor(F.col(f"world_{c}"))
-    return projected(spark, d).where("in_quad").groupBy("frame_idx", cell("x").alias("ci"), cell("y").alias("cj")).agg(F.count("*").alias("n"))
+    return inside(spark, d).groupBy("frame_idx", cell("x").alias("ci"), cell("y").alias("cj")).agg(F.count("*").alias("n"))
 
 
 @query("roll", sql='SELECT frame_idx, col, "row", round(pow(least(greatest(value, 0), 3::DOUBLE) / 3::DOUBLE, 0.5::DOUBLE) * 0.7::DOUBLE, 9) AS alpha FROM roll')

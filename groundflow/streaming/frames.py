@@ -49,7 +49,9 @@ def _keyed(frames: DataFrame, out: str, state: str, step: Callable, idle: str |
 def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str | None = "10 minutes") -> DataFrame:
     """Mean persons a cell over the last seconds, for every frame and every cell that is not empty.
 
-    frames: stream_id, frame_idx, t_sec, points (x, y). State is the counts of the frames in the window."""
+    frames: stream_id, frame_idx, t_sec, points (x, y), and if wanted reset. A row whose reset is true is no frame but an order: the
+    window of its stream is emptied before the frame of the same number, as density.rolling does between cuts (density.cut_at). Like
+    a frame it is passed over if it comes later than a frame that it should stand before. State is the counts of the frames in the window."""
 
     def cells(points: list) -> list[int]:
         if points is None or not len(points):
@@ -61,9 +63,13 @@ def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str | N
     def step(stream: str, rows: pd.DataFrame, held: tuple | None) -> tuple:
         times, sizes, places, last = (list(held[0]), list(held[1]), list(held[2]), held[3]) if held else ([], [], [], -1)
         total, out = np.bincount(places, minlength=grid.n_cols * grid.n_rows), []
-        for frame in rows.itertuples():
+        orders = rows["reset"].fillna(False).astype(bool)
+        for frame in rows[["frame_idx", "t_sec", "points"]].assign(order=orders).sort_values(["frame_idx", "order"], ascending=[True, False]).itertuples():
             if frame.frame_idx <= last:
                 continue
+            if frame.order:
+                total[:], times, sizes, places = 0, [], [], []
+                continue
             last, own = frame.frame_idx, cells(frame.points)
             times.append(float(frame.t_sec))
             sizes.append(len(own))
@@ -76,7 +82,8 @@ def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str | N
             out += [(stream, frame.frame_idx, frame.t_sec, k % grid.n_cols, k // grid.n_cols, total[k] / len(times)) for k in np.flatnonzero(total).tolist()]
         return out, (times, sizes, places, int(last))
 
-    return _keyed(frames.select("stream_id", "frame_idx", "t_sec", "points"), GRID_OUT, "times array<double>, sizes array<int>, places array<int>, last long", step, idle)
+    reset = F.col("reset") if "reset" in frames.columns else F.lit(False)
+    return _keyed(frames.select("stream_id", "frame_idx", "t_sec", "points", reset.alias("reset")), GRID_OUT, "times array<double>, sizes array<int>, places array<int>, last long", step, idle)
 
 
 def track(frames: DataFrame, params: Params = Params(), idle: str | None = "10 minutes") -> DataFrame:
