@@ -59,10 +59,11 @@ def keep(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete kept tables that nothing reads any more."""
     for path in {file.rsplit("/", 1)[0] for df in tables for file in df.inputFiles()}:
-        _delete(path)
+        delete(path)
 
 
-def _delete(path: str) -> None:
+def delete(path: str) -> None:
+    """Delete a folder, if it is there."""
     fs, local = filesystem(path)
     if fs.get_file_info(local).type == pafs.FileType.Directory:
         fs.delete_dir(local)
@@ -76,7 +77,7 @@ def scratch():
         yield
     finally:
         for path in _open.paths.pop():
-            _delete(path)
+            delete(path)
 
 
 def settled(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:

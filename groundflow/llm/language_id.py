@@ -10,7 +10,8 @@ codewords cost nearly the same.
 
 Up to seven languages get the exhaustive code (all distinct splits of the languages), more get a random code of
 15 log2(n) bits, the best of 100 by least distance. Learning uses a sample of `SAMPLE_PER_LANGUAGE` documents
-a language in expectation (all where there are fewer), chosen by a hash of doc_id; prediction reads every whole
+a language in expectation (all where there are fewer), chosen by a hash of doc_id, of the labels that have `LEAST_SHARE` of
+the labelled rows at least (others are dirt in the column, or too rare to learn); prediction reads every whole
 text. Weights are integers, so that equal texts get equal scores on any cluster. Null text, or text
 without a letter, is `und` with score 0, as is everything if nothing can be learned. Rows without doc_id are predicted but not
 learned from, repeated rows count as often as they occur, extra columns are kept.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, keep, scratch
 
 SAMPLE_PER_LANGUAGE = 1000
+#: A label is learned if it has this share of the labelled rows at least, so that there are no more than 1000 languages.
+LEAST_SHARE = 0.001
 #: n-gram lengths in bytes, and the table they are hashed to.
 ORDERS, TABLE_BITS = (2, 4), 16
 #: Weights are kept as integers of this many parts.
@@ -117,7 +120,10 @@ def is_training(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Learn from the labelled rows of docs (all of which may be used)."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy(lang).agg(F.count("*").alias("n"))
+    least = LEAST_SHARE * (sizes.agg(F.sum("n")).first()[0] or 0)
+    counts = {r[lang]: r["n"] for r in sizes.where(F.col("n") >= least).collect()}  # 1 / LEAST_SHARE rows at most
+    labelled = labelled.where(F.col(lang).isin(list(counts)))
     languages = sorted(counts)
     code = code_matrix(len(languages))
     empty = Model(languages, code, np.zeros((1 << TABLE_BITS, code.shape[1]), np.int16), *[np.zeros(code.shape[1])] * 3)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, keep, record_batch, shared_dir, texts_of, write_file
+from .common import delete, filesystem, keep, record_batch, settled, shared_dir, texts_of, write_file
 from .tokens import encoder, slices
 
 #: Fixed: the constant added to a rotated checksum.
@@ -136,4 +136,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = shared_dir(spark, "token-records")
-    return read_token_records(write_token_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+    try:
+        return settled(spark, "op9", lambda: read_token_records(write_token_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)))
+    finally:
+        delete(path)  # the result is a table of its own

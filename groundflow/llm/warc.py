@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, keep, record_batch, settled, shared_dir
+from .common import delete, filesystem, keep, record_batch, settled, shared_dir
 
 #: Index lines in a compressed block.
 BLOCK_LINES = 3000
@@ -307,4 +307,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         directory = write_index(write_archives(with_revisits(pages), path), path)
         return read_archives(pages, directory, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-    return settled(spark, "op8", digest)
+    try:
+        return settled(spark, "op8", digest)
+    finally:
+        delete(path)  # the result is a table of its own

@@ -92,6 +92,36 @@ def test_op3(spark, run, texts):
     assert np.mean(right) > 0.97
 
 
+def test_op3_by_hand(spark, run, texts):
+    """Every document's n-grams, values, costs and winner in plain loops over the fitted model."""
+    from groundflow.llm import language_id as L
+
+    model = L.fit(spark.read.parquet(f"{SF}/documents.parquet").where(L.is_training()))
+    weights = [row.tolist() for row in model.weights]
+    got = {r.doc_id: r for r in run("op3_language_id")}
+    for i, text in texts.items():
+        if not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score, got[i].ambiguous) == ("und", 0.0, False)
+            continue
+        data = " ".encode() + low(text).encode() + b"     "
+        n, total = len(data) - 4, [0] * model.code.shape[1]
+        for number, order in enumerate((2, 4), 1):
+            for start in range(n):
+                h = number
+                for b in data[start : start + order]:
+                    h = (h * 0x01000193 + b) % 2**32
+                for bit, w in enumerate(weights[(h * 0x9E3779B1) % 2**32 >> 16]):
+                    total[bit] += w
+        values = [t / (n * 1024 * 2) for t in total]
+        costs = []
+        for word in model.code.tolist():
+            loss = [np.log1p(np.exp(-c * (v - b) * s)) for c, v, b, s in zip(word, values, model.bias, model.scale, strict=True)]
+            costs.append(sum(x * t for x, t in zip(loss, model.trust, strict=True)))
+        order = sorted(costs)
+        assert got[i].lang_pred == model.languages[costs.index(order[0])]
+        assert got[i].score == pytest.approx(1 / sum(np.exp(order[0] - c) for c in costs)) and got[i].ambiguous == (order[1] - order[0] < 0.5)
+
+
 def test_op4(run, texts):
     base = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
     found = 0
@@ -237,7 +267,9 @@ def test_scratch_tables_are_deleted(spark):
     for name in ("op10_line_dedup", "op7_jaccard_join", "op6_decontamination", "op1_kd_sharding", "op3_language_id"):
         entry.queries()[name](spark, SF).count()
     assert len(here() - before) <= 4  # the results, and none for op3
+    entry.queries()["op8_warc"](spark, SF).count(), entry.queries()["op9_token_records"](spark, SF).count()
+    assert len(here() - before) <= 6  # no archives and no records
     with pytest.raises(ValueError), scratch():
         line_dedup.build_index(spark.read.parquet(f"{SF}/documents.parquet"))
         raise ValueError
-    assert len(here() - before) <= 4
+    assert len(here() - before) <= 6

@@ -259,6 +259,29 @@ def test_language_id(spark, docs, empty):
     assert language_id.predict(docs, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_dirty_labels_are_not_learned(spark, monkeypatch):
+    """A column full of single labels, and rows without doc_id or with repeated ones."""
+    monkeypatch.setattr(language_id, "LEAST_SHARE", 0.1)
+    gen = random.Random(8)
+    rows = [(None if k % 9 == 0 else k // 2, " ".join(gen.choice(("the house of", "and then it")) if k % 2 else gen.choice(("la maison de", "et puis il")) for _ in range(20)), "en" if k % 2 else "fr") for k in range(120)]
+    rows += [(k, "qq ww", f"dirt {k}") for k in range(60)] + [(7, None, "en"), (None, "", None), (8, "the house of and then it", None)]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language_id.fit(docs.where(language_id.is_training()))
+    assert model.languages == ["en", "fr"]
+    found = language_id.predict(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"] and found.count() == len(rows)
+    assert {(r.lang_pred, r.score > 0) for r in found.where("text is null or text = ''").collect()} == {("und", False)}
+    known = found.where("lang in ('en', 'fr') and text is not null").collect()
+    assert all(r.lang_pred == r.lang for r in known) and found.where("doc_id = 8 and lang is null").first().lang_pred == "en"
+
+
+def test_license_scan_of_odd_rows(spark):
+    rows = [(None, "MIT License"), (1, "MIT License"), (1, None), (1, ""), (None, None), (2, "cc by " * 30_000)]
+    docs = spark.createDataFrame([(*r, "x", 5, "y") for r in rows], "doc_id long, text string, matches string, n_words int, label string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_words, len(r.matches)) for r in license_scan.scan(docs).collect())
+    assert got == [(0, 0, 0), (0, 2, 1), (1, 0, 0), (1, 0, 0), (1, 2, 1), (2, 60_000, 30_000)]
+
+
 def test_license_scan(docs, rows, empty):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
