@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundflow.functions.ranks import exact_percentiles
@@ -48,8 +48,8 @@ def config_ratios(boxes: DataFrame, config: str, baseline: str, threshold: float
     """What each configuration finds in a frame, as a multiple of the baseline's boxes there; frames without any of the
     baseline's are left out."""
     counts = config_counts(boxes, config, threshold, streams)
-    base = counts.where(F.col(config) == baseline).select(*streams, "frame_idx", F.col("n").alias("n_base"))
-    return counts.join(base, [*streams, "frame_idx"]).withColumn("ratio", F.col("n") / F.col("n_base"))
+    base = F.max(F.when(F.col(config) == baseline, F.col("n"))).over(Window.partitionBy(*streams, "frame_idx"))  # a row a configuration
+    return counts.withColumn("n_base", base).where("n_base is not null").withColumn("ratio", F.col("n") / F.col("n_base"))
 
 
 def mean_ratios(ratios: DataFrame, config: str) -> DataFrame:

@@ -103,9 +103,10 @@ def height_fit_residuals(spark, d):
     return found.select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("residual_std", 4).alias("residual_std"))
 
 
-_NMS = R._SQL["cross_tile_nms"].replace("frame_idx, class_id", "frame_idx, class_id, tile_source").replace("r.frame_idx, r.class_id", "r.frame_idx, r.class_id, r.tile_source").replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)")
-_HEAD, _TAIL = _NMS.rsplit("SELECT r.frame_idx", 1)
-_LEFT = f"{_HEAD}, kept_boxes AS (SELECT r.frame_idx{_TAIL}), per AS (SELECT frame_idx, tile_source, count(*) AS n FROM kept_boxes GROUP BY 1, 2), ratios AS (SELECT p.frame_idx, p.tile_source, p.n, b.n AS n_base, p.n / b.n::DOUBLE AS ratio FROM per p JOIN per b ON p.frame_idx = b.frame_idx AND b.tile_source = 'untiled') "
+_LEFT = (
+    R.kept_boxes_sql("frame_idx", "class_id", "tile_source")
+    + ", per AS (SELECT frame_idx, tile_source, count(*) AS n FROM kept_boxes GROUP BY 1, 2), ratios AS (SELECT p.frame_idx, p.tile_source, p.n, b.n AS n_base, p.n / b.n::DOUBLE AS ratio FROM per p JOIN per b ON p.frame_idx = b.frame_idx AND b.tile_source = 'untiled') "
+)
 
 
 @query(sql=_LEFT + "SELECT * FROM ratios")

@@ -363,18 +363,24 @@ def tile_assignment(spark, d):
     return E.to_tiles(detections(spark, d), 3840, 2160).groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"))
 
 
-@query("det", sql="")
-def cross_tile_nms(spark, d):
-    return E.suppress(detections(spark, d), 0.3).select("frame_idx", "class_id", "conf", *E.BOX)
+_OVER = "greatest(0, least(a.x2, boxes[k+1].x2) - greatest(a.x1, boxes[k+1].x1)) * greatest(0, least(a.y2, boxes[k+1].y2) - greatest(a.y1, boxes[k+1].y1))"
+
+
+def kept_boxes_sql(*keys: str) -> str:
+    """Boxes of each group of keys that greedy suppression keeps, as kept_boxes."""
+    by, next_box = ", ".join(keys), "boxes[k+1]"
+    size = lambda b: f"({b}.x2-{b}.x1)*({b}.y2-{b}.y1)"
+    return f"""WITH RECURSIVE {SQL['det']},
+g AS (SELECT {by}, list({{'conf': conf, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY conf DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS boxes, count(*) AS n FROM det GROUP BY {by}),
+r AS (SELECT {by}, boxes, n, 1::BIGINT AS k, boxes[1:1] AS kept FROM g
+  UNION ALL SELECT {by}, boxes, n, k + 1, CASE WHEN len(list_filter(kept, lambda a: {_OVER} / ({size('a')} + {size(next_box)} - {_OVER}) > 0.3::DOUBLE)) > 0
+    THEN kept ELSE list_append(kept, {next_box}) END FROM r WHERE k < n),
+kept_boxes AS (SELECT {by}, u.b.conf AS conf, u.b.x1 AS x1, u.b.y1 AS y1, u.b.x2 AS x2, u.b.y2 AS y2 FROM r, LATERAL (SELECT unnest(kept) AS b) u WHERE k = n) """
 
 
-_SQL["cross_tile_nms"] = _with("det").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, g AS (SELECT frame_idx, class_id, list({'conf': conf, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY conf DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS boxes, count(*) AS n FROM det GROUP BY 1, 2),
-r AS (SELECT frame_idx, class_id, boxes, n, 1::BIGINT AS k, boxes[1:1] AS kept FROM g
-  UNION ALL SELECT frame_idx, class_id, boxes, n, k + 1, CASE WHEN len(list_filter(kept, lambda a:
-    greatest(0, least(a.x2, boxes[k+1].x2) - greatest(a.x1, boxes[k+1].x1)) * greatest(0, least(a.y2, boxes[k+1].y2) - greatest(a.y1, boxes[k+1].y1))
-    / ((a.x2-a.x1)*(a.y2-a.y1) + (boxes[k+1].x2-boxes[k+1].x1)*(boxes[k+1].y2-boxes[k+1].y1) - greatest(0, least(a.x2, boxes[k+1].x2) - greatest(a.x1, boxes[k+1].x1)) * greatest(0, least(a.y2, boxes[k+1].y2) - greatest(a.y1, boxes[k+1].y1))) > 0.3::DOUBLE)) > 0
-    THEN kept ELSE list_append(kept, boxes[k+1]) END FROM r WHERE k < n)
-SELECT r.frame_idx, r.class_id, u.b.conf AS conf, u.b.x1 AS x1, u.b.y1 AS y1, u.b.x2 AS x2, u.b.y2 AS y2 FROM r, LATERAL (SELECT unnest(kept) AS b) u WHERE r.k = r.n"""
+@query(sql=kept_boxes_sql("frame_idx", "class_id") + "SELECT * FROM kept_boxes")
+def cross_tile_nms(spark, d):
+    return E.suppress(detections(spark, d), 0.3).select("frame_idx", "class_id", "conf", *E.BOX)
 
 
 @query("det", sql="SELECT count(*) AS n, round(regr_slope(y2 - y1, y2), 6) AS slope, round(regr_intercept(y2 - y1, y2), 4) AS intercept, round(regr_r2(y2 - y1, y2), 6) AS r2 FROM det WHERE conf_pct >= 5 AND y2 < 2159")
@@ -418,17 +424,12 @@ def embedded_points(spark, d):
     return found.agg(F.count("*").alias("n"), F.count_if(G.in_polygon(QUAD, x, y)).alias("inside"))
 
 
-@query("det", sql="")
+@query(sql=kept_boxes_sql("frame_idx", "class_id") + """SELECT frame_idx, n_before, n_after, n_before - n_after AS n_suppressed FROM (SELECT frame_idx, count(*) AS n_before FROM det GROUP BY 1) b
+  JOIN (SELECT frame_idx, count(*) AS n_after FROM kept_boxes GROUP BY 1) a USING (frame_idx)""")
 def tile_counters(spark, d):
     return P.tile_counters(detections(spark, d), 0.3).withColumn("n_suppressed", F.col("n_before") - F.col("n_after"))
 
 
-_SQL["tile_counters"] = (
-    _SQL["cross_tile_nms"].replace("SELECT r.frame_idx, r.class_id, u.b.conf", ", after AS (SELECT r.frame_idx, r.class_id, u.b.conf", 1).rstrip()
-    + ") SELECT frame_idx, n_before, n_after, n_before - n_after AS n_suppressed FROM (SELECT frame_idx, count(*) AS n_before FROM det GROUP BY 1) b JOIN (SELECT frame_idx, count(*) AS n_after FROM after GROUP BY 1) a USING (frame_idx)"
-)
-
-
 @query("proj", sql="SELECT frame_idx, CAST(floor(world_x) AS BIGINT) AS ci, CAST(floor(world_y) AS BIGINT) AS cj, count(*) AS n FROM proj WHERE in_quad GROUP BY 1, 2, 3")
 def frame_cell_counts(spark, d):
     cell = lambda c: F.floor(F.col(f"world_{c}"))

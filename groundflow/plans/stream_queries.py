@@ -132,18 +132,16 @@ def stream_unmatched(spark, d):
     return E.unmatched(found.where("class_id = 0"), found.where("conf_pct >= 5"), STREAM).groupBy(*STREAM, "frame_idx").agg(F.count("*").alias("n"))
 
 
-_NMS = R._SQL["cross_tile_nms"].replace("frame_idx, class_id", "frame_idx, class_id, tile_source").replace("r.frame_idx, r.class_id", "r.frame_idx, r.class_id, r.tile_source").replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)")
-_HEAD, _TAIL = _NMS.rsplit("SELECT r.frame_idx", 1)
-_KEPT = f"{_HEAD}, stay AS (SELECT r.frame_idx{_TAIL}) "
+_KEPT = R.kept_boxes_sql("frame_idx", "class_id", "tile_source")
 
 
-@query(sql=_KEPT + "SELECT CASE WHEN tile_source = 'tiled' THEN 0 ELSE 1 END AS stream_id, frame_idx, class_id, conf, x1, y1, x2, y2 FROM stay")
+@query(sql=_KEPT + "SELECT CASE WHEN tile_source = 'tiled' THEN 0 ELSE 1 END AS stream_id, frame_idx, class_id, conf, x1, y1, x2, y2 FROM kept_boxes")
 def stream_nms(spark, d):
     return E.suppress(cameras(spark, d), 0.3, STREAM).select(*STREAM, "frame_idx", "class_id", "conf", *E.BOX)
 
 
 @query(sql=_KEPT + """SELECT stream_id, frame_idx, n_before, n_after FROM (SELECT CASE WHEN tile_source = 'tiled' THEN 0 ELSE 1 END AS stream_id, frame_idx, count(*) AS n_before FROM det GROUP BY 1, 2) b
-  JOIN (SELECT CASE WHEN tile_source = 'tiled' THEN 0 ELSE 1 END AS stream_id, frame_idx, count(*) AS n_after FROM stay GROUP BY 1, 2) a USING (stream_id, frame_idx)""")
+  JOIN (SELECT CASE WHEN tile_source = 'tiled' THEN 0 ELSE 1 END AS stream_id, frame_idx, count(*) AS n_after FROM kept_boxes GROUP BY 1, 2) a USING (stream_id, frame_idx)""")
 def stream_tile_counters(spark, d):
     return P.tile_counters(cameras(spark, d), 0.3, STREAM)
 
