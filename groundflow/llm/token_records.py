@@ -31,7 +31,7 @@ from .tokens import encoder, slices
 MASK_DELTA = 0xA282EAD8
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-_READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def masked_crc(data: bytes) -> int:
@@ -95,13 +95,13 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
                 fs, local = filesystem(f"{file['path']}.idx")
                 with fs.open_input_stream(local) as f:
                     index = np.frombuffer(f.read(), "<i8").reshape(-1, 4)
-                before, rows = 0, []
+                before, rows = file["before"], []
                 with fs.open_input_file(local[:-3] + "rec") as data:
                     for known, doc_id, offset, n in index.tolist():
                         record = data.read_at(16 + n * file["width"], offset)
                         payload, _ = unframe(record, 0)
                         wide = np.frombuffer(payload, f"<u{file['width']}").astype("<u4")
-                        rows.append((file["part"], doc_id if known else None, before, len(wide), zlib.crc32(wide.tobytes())))
+                        rows.append((doc_id if known else None, before, len(wide), zlib.crc32(wide.tobytes())))
                         before += n
                         if len(rows) >= 20_000:
                             yield record_batch(rows, _READ)
@@ -110,9 +110,8 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
                     yield record_batch(rows, _READ)
 
     n = max(1, manifest.count())
-    starts = manifest.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
-    records = manifest.repartition(n, "part").mapInArrow(read, "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long")
-    return records.join(starts, "part").select("doc_id", (F.col("before") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
+    placed = manifest.withColumn("before", F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens"))  # a row a file
+    return placed.repartition(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(path: str, index_rows: list[int]) -> list[np.ndarray]:
