@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundflow.plans import analysis_queries, registry, stream_queries
+from groundflow.plans import analysis_queries, registry, stream_queries, streamed_queries
 
-assert analysis_queries and stream_queries  # importing them registers their queries
+assert analysis_queries and stream_queries and streamed_queries  # importing them registers their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

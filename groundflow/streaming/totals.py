@@ -59,33 +59,46 @@ def totals_so_far(rows: DataFrame, counts: dict[str, Column], streams: list[str]
 
 
 class FirstSight(StatefulProcessor):
-    """A key's first row by event time, told once the watermark has passed it; what comes later tells nothing."""
+    """A key's first row by event time, told once the watermark has passed it; what comes later tells nothing. A key that was told and
+    not seen for `forget_ms` is forgotten."""
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+    def __init__(self, keys: list[str], forget_ms: int | None):
+        self.keys, self.forget_ms = keys, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.first = handle, handle.getValueState("first", "frame_idx long, at long, told boolean")
+        self.handle, self.first = handle, handle.getValueState("first", "frame_idx long, at long, told boolean, last long")
+
+    def _forget_at(self, last: int) -> int:
+        return _timer(last) + self.forget_ms
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.first.exists() and self.first.get()[2]:
-            return
         found = pd.concat(list(rows))
-        at = (found[AT].astype("datetime64[us]").astype("int64")).to_numpy()
-        frame = found["frame_idx"].to_numpy()
-        new = min(zip(at.tolist(), frame.tolist(), strict=True))
-        if self.first.exists():
-            old = (self.first.get()[1], self.first.get()[0])
-            if old <= new:
-                return
-            self.handle.deleteTimer(_timer(old[0]))
-        self.first.update((new[1], new[0], False))
-        self.handle.registerTimer(_timer(new[0]))
+        at = found[AT].astype("datetime64[us]").astype("int64").to_numpy()
+        new, last = min(zip(at.tolist(), found["frame_idx"].tolist(), strict=True)), int(at.max())
+        if not self.first.exists():
+            self.first.update((new[1], new[0], False, last))
+            self.handle.registerTimer(_timer(new[0]))
+        else:
+            frame, first, told, before = self.first.get()
+            if told:
+                if self.forget_ms and last > before:
+                    self.handle.deleteTimer(self._forget_at(before))
+                    self.handle.registerTimer(self._forget_at(last))
+            elif new < (first, frame):
+                self.handle.deleteTimer(_timer(first))
+                self.handle.registerTimer(_timer(new[0]))
+                first, frame = new
+            self.first.update((frame, first, told, max(last, before)))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame, at, _ = self.first.get()
-        self.first.update((frame, at, True))
+        frame, at, told, last = self.first.get()
+        if told:
+            self.first.clear()
+            return
+        self.first.update((frame, at, True, last))
+        if self.forget_ms:
+            self.handle.registerTimer(self._forget_at(last))
         yield pd.DataFrame([(*key, frame, pd.Timestamp(at, unit="us"))], columns=[*self.keys, "frame_idx", AT])
 
     def close(self) -> None:
@@ -97,19 +110,22 @@ def _timer(micros: int) -> int:
     return -(-micros // 1000)
 
 
-def first_sightings(observations: DataFrame, streams: list[str]) -> DataFrame:
-    """The first frame of every track (streams, track_id, frame_idx, event_time). observations have a watermark. State is a small value
-    a track."""
+def first_sightings(observations: DataFrame, streams: list[str], forget: str | None = None) -> DataFrame:
+    """The first frame of every track (streams, track_id, frame_idx, event_time). observations have a watermark.
+
+    State is a small value a track, as long as the stream runs; with `forget` a track that was not seen for so long by event time leaves
+    it, and counts anew if it comes back."""
     keyed_state(observations.sparkSession)
     keys = [*streams, "track_id"]
     rows = observations.select(*keys, "frame_idx", AT)
-    return rows.groupBy(*keys).transformWithStateInPandas(FirstSight(keys), StructType(list(rows.schema)), "Append", "EventTime", eventTimeColumnName=AT)
+    processor = FirstSight(keys, int(pd.Timedelta(forget).total_seconds() * 1000) if forget else None)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, StructType(list(rows.schema)), "Append", "EventTime", eventTimeColumnName=AT)
 
 
-def ids_so_far(observations: DataFrame, frames: DataFrame, streams: list[str]) -> DataFrame:
+def ids_so_far(observations: DataFrame, frames: DataFrame, streams: list[str], forget: str | None = None) -> DataFrame:
     """For each frame (streams, frame_idx, event_time): new_ids, tracks seen for the first time, and new_ids_so_far. Both inputs have a
     watermark."""
-    seen = first_sightings(observations, streams).select(*streams, "frame_idx", AT, F.lit(1).alias("new"))
+    seen = first_sightings(observations, streams, forget).select(*streams, "frame_idx", AT, F.lit(1).alias("new"))
     spine = frames.select(*streams, "frame_idx", AT, F.lit(0).alias("new"))
     return totals_so_far(spine.unionByName(seen), {"new_ids": F.sum("new")}, streams)
 

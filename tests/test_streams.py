@@ -173,3 +173,17 @@ def test_unmatched_boxes_equal_batch(spark, tmp_path):
     got = feed.found().where("stream_id <> 'end'").groupBy("frame_idx", *E.BOX).count()
     want = E.unmatched(candidates, reference, ONE).groupBy("frame_idx", *E.BOX).count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 100
+
+
+def test_forgotten_tracks_count_anew(spark, tmp_path):
+    """With a limit, a track that was away for longer is a new one; one that was not is still known."""
+    times = {0: [0, 1, 2], 1: [0, 50, 90, 130], 2: [100, 300]}
+    rows = spark.createDataFrame([("a", k, t, float(t)) for k, ts in times.items() for t in ts], "stream_id string, track_id long, frame_idx long, t_sec double")
+    feed = Feed(spark, tmp_path, rows.schema, lambda s: Q.first_sightings(Q.with_event_time(s, "1 second"), ONE, "60 seconds"))
+    for k, (low, high) in enumerate([(0, 3), (3, 60), (60, 120), (120, 200), (200, 400)]):
+        feed.arrive(rows.where((F.col("frame_idx") >= low) & (F.col("frame_idx") < high)), f"p{k}")
+        feed.go()
+    feed.arrive(closing(rows), "end")
+    feed.go()
+    got = sorted((r.track_id, r.frame_idx) for r in feed.found().where("stream_id <> 'end'").collect())
+    assert got == [(0, 0), (1, 0), (2, 100), (2, 300)]
