@@ -31,7 +31,14 @@ def kept(rows: DataFrame, what: str, apart: list[str] | None = None) -> DataFram
 def forget(*tables: DataFrame) -> None:
     """Delete the kept tables that these read. They, and what was made from them, can't be read any more."""
     spark = tables[0].sparkSession
-    found = {file.split("/_", 1)[0].rsplit("/", 1)[0] if "/_" in file else file.rsplit("/", 1)[0] for df in tables for file in df.inputFiles()}
-    for path in found:
+    for path in {_folder(file) for df in tables for file in df.inputFiles()}:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _folder(file: str) -> str:
+    """A table's own folder: above its file, and above folders of a value each."""
+    path = file.rsplit("/", 1)[0]
+    while "=" in path.rsplit("/", 1)[1]:
+        path = path.rsplit("/", 1)[0]
+    return path

@@ -147,6 +147,22 @@ def test_states_that_do_not_agree():
         K.track(None, overlap=20)
 
 
+def test_kept_tables_are_forgotten_alone(spark):
+    """What a result reads is deleted, and nothing beside it."""
+    from groundflow.sources.kept import _folder, forget, kept
+
+    beside = kept(spark.range(5).selectExpr("id", "id % 2 AS odd"), "beside", ["odd"])
+    found = K.track(spark.createDataFrame(crowd(300, agents=2), BOXES), block_frames=100, overlap=50)
+    folders = {_folder(f) for f in found.inputFiles()}
+    assert len(folders) >= 2 and not any("=" in f for f in folders)
+    forget(found)
+    base = next(iter(folders)).rsplit("/", 1)[0].removeprefix("file:")
+    import os
+
+    assert os.path.isdir(base) and not any(os.path.exists(f.removeprefix("file:")) for f in folders) and beside.count() == 5
+    assert _folder("file:/a/_b=c/t-1/_kind=0/x=2/part.parquet") == "file:/a/_b=c/t-1"
+
+
 def test_tracking_edge_cases(spark):
     assert K.track(spark.createDataFrame([], BOXES)).count() == 0
     rows = [("a", 0, 1, None, 0.0, 0.0, 1.0, 1.0), ("a", 0, 2, 0.9, 5.0, 5.0, 5.0, 5.0), ("a", 0, 2, 0.9, 5.0, 5.0, 5.0, 5.0)]
