@@ -8,7 +8,7 @@ proportion to the weights' exponentials.
 
 Within each partition DuckDB cuts a slice of the texts into words, numbers them, makes n-grams by windows and
 counts buckets with zlib's CRC-32 as a registered function. A document's counts, and each task's totals, are spilled to Parquet in the
-shared folder; Spark's own writer does that, so that a lost task leaves nothing behind. Spark adds the totals up (a row a
+shared folder (a text that is longer than a slice piece by piece); Spark's own writer does that, so that a lost task leaves nothing behind. Spark adds the totals up (a row a
 bucket comes to the driver, `buckets` at most), scores the spilled counts and ranks: rows are sorted by ranges of score, and
 a row's rank is its place in its range behind the ranges before. DuckDB has one thread and bounded memory in a task and
 spills to the task's own temporary folder, which it deletes.
@@ -21,6 +21,7 @@ documents come back; `text` doesn't, and columns named as the result's own give
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import zlib
@@ -28,19 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import keep, settled, table
+from .common import keep, settled, table, words_of
 
 #: Bytes of text that DuckDB takes at once, and the memory that it may take.
-SLICE_BYTES, DUCKDB_MEMORY = 1 << 20, "160MB"
+SLICE_BYTES, DUCKDB_MEMORY = 1 << 19, "96MB"
 OWN = ["n_words", "n_features", "weight", "score", "rank"]
-#: Working columns: counts of a document or of a task (then _total), by bucket.
-SPILL = "_n_words long, _buckets array<int>, _counts array<long>, _total boolean"
-_SPILL = {"_n_words": pa.int64(), "_buckets": pa.list_(pa.int32()), "_counts": pa.list_(pa.int64()), "_total": pa.bool_()}
+#: Working columns: a document's words, buckets and their counts, packed (see packed); or a task's totals by bucket.
+SPILL = "_n_words long, _buckets binary, _counts binary, _totals array<long>"
+_SPILL = {"_n_words": pa.int64(), "_buckets": pa.binary(), "_counts": pa.binary(), "_totals": pa.list_(pa.int64())}
 
+#: A character that no word holds.
+BORDER = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 #: Words are the runs of digits, lower-case letters and all that is not ASCII, once A-Z are in lower case.
 WORDS = """CREATE TEMP TABLE words AS
 SELECT r, i, w FROM (SELECT r, unnest(found) AS w, generate_subscripts(found, 1) AS i FROM
@@ -80,10 +84,10 @@ class Counter:
         data = memoryview(found.buffers()[2] or b"")
         return pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.int64())
 
-    def count(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """For each text its number of words, and its buckets with their counts."""
         db = self.db
-        db.register("slice", pa.table({"r": pa.array(range(len(texts)), pa.int32()), "text": pa.array(texts, pa.string())}))
+        db.register("slice", pa.table({"r": pa.array(range(len(texts)), pa.int32()), "text": texts}))
         db.execute(WORDS)
         db.unregister("slice")
         sized = db.execute("SELECT r, count(*) AS n FROM words GROUP BY r").fetchnumpy()
@@ -97,27 +101,67 @@ class Counter:
         ends = np.cumsum(np.bincount(found["r"], minlength=len(texts))) if len(texts) else np.zeros(0, int)
         return n_words, np.split(found["bucket"].astype(np.int32), ends[:-1]), np.split(found["n"].astype(np.int64), ends[:-1])
 
+    def count_long(self, text: str, piece: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """As count, for one text of any length, piece by piece. A piece ends where a word ends, and begins with the last words of the
+        one before, whose own n-grams are taken off again."""
+        n_words, total, start, before = 0, np.zeros(self.buckets, np.int64), 0, ""
+        while start < len(text):
+            border = BORDER.search(text, start + piece)
+            end = border.start() if border else len(text)
+            now = f"{before} {text[start:end]}"
+            n, buckets, counts = self.count(pa.array([now, before]))
+            n_words += int(n[0] - n[1])
+            for sign, k in ((1, 0), (-1, 1)):
+                total[buckets[k]] += sign * counts[k]
+            before = b" ".join(words_of(now)[-(self.most - 1) :]).decode("utf-8", "surrogatepass") if self.most > 1 else ""
+            start = end
+        full = np.flatnonzero(total)
+        return np.array([n_words]), [full.astype(np.int32)], [total[full]]
+
     def close(self) -> None:
         self.db.close()
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of texts of bounded size; a text that is larger is a run of its own."""
     start, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t) + 64
+    for k, n in enumerate(sizes.tolist()):
+        if n > SLICE_BYTES and start < k:
+            yield start, k
+            start, size = k, 0
+        size += n + 64
         if size >= SLICE_BYTES:
             yield start, k + 1
             start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs: 2, 4 or 8."""
+    most = int(values.max(initial=0))
+    return values.astype("<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
+
+
+def unpacked(column: pa.Array, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' packed numbers, and how many each row has: told by sizes, else 2 bytes each."""
+    n_bytes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    sizes = n_bytes // 2 if sizes is None else sizes
+    width = n_bytes // np.maximum(sizes, 1)
+    if (width <= 2).all():  # as nearly always
+        start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+        return np.frombuffer(column.buffers()[2] or b"", "<u2", int(sizes.sum()), int(start)).astype(np.int64), sizes
+    rows = [np.frombuffer(x, f"<u{w}").astype(np.int64) for x, w in zip(column.to_pylist(), np.maximum(width, 2).tolist(), strict=True)]
+    return np.concatenate(rows), sizes
 
 
 def spilled_counts(texts: DataFrame, what: str, most: int = 2, buckets: int = 10_000, rows: bool = True) -> DataFrame:
-    """texts (text, ...) without text but with their bucket counts, and a row of totals (_total) for each task, in the shared folder.
+    """texts (text, ...) without text but with their bucket counts, and a row of totals for each task, in the shared folder.
 
     Without `rows` only the totals."""
+    if buckets > 1 << 16:
+        raise ValueError("buckets are numbered in 2 bytes")
     rest = [f for f in texts.schema if f.name != "text"]
     schema = StructType([*rest, *StructType.fromDDL(SPILL)])
 
@@ -126,18 +170,20 @@ def spilled_counts(texts: DataFrame, what: str, most: int = 2, buckets: int = 10
         try:
             for batch in batches:
                 names = batch.schema
-                texts = [x or "" for x in batch.column(len(rest)).to_pylist()]
-                for a, b in _slices(texts):
-                    n_words, at, n = counter.count(texts[a:b])
+                texts = batch.column(len(rest))
+                texts = pc.fill_null(texts, "") if texts.null_count else texts
+                sizes = pc.binary_length(texts).to_numpy()
+                for a, b in _slices(sizes):
+                    long = b == a + 1 and sizes[a] > SLICE_BYTES
+                    n_words, at, n = counter.count_long(texts[a].as_py(), SLICE_BYTES) if long else counter.count(texts.slice(a, b - a))
                     np.add.at(total, np.concatenate(at), np.concatenate(n))
                     if rows:
-                        own = [pa.array(n_words), pa.array(at, _SPILL["_buckets"]), pa.array(n, _SPILL["_counts"]), pa.array([False] * (b - a))]
+                        own = [pa.array(n_words), pa.array(map(packed, at), pa.binary()), pa.array(map(packed, n), pa.binary()), pa.nulls(b - a, _SPILL["_totals"])]
                         yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(rest)]), *own], names=[*names.names[: len(rest)], *_SPILL])
         finally:
             counter.close()
         if names is not None:
-            full = np.flatnonzero(total)
-            own = [pa.array([None], pa.int64()), pa.array([full.astype(np.int32)], _SPILL["_buckets"]), pa.array([total[full]], _SPILL["_counts"]), pa.array([True])]
+            own = [*(pa.nulls(1, _SPILL[c]) for c in ("_n_words", "_buckets", "_counts")), pa.array([total], _SPILL["_totals"])]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, names.field(k).type) for k in range(len(rest))), *own], names=[*names.names[: len(rest)], *_SPILL])
 
     return keep(texts.select(*[f.name for f in rest], "text").mapInArrow(run, schema), what)
@@ -145,10 +191,10 @@ def spilled_counts(texts: DataFrame, what: str, most: int = 2, buckets: int = 10
 
 def bucket_totals(spilled: DataFrame, buckets: int) -> np.ndarray:
     """Occurrences by bucket: as many rows as there are buckets come to the driver, at most."""
-    each = spilled.where("_total").select(F.explode(F.arrays_zip("_buckets", "_counts")).alias("z"))
+    each = spilled.where("_totals is not null").select(F.posexplode("_totals").alias("bucket", "n"))
     found = np.zeros(buckets, np.int64)
-    for r in each.groupBy("z._buckets").agg(F.sum("z._counts").alias("n")).collect():
-        found[r[0]] = r[1]
+    for r in each.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        found[r["bucket"]] = r["n"]
     return found
 
 
@@ -165,15 +211,16 @@ def weighted(spilled: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, buckets, counts = (batch.column(len(rest) + k) for k in range(3))
-            n, sizes = counts.flatten().to_numpy(), np.diff(counts.offsets.to_numpy())
+            buckets, sizes = unpacked(batch.column(len(rest) + 1))
+            n, _ = unpacked(batch.column(len(rest) + 2), sizes)
             row = np.repeat(np.arange(batch.num_rows), sizes)
             features, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             np.add.at(features, row, n)
-            np.add.at(total, row, n * gain[buckets.flatten().to_numpy()])
+            np.add.at(total, row, n * gain[buckets])
+            n_words = batch.column(len(rest))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], n_words, pa.array(features), pa.array(total // np.maximum(features, 1))], names=[*rest, "n_words", "n_features", "weight"])
 
-    return spilled.where("not _total").select(*rest, "_n_words", "_buckets", "_counts").mapInArrow(run, schema)
+    return spilled.where("_totals is null").select(*rest, "_n_words", "_buckets", "_counts").mapInArrow(run, schema)
 
 
 def with_score(documents: DataFrame, seed: int = 7) -> DataFrame:

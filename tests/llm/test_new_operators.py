@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,9 +277,32 @@ def test_resampling_without_rows_or_target(spark, odd):
     assert all(r[4] for r in got)
 
 
+def test_a_very_long_text_fits():
+    """Three million words of one document, in the memory that DuckDB is given."""
+    counter = importance.Counter(2, 10_000)
+    n_words, buckets, counts = counter.count_long("some word " * 1_500_000, importance.SLICE_BYTES)
+    counter.close()
+    want = {zlib.crc32(f.encode()) % 10_000: n for f, n in (("some", 1_500_000), ("word", 1_500_000), ("some word", 1_500_000), ("word some", 1_499_999))}
+    assert n_words.tolist() == [3_000_000] and dict(zip(buckets[0].tolist(), counts[0].tolist(), strict=True)) == want
+
+
+def test_packed_numbers():
+    rows = [np.array([1, 65_535]), np.zeros(0, np.int64), np.array([70_000, 3, 4]), np.array([1 << 40]), np.array([5])]
+    for some in (rows, rows[:2], rows[1:2]):
+        column = pa.array([importance.packed(r) for r in [np.array([9]), *some]], pa.binary()).slice(1)
+        got, sizes = importance.unpacked(column, np.array([len(r) for r in some]))
+        assert got.tolist() == np.concatenate(some).tolist() and sizes.tolist() == [len(r) for r in some]
+    got, sizes = importance.unpacked(pa.array([importance.packed(r) for r in rows[:2]], pa.binary()))
+    assert got.tolist() == [1, 65_535] and sizes.tolist() == [2, 0]
+
+
 def test_longer_grams():
     counter = importance.Counter(3, 1000)
-    n_words, buckets, counts = counter.count(["a b c a b c", "one", "", "two words"])
+    n_words, buckets, counts = counter.count(pa.array(["a b c a b c", "one", "", "two words"]))
+    text = "É a\x00b, c' 12 " * 40 + "x" * 50 + "..." + "y z " * 30
+    whole = counter.count(pa.array([text]))
+    for piece in (1, 7, 60, 5000):
+        assert all(np.array_equal(a, b) for x, y in zip(whole, counter.count_long(text, piece), strict=True) for a, b in zip(x, y, strict=True))
     counter.close()
     want = Counter(zlib.crc32(" ".join(p).encode()) % 1000 for n in (1, 2, 3) for p in zip(*("a b c a b c".split()[k:] for k in range(n)), strict=False))
     assert n_words.tolist() == [6, 1, 0, 2] and dict(zip(buckets[0].tolist(), counts[0].tolist(), strict=True)) == want and [int(c.sum()) for c in counts] == [15, 1, 0, 3]
