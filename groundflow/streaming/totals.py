@@ -80,7 +80,11 @@ class FirstSight(StatefulProcessor):
             self.handle.registerTimer(_timer(new[0]))
         else:
             frame, first, told, before = self.first.get()
-            if told:
+            if told and self.forget_ms and new[0] - before > self.forget_ms * 1000:  # away for too long, though its timer is still to come
+                self.handle.deleteTimer(self._forget_at(before))
+                self.handle.registerTimer(_timer(new[0]))
+                frame, first, told = new[1], new[0], False
+            elif told:
                 if self.forget_ms and last > before:
                     self.handle.deleteTimer(self._forget_at(before))
                     self.handle.registerTimer(self._forget_at(last))
