@@ -459,9 +459,16 @@ WALKERS = """SELECT c_nationkey AS stream_id, c_custkey AS agent_id, c_custkey %
 NOISE = Y.Noise(seed=7)
 
 
+def walker_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's 40 steps. Few tasks read a file of customers, so these are dealt out before they are multiplied; with a number
+    given, parts stay apart though they are small by then."""
+    people = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return people.repartition(parts, "c_custkey").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
+
+
 def synthetic(spark: SparkSession, d: str) -> DataFrame:
-    steps = spark.read.parquet(f"{d}/customer.parquet").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    walkers = spark.sql(WALKERS + " FROM {steps}", steps=steps)
+    walkers = spark.sql(WALKERS + " FROM {steps}", steps=walker_steps(spark, d))
     spine = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("stream_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(339).cast("long"))).alias("frame_idx"))
     return Y.detect(walkers, spine, H_INV, 3840, 2160, NOISE)
 

@@ -34,8 +34,7 @@ WORLD_1 = [(0.0, 0.0), (8.0, 0.0), (8.0, 20.0), (0.0, 20.0)]
 
 
 def walkers(spark: SparkSession, d: str) -> DataFrame:
-    steps = spark.read.parquet(f"{d}/customer.parquet").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    return spark.sql(f"{_WALK} ({R.WALKERS} FROM {{steps}}) q", steps=steps)
+    return spark.sql(f"{_WALK} ({R.WALKERS} FROM {{steps}}) q", steps=R.walker_steps(spark, d))
 
 
 def walker_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +156,7 @@ def stream_stacked_pairs(spark, d):
 @query(sql=f"""SELECT b.stream_id, b.frame_idx, b.truth_agent_id, b.det_id, b.conf, w.x_world AS truth_x, w.y_world AS truth_y FROM ({R._SYNTHETIC}) b
   LEFT JOIN ({R.WALKERS} FROM customer, (SELECT range AS k FROM range(40)) s) w ON b.stream_id = w.stream_id AND b.frame_idx = w.frame_idx AND b.truth_agent_id = w.agent_id""")
 def boxes_with_truth(spark, d):
-    steps = spark.read.parquet(f"{d}/customer.parquet").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    truth = spark.sql(R.WALKERS + " FROM {steps}", steps=steps).withColumnRenamed("frame_idx", "frame_id")
+    truth = spark.sql(R.WALKERS + " FROM {steps}", steps=R.walker_steps(spark, d)).withColumnRenamed("frame_idx", "frame_id")
     found = E.with_truth(R.synthetic(spark, d), truth, STREAM)
     return found.select("stream_id", "frame_idx", F.col("truth_agent_id").cast("long"), "det_id", F.round("conf", 5).alias("conf"), "truth_x", "truth_y")
 
