@@ -100,10 +100,13 @@ def unmatched(candidates: DataFrame, reference: DataFrame, streams: list[str] |
 
 def with_truth(boxes: DataFrame, truth: DataFrame, streams: list[str] | None = None) -> DataFrame:
     """Each box with its person's known position (null for false boxes). boxes: frame_idx, truth_agent_id; truth: frame_id,
-    agent_id, x_world, y_world."""
+    agent_id, x_world, y_world.
+
+    Both are tables of a row a person and frame. Their sizes are told wrongly where they are multiplied out of a small table, so the
+    join is a merge in any case and never a broadcast of the truth."""
     by = streams or []
     known = truth.select(*by, F.col("frame_id").alias("frame_idx"), F.col("agent_id").alias("truth_agent_id"), F.col("x_world").alias("truth_x"), F.col("y_world").alias("truth_y"))
-    return boxes.join(known, [*by, "frame_idx", "truth_agent_id"], "left")
+    return boxes.join(known.hint("merge"), [*by, "frame_idx", "truth_agent_id"], "left")
 
 
 @dataclass(frozen=True)
