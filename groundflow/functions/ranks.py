@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 #: Entries of the sketch that brackets a rank; its answers lie within 1/ACCURACY of the rank asked for.
 ACCURACY = 10_000
 
+#: Parts that a group's values are dealt into, by the value.
+PARTS = 16
+
 
 def exact_percentiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row a group of `by`: p0, p1, ... for the shares, with linear interpolation between the two nearest values.
 
     The rows are read twice. A mergeable sketch first gives two values that enclose each rank; then the rows below are
-    counted, and only values between the two (a few ten-thousandths of all) are grouped and walked in order. Should a
+    counted, each value once, and only values between the two (a few ten-thousandths of all) are walked in order. Should a
     sketch ever be further off than it promises, the query fails and does not answer wrongly. Nulls are left out; a
     group without values or with a null key has no row; without `by` there is one row, of nulls if there are no values."""
     if not by:
@@ -35,12 +38,17 @@ def exact_percentiles(rows: DataFrame, value: str, shares: Sequence[float], by:
         )
         for k, s in enumerate(shares)
     ])).alias("k", "w")).select(*by, "k", "w.*")
-    # a group's ranks travel as one array, so that a row is not multiplied before most of its copies can go
+    # a group's ranks travel as one array, so that a value is not multiplied before most of its copies can go
     ranks = wanted.groupBy(*by).agg(F.collect_list(F.struct("k", "rank", "low", "high")).alias("ranks"))
-    met = held.join(F.broadcast(ranks) if by == ["all"] else ranks, by)  # one row, or as many as there are groups
-    placed = met.where("v is not null").select(*by, "v", F.explode("ranks").alias("r"))
-    near = placed.where(F.col("v") <= F.col("r.high")).select(*by, F.col("r.k").alias("k"), F.col("r.rank").alias("rank"), F.when(F.col("v") >= F.col("r.low"), F.col("v")).alias("v"))
-    counts = near.groupBy(*by, "k", "rank", "v").agg(F.count("*").alias("n"))  # v null: the rows below the bracket
+    values = held.where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    if by == ["all"]:
+        met = values.join(F.broadcast(ranks), by)  # one row
+    else:  # few groups may hold all rows, so each meets its ranks in several parts
+        ranks = ranks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        met = values.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")).join(ranks, [*by, "_part"])
+    placed = met.select(*by, "v", "n", F.explode("ranks").alias("r"))
+    near = placed.where(F.col("v") <= F.col("r.high")).select(*by, F.col("r.k").alias("k"), F.col("r.rank").alias("rank"), F.when(F.col("v") >= F.col("r.low"), F.col("v")).alias("v"), "n")
+    counts = near.groupBy(*by, "k", "rank", "v").agg(F.sum("n").alias("n"))  # v null: the rows below the bracket
     upto = F.sum("n").over(Window.partitionBy(*by, "k", "rank").orderBy(F.col("v").asc_nulls_first()))
     steps = counts.withColumn("upto", upto).where("v is not null").withColumn("first", F.col("upto") - F.col("n"))
     at = lambda whole: F.max(F.when((F.col("first") <= whole) & (whole < F.col("upto")), F.col("v")))

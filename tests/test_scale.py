@@ -1,7 +1,9 @@
 """What grows with the input is shared out: plans and tasks on small tables that are read by one task."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from groundflow.functions.ranks import exact_percentiles
 from groundflow.operators import detections as E
 from groundflow.plans import registry
 
@@ -30,3 +32,23 @@ def test_truth_is_not_broadcast_whole(spark):
     boxes = spark.range(10).selectExpr("id AS frame_idx", "id AS truth_agent_id")
     plan = plan_of(E.with_truth(boxes, truth))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rows_of_few_cameras_stay_where_they_are(spark):
+    """Calibrations go to the rows: by stream, all rows would meet in as many tasks as there are cameras."""
+    from groundflow.plans import stream_queries as Q
+
+    plan = plan_of(E.project_each(Q.cameras(spark, SF), Q.calibrations(spark), Q.STREAM))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_percentiles_of_few_groups_are_shared_out(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.range(0, 30_000, 1, 4).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(9_000)).cast("double").alias("v"))
+    found = exact_percentiles(rows, "v", [0.0, 0.25, 0.5, 1.0], ["g"])
+    joins = [line for line in plan_of(found).splitlines() if "SortMergeJoin" in line]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert joins and all("_part" in line for line in joins)
+    want = {g: [float(np.quantile(np.array(v), s)) for s in (0.0, 0.25, 0.5, 1.0)] for g, v in rows.groupBy("g").agg(F.collect_list("v")).collect()}
+    assert {r.g: [r.p0, r.p1, r.p2, r.p3] for r in found.collect()} == want
