@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundflow.functions.geometry import foot_point, in_polygon, in_polygon_once, in_quad_of_edges, quad_edges, rounded_quad, to_ground
-from groundflow.sources.kept import forget, kept
+from groundflow.sources.kept import forget, kept, to_all
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -44,12 +44,12 @@ def project_inside(detections: DataFrame, h: list[list[float]], quad: list) -> D
 def project_each(detections: DataFrame, calibrations: DataFrame, streams: list[str]) -> DataFrame:
     """As project, with each stream's own quad and matrix. calibrations: streams, H, image_points (four corners), one row a stream.
 
-    Detections of a stream without calibration are outside. The calibrations' size decides how the join is done; what the test
-    of a quad needs is worked out there, once a stream."""
+    Detections of a stream without calibration are outside. Few calibrations are broadcast, as a shuffle by stream would put all rows of a
+    stream into one task; what the test of a quad needs is worked out there, once a stream."""
     fx, fy = foot_point()
     wanted = quad_edges(F.col("image_points")) | {f"_h{r}{c}": F.col("H")[r][c] for r in range(3) for c in range(3)}
     known = calibrations.select(*streams, *[c.alias(n) for n, c in wanted.items()])
-    wide = detections.withColumns({"foot_x": fx, "foot_y": fy}).join(known, streams, "left")
+    wide = detections.withColumns({"foot_x": fx, "foot_y": fy}).join(to_all(known), streams, "left")
     x, y = F.col("foot_x"), F.col("foot_y")
     line = lambda r: F.col(f"_h{r}0") * x + F.col(f"_h{r}1") * y + F.col(f"_h{r}2")
     world = {f"world_{axis}": F.when(F.col("in_quad"), F.try_divide(line(r), line(2))) for r, axis in enumerate("xy")}

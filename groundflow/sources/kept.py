@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
@@ -28,6 +29,15 @@ def kept(rows: DataFrame, what: str, apart: list[str] | None = None) -> DataFram
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be sent to every executor (some 20 MB).
+BROADCAST_ROWS = 100_000
+
+
+def to_all(few: DataFrame) -> DataFrame:
+    """few, for a join that leaves the other side's rows where they are; with more rows than BROADCAST_ROWS as it is."""
+    return F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the kept tables that these read. They, and what was made from them, can't be read any more."""
     spark = tables[0].sparkSession
