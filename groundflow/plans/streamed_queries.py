@@ -24,7 +24,8 @@ from groundflow.streaming import totals as Q
 ONE = ["stream_id"]
 #: Seconds later than any of the tables'.
 END = 4_000_000_000.0
-STATE_PARTS = 4
+#: Rows that a micro-batch of a join takes; what it holds is forgotten once the watermark has passed it.
+SLICE_ROWS = 4_000_000
 
 
 def parts(rows: DataFrame, edges: list[int]) -> list[DataFrame]:
@@ -33,6 +34,19 @@ def parts(rows: DataFrame, edges: list[int]) -> list[DataFrame]:
     return [rows.where(at < edges[0]), *[rows.where((at >= a) & (at < b)) for a, b in zip(edges, edges[1:], strict=False)], rows.where(at >= edges[-1])]
 
 
+def slices(rows: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """rows, cut between frames into tables of about `most` rows at most, in order. They are written once, a folder each."""
+    n = -(-rows.count() // (most or SLICE_ROWS))
+    if n <= 1:
+        return [rows]
+    low, found = rows.agg(F.min("frame_idx"), F.percentile_approx("frame_idx", [k / n for k in range(1, n)], 100 * n)).first()
+    edges = sorted(set(found) - {low})
+    placed = rows.withColumn("_slice", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("frame_idx"))) if edges else F.lit(0))
+    path = shared_folder(rows.sparkSession, "slices")
+    placed.write.partitionBy("_slice").parquet(path)
+    return [rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/_slice={k}") for k in range(len(edges) + 1)]
+
+
 def closing(rows: DataFrame, later: float = 0.0) -> DataFrame:
     return rows.limit(1).withColumns({"stream_id": F.lit("end"), "t_sec": F.lit(END + later), "frame_idx": F.lit(10**9).cast("long")}).select(rows.columns)
 
@@ -40,9 +54,9 @@ def closing(rows: DataFrame, later: float = 0.0) -> DataFrame:
 def through(spark: SparkSession, arriving: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append", start: Callable | None = None) -> tuple[DataFrame | None, str]:
     """What the query make(stream) tells, with the number of the micro-batch; and its folder. `start` starts a query with a sink of its own."""
     folder, out = shared_folder(spark, "stream"), None
-    # state is cut into as many parts as shuffles have, for good; what these tables need of it fits in a few
+    # state is cut into as many parts as shuffles have, for good: one for each core, so that all are busy and none waits for another
     held = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(held), STATE_PARTS)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(held), spark.sparkContext.defaultParallelism)))
     try:
         for k, rows in enumerate(arriving):
             rows.write.parquet(f"{folder}/in/p{k}")
@@ -115,7 +129,7 @@ def streamed_unmatched_boxes(spark, d):
         return Q.unmatched(timed.where("side = 'a'"), timed.where("side = 'b'"), ONE)
 
     ends = [closing(rows, later).withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).select(rows.columns) for later in (0.0, 100.0)]
-    found, _ = through(spark, [*parts(rows, [7500]), *ends], make)
+    found, _ = through(spark, [*(s for part in parts(rows, [7500]) for s in slices(part)), *ends], make)
     return found.where("stream_id <> 'end'").select("frame_idx", *E.BOX)
 
 
