@@ -56,8 +56,9 @@ class Gate(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         found = pd.concat(list(rows)).sort_values(["t_sec", "x", "y", *self.carried], na_position="first", kind="stable")
-        before = np.array([tuple(s) for s in self.held.get()], float).reshape(-1, 3)
-        n_accepted, n_rejected = self.counts.get() if self.counts.exists() else (0, 0)
+        counted = self.counts.get()  # every look at the state is a message, so a new track takes one
+        before = np.array([tuple(s) for s in self.held.get()] if counted else [], float).reshape(-1, 3)
+        n_accepted, n_rejected = counted or (0, 0)
         own = found[["t_sec", "x", "y"]].to_numpy(float)
         last = before[-1:]
         ok = gate(*np.concatenate((last, own)).T, self.max_speed)[len(last) :]
