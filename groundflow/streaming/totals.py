@@ -75,11 +75,14 @@ class FirstSight(StatefulProcessor):
         found = pd.concat(list(rows))
         at = found[AT].astype("datetime64[us]").astype("int64").to_numpy()
         new, last = min(zip(at.tolist(), found["frame_idx"].tolist(), strict=True)), int(at.max())
-        if not self.first.exists():
+        held = self.first.get()  # every look at the state is a message
+        if held is None:
             self.first.update((new[1], new[0], False, last))
             self.handle.registerTimer(_timer(new[0]))
+        elif held[2] and not self.forget_ms:
+            pass
         else:
-            frame, first, told, before = self.first.get()
+            frame, first, told, before = held
             if told and self.forget_ms and new[0] - before > self.forget_ms * 1000:  # away for too long, though its timer is still to come
                 self.handle.deleteTimer(self._forget_at(before))
                 self.handle.registerTimer(_timer(new[0]))
