@@ -53,24 +53,23 @@ def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str | N
     window of its stream is emptied before the frame of the same number, as density.rolling does between cuts (density.cut_at). Like
     a frame it is passed over if it comes later than a frame that it should stand before. State is the counts of the frames in the window."""
 
-    def cells(points: list) -> list[int]:
-        if points is None or not len(points):
-            return []
-        at = np.floor((np.array([(p["x"], p["y"]) for p in points], float) - (grid.x0, grid.y0)) / grid.cell).astype(int)
-        at = at[(at >= 0).all(axis=1) & (at[:, 0] < grid.n_cols) & (at[:, 1] < grid.n_rows)]
-        return (at[:, 1] * grid.n_cols + at[:, 0]).tolist()
+    # only the number of each point's cell goes on: a frame may have very many points
+    along = lambda p, c, start: (p[c] - F.lit(float(start))) / F.lit(float(grid.cell))
+    place = lambda p: F.floor(along(p, "y", grid.y0)).cast("int") * F.lit(grid.n_cols) + F.floor(along(p, "x", grid.x0)).cast("int")
+    on_grid = lambda p: (along(p, "x", grid.x0) >= 0) & (along(p, "x", grid.x0) < grid.n_cols) & (along(p, "y", grid.y0) >= 0) & (along(p, "y", grid.y0) < grid.n_rows)
+    cells = F.transform(F.filter("points", on_grid), place).alias("cells")
 
     def step(stream: str, rows: pd.DataFrame, held: tuple | None) -> tuple:
         times, sizes, places, last = (list(held[0]), list(held[1]), list(held[2]), held[3]) if held else ([], [], [], -1)
         total, out = np.bincount(places, minlength=grid.n_cols * grid.n_rows), []
         orders = rows["reset"].fillna(False).astype(bool)
-        for frame in rows[["frame_idx", "t_sec", "points"]].assign(order=orders).sort_values(["frame_idx", "order"], ascending=[True, False]).itertuples():
+        for frame in rows[["frame_idx", "t_sec", "cells"]].assign(order=orders).sort_values(["frame_idx", "order"], ascending=[True, False]).itertuples():
             if frame.frame_idx <= last:
                 continue
             if frame.order:
                 total[:], times, sizes, places = 0, [], [], []
                 continue
-            last, own = frame.frame_idx, cells(frame.points)
+            last, own = frame.frame_idx, [] if frame.cells is None else frame.cells.tolist()
             times.append(float(frame.t_sec))
             sizes.append(len(own))
             places += own
@@ -83,7 +82,7 @@ def rolling_density(frames: DataFrame, grid: Grid, seconds: float, idle: str | N
         return out, (times, sizes, places, int(last))
 
     reset = F.col("reset") if "reset" in frames.columns else F.lit(False)
-    return _keyed(frames.select("stream_id", "frame_idx", "t_sec", "points", reset.alias("reset")), GRID_OUT, "times array<double>, sizes array<int>, places array<int>, last long", step, idle)
+    return _keyed(frames.select("stream_id", "frame_idx", "t_sec", cells, reset.alias("reset")), GRID_OUT, "times array<double>, sizes array<int>, places array<int>, last long", step, idle)
 
 
 def track(frames: DataFrame, params: Params = Params(), idle: str | None = "10 minutes") -> DataFrame:
