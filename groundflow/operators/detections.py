@@ -203,14 +203,15 @@ def suppress_crowded(detections: DataFrame, threshold: float = 0.7, streams: lis
     best = F.max("_order")["_no"].alias("_best")
     firsts = real.groupBy(*keys, *BOX).agg(F.max("_order").alias("_order"))
     gone = [real.select(*keys, *BOX, number.alias("_no")).join(real.groupBy(*keys, *BOX).agg(best), [*keys, *BOX]).where("_no <> _best").select("_no")] if threshold < 1 else []
-    places = firsts if threshold < 1 else real
+    # places that differ are told apart by confidence and box alone, so nothing else has to travel
+    places = firsts.withColumn("_order", F.struct(F.col("_order")["conf"].alias("conf"), *[F.col("_order")[c].alias(c) for c in BOX], number.alias("_no"))) if threshold < 1 else real
     side = cell or places.agg(F.percentile_approx(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 0.9)).first()[0] or 1.0
     at = lambda c: F.floor(F.col(c) / F.lit(float(side)))
-    put = places.select(*keys, F.struct(*BOX).alias("box"), "_order", F.explode(F.sequence(at("x1"), at("x2"))).alias("_cx"), "y1", "y2")
+    put = places.select(*keys, "_order", F.explode(F.sequence(at("x1"), at("x2"))).alias("_cx"), "y1", "y2")
     put = put.withColumn("_cy", F.explode(F.sequence(at("y1"), at("y2")))).drop("y1", "y2")
-    a, b = (put.select(*keys, "_cx", "_cy", F.col("box").alias(f"{n}_box"), F.col("_order").alias(f"{n}_order")) for n in ("a", "b"))
-    corner = lambda c: F.floor(F.greatest(F.col("a_box")[c], F.col("b_box")[c]) / F.lit(float(side)))
-    met = a.join(b, [*keys, "_cx", "_cy"]).where((F.col("a_order") > F.col("b_order")) & (corner("x1") == F.col("_cx")) & (corner("y1") == F.col("_cy")) & (iou(F.col("a_box"), F.col("b_box")) > threshold))
+    a, b = (put.select(*keys, "_cx", "_cy", F.col("_order").alias(f"{n}_order")) for n in ("a", "b"))
+    corner = lambda c: F.floor(F.greatest(F.col("a_order")[c], F.col("b_order")[c]) / F.lit(float(side)))
+    met = a.join(b, [*keys, "_cx", "_cy"]).where((F.col("a_order") > F.col("b_order")) & (corner("x1") == F.col("_cx")) & (corner("y1") == F.col("_cy")) & (iou(F.col("a_order"), F.col("b_order")) > threshold))
     claims = kept(met.select(F.col("a_order")["_no"].alias("a"), F.col("b_order")["_no"].alias("b")), "claims")
     while not claims.isEmpty():
         free = claims.select("a").distinct().join(claims.select(F.col("b").alias("a")), "a", "left_anti")
