@@ -259,3 +259,70 @@ def test_gate_takes_long_tracks_and_nulls(spark):
     got = T.speed_gate(spark.createDataFrame(rows, "track_id long, t_sec double, x double, y double"), 2.0)
     assert got.where("accepted").count() == len(rows)
     assert T.speed_gate(spark.createDataFrame([], "track_id long, t_sec double, x double, y double"), 2.0).count() == 0
+
+
+def _best_total(score, allowed, row=0, taken=frozenset()):
+    if row == len(score):
+        return 0.0
+    ways = [_best_total(score, allowed, row + 1, taken)]
+    ways += [score[row, c] + _best_total(score, allowed, row + 1, taken | {c}) for c in range(score.shape[1]) if allowed[row, c] and c not in taken]
+    return max(ways)
+
+
+def test_pairs_have_the_largest_total(monkeypatch):
+    """By bidding, by paths alone and by both; where all bids are spent on ties, too."""
+    rng = np.random.default_rng(2)
+    for k in range(150):
+        n, m = rng.integers(1, 6, 2)
+        allowed, score = rng.random((n, m)) < rng.choice([0.3, 0.6, 1.0]), rng.uniform(0.2, 1.2, (n, m))
+        score = np.round(score, 1) if k % 2 else score
+        monkeypatch.setattr(K, "ROUNDS", (0, 2, 300)[k % 3])
+        monkeypatch.setattr(K, "OFFERS", (2, 24)[k % 2])
+        r, c = np.nonzero(allowed)
+        rows, cols = K.best_pairs(r, c, score[r, c], n, m)
+        assert len(set(rows)) == len(rows) and len(set(cols)) == len(cols) and allowed[rows, cols].all()
+        assert score[rows, cols].sum() == pytest.approx(_best_total(score, allowed))
+
+
+def test_pairs_of_a_crowd_are_proved_best():
+    """400 boxes that all compete: the prices that are left prove that no other choice is worth more."""
+    rng = np.random.default_rng(4)
+    for n, m in ((400, 430), (400, 400), (430, 400)):
+        r, c = np.nonzero(rng.random((n, m)) < 0.3)
+        s = rng.uniform(0.2, 1.2, len(r))
+        offers = K._Offers(r, c, s, n, m)
+        offers.augment(offers.bid())
+        worth = np.zeros(n)
+        np.maximum.at(worth, offers.bidder, offers.value - offers.price[offers.item])
+        held = offers.value[offers.holder[offers.item] == offers.bidder].sum()
+        assert held == pytest.approx(worth.sum() + offers.price.sum()) and (offers.price >= 0).all()
+        rows, cols = K.best_pairs(r, c, s, n, m)
+        score = np.zeros((n, m))
+        score[r, c] = s
+        assert score[rows, cols].sum() == pytest.approx(held)
+
+
+def test_near_pairs_are_all_pairs():
+    rng = np.random.default_rng(6)
+    corner = rng.uniform(0, 1000, (2, 700, 2))
+    a, b = np.concatenate([corner, corner + rng.uniform(0, 150, (2, 700, 2))], axis=2)
+    r, c, near = K.near_pairs(a, b, 0.3)
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.clip(high - low, 0, None).prod(axis=2)
+    whole = both / np.maximum((a[:, 2:] - a[:, :2]).prod(axis=1)[:, None] + (b[:, 2:] - b[:, :2]).prod(axis=1)[None] - both, 1e-9)
+    assert set(zip(r.tolist(), c.tolist(), strict=True)) == set(zip(*map(list, map(np.ndarray.tolist, np.nonzero(whole >= 0.3))), strict=True))
+    assert len(r) > 500 and np.array_equal(near, whole[r, c]) and len(K.near_pairs(a, b[:0], 0.3)[0]) == len(K.near_pairs(a[:0], b, 0.3)[0]) == 0
+
+
+def test_a_crowd_is_not_compared_as_a_whole():
+    """A frame's memory is that of the boxes that lie beside each other, not of all pairs."""
+    import tracemalloc
+
+    k = np.arange(3000)
+    boxes = np.stack([k % 300 * 50.0, k // 300 * 150.0, k % 300 * 50.0 + 40, k // 300 * 150.0 + 120], axis=1)
+    tracker = K.Tracker(K.Params())
+    tracemalloc.start()
+    ids = [tracker.update(f, boxes + f, np.full(3000, 0.9)) for f in range(4)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and np.array_equal(ids[2], ids[3]) and len(set(ids[3].tolist())) == 3000
