@@ -306,6 +306,7 @@ def test_near_pairs_are_all_pairs():
     rng = np.random.default_rng(6)
     corner = rng.uniform(0, 1000, (2, 700, 2))
     a, b = np.concatenate([corner, corner + rng.uniform(0, 150, (2, 700, 2))], axis=2)
+    a[5], b[7] = np.nan, np.nan  # meets nothing and hides nothing
     r, c, near = K.near_pairs(a, b, 0.3)
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     both = np.clip(high - low, 0, None).prod(axis=2)
@@ -326,3 +327,21 @@ def test_a_crowd_is_not_compared_as_a_whole():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6 and np.array_equal(ids[2], ids[3]) and len(set(ids[3].tolist())) == 3000
+
+
+def test_the_walkers_of_a_larger_copy_are_followed():
+    """The query's camera with 40 walkers at each of 70 places: a frame costs what its overlapping boxes cost, and all walkers live on."""
+    import tracemalloc
+
+    rng, k = np.random.default_rng(8), np.repeat(np.arange(70), 40)
+    x, y = k * 37 % 600 / 100 - 3, k * 53 % 1000 / 100
+    at = lambda x: (lambda p: p[:2] / p[2])(np.array(registry.H_INV) @ np.stack([x, y, np.ones(len(k))]))
+    (cx, foot), width = at(x), np.abs(at(x + 0.25)[0] - at(x - 0.25)[0])
+    still = np.stack([cx - width / 2, foot - 3.4 * width, cx + width / 2, foot], axis=1)
+    tracker = K.Tracker(K.Params())
+    tracemalloc.start()
+    ids = [tracker.update(f, still + rng.normal(0, 2, still.shape), np.full(len(k), 0.75)) for f in range(5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lives = Counter(i for frame in ids for i in frame.tolist() if i >= 0)
+    assert peak < 150e6 and (ids[-1] >= 0).mean() > 0.9 and sum(n == 3 for n in lives.values()) > 0.9 * len(k)
