@@ -345,3 +345,50 @@ def test_the_walkers_of_a_larger_copy_are_followed():
     tracemalloc.stop()
     lives = Counter(i for frame in ids for i in frame.tolist() if i >= 0)
     assert peak < 150e6 and (ids[-1] >= 0).mean() > 0.9 and sum(n == 3 for n in lives.values()) > 0.9 * len(k)
+
+
+def test_pairs_are_best_from_rough_prices(monkeypatch):
+    """Whatever prices bidding starts from: too high ones come down again by paths with the sides exchanged."""
+    rng, lowered = np.random.default_rng(9), 0
+    monkeypatch.setattr(K, "CROWDED", -1)
+    for k in range(150):
+        n, m = rng.integers(1, 6, 2)
+        allowed, score = rng.random((n, m)) < rng.choice([0.3, 0.6, 1.0]), rng.uniform(0.2, 1.2, (n, m))
+        r, c = np.nonzero(allowed)
+        offers = K._Offers(r, c, score[r, c], n, m)
+        offers.price = rng.uniform(-0.5, 1.5, m).clip(0)
+        offers.augment(offers.bid())
+        lowered += ((offers.holder < 0) & (offers.price > 0)).any()
+        offers.lower()
+        item = np.flatnonzero(offers.holder >= 0)
+        for rows, cols in ((offers.holder[item], item), K.best_pairs(r, c, score[r, c], n, m)):
+            assert len(set(rows)) == len(rows) and len(set(cols)) == len(cols) and allowed[rows, cols].all()
+            assert score[rows, cols].sum() == pytest.approx(_best_total(score, allowed))
+    assert lowered > 30
+    n, m = 500, 520
+    base, other = rng.uniform(0, 30, (n, 1)), rng.uniform(0, 30, (1, m))
+    s = 0.9 - 0.02 * np.abs(base - other) + rng.uniform(0, 0.1, (n, m))
+    r, c = np.nonzero(s > 0.4)
+    for r, c, n, m in ((r, c, n, m), (c, r, m, n)):
+        value = s[r, c] if n == 500 else s[c, r]
+        offers = K._Offers(r.astype(np.int32), c.astype(np.int32), value, n, m)
+        offers.choose()
+        held = offers.value[offers.holder[offers.item] == offers.bidder].sum()
+        assert held == pytest.approx(offers.worth().sum() + offers.price.sum()) and (offers.price >= 0).all() and (offers.price[offers.holder < 0] == 0).all()
+
+
+def test_a_dense_crowd_costs_its_pairs_alone():
+    """Walkers in step at the same places, as in large copies: memory is some numbers a pair that overlaps, and nobody is lost."""
+    import tracemalloc
+
+    rng, k = np.random.default_rng(12), np.arange(1200)
+    x, y = 500 + k % 4 * 12.0, 400 + k % 4 * 8.0
+    still = np.stack([x, y, x + 107, y + 365], axis=1)
+    tracker = K.Tracker(K.Params())
+    tracker.update(0, still + rng.normal(0, 2, still.shape), np.full(len(k), 0.75))
+    tracemalloc.start()
+    ids = [tracker.update(f, still + rng.normal(0, 2, still.shape), np.full(len(k), 0.75)) for f in range(1, 4)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = len(K.near_pairs(still, still, 0.3)[0])
+    assert pairs > 1_300_000 and peak < 60 * pairs and (ids[-1] >= 0).mean() > 0.99
